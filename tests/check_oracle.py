@@ -12,6 +12,7 @@ from pathlib import Path
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 import duckdb
+import pandas as pd
 
 from quireflow.catalog import ORACLES, QUERIES
 from quireflow.session import local_session
@@ -35,10 +36,10 @@ def canonical(frame) -> list[tuple]:
     cols = sorted(frame.columns)
 
     def cell(v):
-        if v is None or v != v:
+        if v is None or pd.isna(v):
             return "∅"
-        if isinstance(v, float) and v.is_integer():
-            return repr(float(v))
+        if isinstance(v, float) and v.is_integer() and abs(v) < 2**53:
+            return str(int(v))
         return f"{type(v).__name__[:3]}:{v}" if isinstance(v, bool) else str(v)
 
     rows = [tuple(cell(v) for v in row) for row in frame[cols].astype(object).itertuples(index=False)]
@@ -60,8 +61,8 @@ def compare(spark, con, sf_dir: str, name: str) -> tuple[bool, str]:
             if got[c].dtype.name != want[c].dtype.name
         }
         return True, f"{len(a)} rows {kinds or ''}"
-    only_a = [r for r in a if r not in set(b)][:3]
-    only_b = [r for r in b if r not in set(a)][:3]
+    only_a = sorted(set(a) - set(b))[:3]
+    only_b = sorted(set(b) - set(a))[:3]
     return False, f"{len(a)} vs {len(b)} rows\n   spark {only_a}\n   sql   {only_b}\n   {sorted(got.columns)}"
 
 
