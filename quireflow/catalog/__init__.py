@@ -1,6 +1,13 @@
 """Named queries over the given tables, each with the SQL that states its result."""
 
-from quireflow.catalog import diff_queries, markup_queries, nested_queries, object_queries, typed_queries  # noqa: F401
+from quireflow.catalog import (  # noqa: F401
+    diff_queries,
+    markup_queries,
+    nested_queries,
+    object_queries,
+    report_queries,
+    typed_queries,
+)
 from quireflow.catalog.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
