@@ -6,6 +6,7 @@ from quireflow.catalog import (  # noqa: F401
     nested_queries,
     object_queries,
     report_queries,
+    source_queries,
     typed_queries,
 )
 from quireflow.catalog.registry import ORACLES, QUERIES

@@ -15,7 +15,7 @@ ENTITIES = (
     ("&#39;", "'"),
     ("&#x27;", "'"),
     ("&apos;", "'"),
-    ("&nbsp;", " "),
+    ("&nbsp;", "\u00a0"),
     ("&amp;", "&"),
 )
 
