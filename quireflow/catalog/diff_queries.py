@@ -230,7 +230,7 @@ def snk_full_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"WITH {S.LINE_U_SQL} SELECT * REPLACE (strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') AS l_shipdate) FROM line_u",
 )
 def win_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = dedup.last_wins(table(spark, sf_dir, "lineitem"), S.LINE_KEY, S.LINE_ORDER)
+    rows = dedup.last_wins(table(spark, sf_dir, "lineitem", costly=True), S.LINE_KEY, S.LINE_ORDER)
     return rows.withColumn("l_shipdate", F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss"))
 
 

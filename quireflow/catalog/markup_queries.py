@@ -43,7 +43,7 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.split(F.translate("text", STRIPPED, ""), "\n"),
         lambda s: F.trim(F.concat(F.lit("Line "), s)),
     )
-    docs = table(spark, sf_dir, "documents").select("doc_id", lines.alias("lines"))
+    docs = table(spark, sf_dir, "documents", costly=True).select("doc_id", lines.alias("lines"))
     blocks = F.expr(f"transform(lines, (line, i) -> {BLOCK})")
     return docs.select("doc_id", F.concat(F.array_join(blocks, "\n\n"), F.lit(TAIL)).alias("md"))
 

@@ -61,7 +61,7 @@ def library(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.transform(F.split(line, "\\. "), sentence).alias("sentences"),
         )
 
-    return table(spark, sf_dir, "documents").select(
+    return table(spark, sf_dir, "documents", costly=True).select(
         F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"),
         "lang",
         F.array("lang", "source").alias("tags"),

@@ -52,7 +52,7 @@ def _rows(spark: SparkSession, sf_dir: str, name: str, side: str) -> DataFrame:
     """(id, content, file) of one source in the stored or the incoming snapshot."""
     id_name, text, content_type = SOURCES[name]
     id_ = F.col(id_name)
-    rows = table(spark, sf_dir, name).where(id_ % (10 if side == "old" else 11) != 0)
+    rows = table(spark, sf_dir, name, costly=name != "benchmark").where(id_ % (10 if side == "old" else 11) != 0)
     content = F.col(text)
     if side == "new":
         content = F.when(id_ % 7 == 0, F.concat(content, F.lit("!"))).otherwise(content)
@@ -214,7 +214,7 @@ def prj_inline_base64(spark: SparkSession, sf_dir: str) -> DataFrame:
         refs.pointer(inline, none, text)
     )
     return (
-        table(spark, sf_dir, "documents")
+        table(spark, sf_dir, "documents", costly=True)
         .select("doc_id", where.alias("p"))
         .select("doc_id", "p.base64", "p.content")
     )

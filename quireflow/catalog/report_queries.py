@@ -22,7 +22,7 @@ HEAD = """'<head>' ||
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "pages")
+    rows = table(spark, sf_dir, "pages", costly=True)
     return rows.withColumn("html", F.replace(F.col("html"), F.lit("<head>"), F.expr(HEAD)))
 
 

@@ -132,7 +132,7 @@ def _levels() -> dict[str, Level]:
 def source_rows(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name != "lines":
         return table(spark, sf_dir, {"customers": "customer"}.get(name, name))
-    lines = last_wins(table(spark, sf_dir, "lineitem"), LINE_KEY, LINE_ORDER)
+    lines = last_wins(table(spark, sf_dir, "lineitem", costly=True), LINE_KEY, LINE_ORDER)
     owner = table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("l_custkey")
     )

@@ -21,7 +21,7 @@ CONFIG = "glob: pages/*"
 def page_files(spark: SparkSession, sf_dir: str) -> str:
     """A folder with one file per page, written by Spark."""
     folder = work_dir(spark, "pages")
-    pages = table(spark, sf_dir, "pages").select("html").repartition(8)
+    pages = table(spark, sf_dir, "pages", costly=True).select("html")
     pages.write.option("maxRecordsPerFile", 1).text(folder)
     return folder
 
@@ -49,7 +49,7 @@ FRONT = f"""CASE doc_id % 6
 
 
 def markdown_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.expr(FRONT).alias("md"))
+    return table(spark, sf_dir, "documents", costly=True).select("doc_id", F.expr(FRONT).alias("md"))
 
 
 @query(
@@ -114,7 +114,7 @@ _RECORD_SQL = """
 
 
 def _decoded(spark: SparkSession, sf_dir: str, syntax: str, text) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", text.alias("doc"))
+    docs = table(spark, sf_dir, "documents", costly=True).select("doc_id", text.alias("doc"))
     rows = decode.decode(docs, ["doc_id"], F.col("doc"), F.lit(syntax))
     bound = typed.bind(F.col("record"), _RECORD["records"], _RECORD)
     r = rows.select("doc_id", bound.alias("b")).select(
@@ -163,13 +163,13 @@ def src_toml_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     "src_attachment_join",
     """
   SELECT doc_id, '/corpus/shared/f' || (doc_id % 300) || '.html' AS path, '../shared/./f' || (doc_id % 300) || '.html' AS derived_id,
-         'text/html' AS content_type, page_id IS NOT NULL AS found, strlen(html) AS length, sha256(html) AS content_hash
+         'text/html' AS content_type, page_id IS NOT NULL AS found, coalesce(strlen(html), -1) AS length, sha256(html) AS content_hash
   FROM documents LEFT JOIN pages ON page_id = doc_id % 300""",
 )
 def src_attachment_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in folders by source refer to pages as files in a shared folder."""
     src = F.concat(F.lit(".././/../shared/./f"), (F.col("doc_id") % 300).cast("string"), F.lit(".html"))
-    docs = table(spark, sf_dir, "documents").select(
+    docs = table(spark, sf_dir, "documents", costly=True).select(
         "doc_id",
         F.concat_ws("/", F.lit("/corpus"), "source", "lang", F.col("doc_id").cast("string")).alias("document"),
         src.alias("src"),
@@ -186,7 +186,7 @@ def src_attachment_join(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.replace("derived_id", F.lit(".././/../"), F.lit("../")).alias("derived_id"),
         "content_type",
         "found",
-        "length",
+        F.coalesce("length", F.lit(-1).cast("bigint")).alias("length"),
         "content_hash",
     )
 
@@ -204,7 +204,7 @@ def src_data_url(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == 1, F.concat(F.lit("data:text/plain;charset=utf-8,"), refs.id_from_url(text)))
         .otherwise(F.concat(F.lit("https://h.example/"), F.col("doc_id").cast("string")))
     )
-    docs = table(spark, sf_dir, "documents").select("doc_id", attachments.data_url(src).alias("d"))
+    docs = table(spark, sf_dir, "documents", costly=True).select("doc_id", attachments.data_url(src).alias("d"))
     return docs.select("doc_id", "d.content_type", digest(F.col("d.body")).alias("body_hash"))
 
 
@@ -237,7 +237,7 @@ def src_image_dims(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == 4, F.unhex(bmp))
         .otherwise(svg.cast("binary"))
     )
-    pages = table(spark, sf_dir, "pages").select("page_id", content.alias("content"))
+    pages = table(spark, sf_dir, "pages", costly=True).select("page_id", content.alias("content"))
     return pages.select("page_id", attachments.image_size(F.col("content")).alias("i")).select("page_id", "i.*")
 
 

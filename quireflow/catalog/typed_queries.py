@@ -68,7 +68,7 @@ REC_SQL = f"WITH rec AS (SELECT o_orderkey AS k, {RAW} AS r FROM (SELECT o_order
 def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(k, raw): the faulty records as JSON text."""
     return (
-        table(spark, sf_dir, "orders")
+        table(spark, sf_dir, "orders", costly=True)
         .select(F.col("o_orderkey").alias("k"))
         .select("k", F.expr(RAW).alias("raw"))
     )

@@ -464,6 +464,8 @@ INLINE = "|".join(
     )
 )
 INLINE_TEXT = "$2$3$4$5$6$7$8$9"
+# A line without any of this holds no markup.
+MARKED = r"[#>\[\]!$|*_~`<:=+-]|^\s*\d"
 
 
 def _plain_line(line: Column) -> Column:
@@ -481,9 +483,10 @@ def _plain_line(line: Column) -> Column:
         (r"(?d)(\*\*|__|~~)(?=\S)(.+?)(?<=\S)\1", "$2"),
         (r"(?<![\w*])\*(?=\S)([^*\n]+?)(?<=\S)\*(?!\*)", "$1"),
     )
+    plain = line
     for pattern, to in steps:
-        line = F.regexp_replace(line, pattern, to)
-    return F.trim(line)
+        plain = F.regexp_replace(plain, pattern, to)
+    return F.trim(F.when(line.rlike(MARKED), plain).otherwise(line))
 
 
 def plain_text(text: Column) -> Column:

@@ -74,7 +74,8 @@ def _padded_date(text: Column) -> Column:
 
 def to_date(text: Column) -> Column:
     """ISO date or null; no time part, no surplus text."""
-    return F.when(text.rlike(DATE), _padded_date(text).try_cast("date"))
+    usual = F.when(text.rlike(r"^\d{4}-\d\d-\d\d$"), text.try_cast("date"))
+    return usual.when(text.rlike(DATE), _padded_date(text).try_cast("date"))
 
 
 def to_datetime(text: Column) -> Column:
@@ -82,7 +83,9 @@ def to_datetime(text: Column) -> Column:
     clock = [F.lpad(F.regexp_extract(text, r"T(\d+):(\d+):(\d+)", i), 2, "0") for i in (1, 2, 3)]
     fraction = F.regexp_extract(text, r"(\.\d+)$", 1)
     iso = F.concat(_padded_date(text), F.lit("T"), F.concat_ws(":", *clock), fraction)
-    return F.when(text.rlike(DATETIME), iso.try_cast("timestamp_ntz"))
+    plain = text.rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d+)?$")
+    usual = F.when(plain, text.try_cast("timestamp_ntz"))
+    return usual.when(text.rlike(DATETIME), iso.try_cast("timestamp_ntz"))
 
 
 # Per kind: the expected type's name, and whether a present value has it.

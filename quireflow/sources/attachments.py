@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quireflow.functions.hashing import digest
+from quireflow.functions.markup import let
 from quireflow.functions.mime import with_content_type
 from quireflow.functions.refs import id_from_path, id_from_url
 from quireflow.operators.joins import balanced_join
@@ -68,6 +69,10 @@ def data_url(src: Column) -> Column:
 
     A URL without a media type is plain ASCII text, as its standard says.
     """
+    return let(src, _data_url)
+
+
+def _data_url(src: Column) -> Column:
     kind = F.trim(F.regexp_extract(src, DATA_URL, 1))
     payload = F.regexp_extract(src, DATA_URL, 3)
     # try_url_decode reads a plus as a blank, as in forms; here it is a plus.
@@ -99,7 +104,14 @@ _NUMBER = r"""\s*=\s*["']\s*([0-9]*\.?[0-9]+)(?:px)?\s*["']"""
 
 def svg_size(svg: Column) -> Column:
     """struct(width, height) from the root's width and height, else from its viewBox."""
-    root = F.regexp_extract(svg, r"(?is)<svg\b[^>]*>", 0)
+    return let(_svg_root(svg), _root_size)
+
+
+def _svg_root(svg: Column) -> Column:
+    return F.regexp_extract(svg, r"(?is)<svg\b[^>]*>", 0)
+
+
+def _root_size(root: Column) -> Column:
     own = [F.regexp_extract(root, rf"(?is)\s{n}{_NUMBER}", 1) for n in ("width", "height")]
     box = r"""(?is)\sviewBox\s*=\s*["']\s*[-0-9.]+[\s,]+[-0-9.]+[\s,]+([0-9.]+)[\s,]+([0-9.]+)\s*["']"""
     of_box = [F.regexp_extract(root, box, i) for i in (1, 2)]
@@ -118,11 +130,15 @@ def image_size(content: Column) -> Column:
     PNG, GIF, BMP and SVG (any bytes that are UTF-8 text with an ``svg`` tag). Other formats come out
     null here; ``decoded_sizes`` reads them through Spark's image source.
     """
-    head = F.hex(F.substring(content, 1, 8))
     text = F.try_validate_utf8(content.cast("string"))
-    svg = svg_size(text)
+    return let(content, lambda c: let(_svg_root(text), lambda root: _image_size(c, root)))
+
+
+def _image_size(content: Column, root: Column) -> Column:
+    head = F.hex(F.substring(content, 1, 8))
+    svg = _root_size(root)
     png, gif, bmp = head == "89504E470D0A1A0A", head.startswith("474946383"), head.startswith("424D")
-    vector = ~(png | gif | bmp) & text.rlike(r"(?is)<svg\b")
+    vector = ~(png | gif | bmp) & (root != "")
     return F.struct(
         F.when(png, "png").when(gif, "gif").when(bmp, "bmp").when(vector, "svg").alias("format"),
         F.when(png, _be(content, 17, 4))
