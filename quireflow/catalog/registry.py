@@ -26,6 +26,9 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+# Tables already opened in this application: plans only, never rows.
+_READ: dict[tuple[str, str, str, bool], DataFrame] = {}
+
 # Unique keys of the tables on which costly per-row work is done.
 KEYS = {
     "documents": ["doc_id"],
@@ -37,5 +40,8 @@ KEYS = {
 
 def table(spark: SparkSession, sf_dir: str, name: str, costly: bool = False) -> DataFrame:
     """A given table; with ``costly``, spread over all cores if it is small."""
-    rows = read_table(spark, sf_dir, name)
-    return spread(rows, *KEYS[name]) if costly else rows
+    place = (spark.sparkContext.applicationId, sf_dir, name, costly)
+    if place not in _READ:
+        rows = read_table(spark, sf_dir, name)
+        _READ[place] = spread(rows, *KEYS[name]) if costly else rows
+    return _READ[place]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quireflow.catalog.registry import query, table
 from quireflow.functions import typed
 from quireflow.operators import nested, validate
+from quireflow.session import settle
 from quireflow.specs import CollectionSpec, Field
 
 POSTS = CollectionSpec(
@@ -253,8 +254,8 @@ def val_required(spark: SparkSession, sf_dir: str) -> DataFrame:
   FROM (SELECT k, unnest(json_extract(r, '$.notes[*]')) AS n FROM good)""",
 )
 def val_to_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ingest end to end: validate, drop bad documents, flatten the rest to tables."""
-    good = validate.accepted(validate.with_errors(records(spark, sf_dir), POSTS), POSTS)
+    """Validate, drop bad documents, write the rest once, flatten that to tables."""
+    good = settle(validate.accepted(validate.with_errors(records(spark, sf_dir), POSTS), POSTS), "posts")
     body = {"posts": F.col("title"), "tags": F.expr("cast(null as string)"), "notes": F.col("body")}
     parts = [
         df.select(

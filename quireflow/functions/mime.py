@@ -55,10 +55,10 @@ CONTENT_TYPES = {
 def with_content_type(df: DataFrame, path: Column, name: str = "content_type") -> DataFrame:
     """Add the content type of ``path`` by a broadcast of the fixed table above."""
     rows = ", ".join(f"('{ext}', '{kind}')" for ext, kind in CONTENT_TYPES.items())
-    types = df.sparkSession.sql(f"SELECT * FROM VALUES {rows} AS t(__ext, __type)")
+    types = df.sparkSession.sql(f"SELECT * FROM VALUES {rows} AS t(__mime_ext, __mime_type)")
     return (
-        df.withColumn("__ext", extension(path))
-        .join(F.broadcast(types), "__ext", "left")
-        .withColumn(name, F.coalesce(F.col("__type"), F.lit(DEFAULT_TYPE)))
-        .drop("__ext", "__type")
+        df.withColumn("__mime_ext", extension(path))
+        .join(F.broadcast(types), "__mime_ext", "left")
+        .withColumn(name, F.coalesce(F.col("__mime_type"), F.lit(DEFAULT_TYPE)))
+        .drop("__mime_ext", "__mime_type")
     )

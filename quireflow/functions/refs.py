@@ -69,10 +69,17 @@ def object_ref(
     meta: Column | None = None,
 ) -> Column:
     """Hash, size in bytes, type, meta and pointer of a payload kept at ``where``."""
+    return known_object(digest(content), F.octet_length(content), content_type, where, meta)
+
+
+def known_object(
+    content_hash: Column, size: Column, content_type: Column, where: Column, meta: Column | None = None
+) -> Column:
+    """The same from the payload's digest and size, where the payload itself is not at hand."""
     no_meta = F.expr("cast(null as struct<width:int,height:int,blurhash:string,derived_id:string>)")
     return F.struct(
-        object_hash(digest(content), where).alias("hash"),
-        F.octet_length(content).cast("bigint").alias("size"),
+        object_hash(content_hash, where).alias("hash"),
+        size.cast("bigint").alias("size"),
         content_type.alias("content_type"),
         (no_meta if meta is None else meta).alias("meta"),
         where.alias("pointer"),

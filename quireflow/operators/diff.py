@@ -42,9 +42,12 @@ def side_by_side(
     how: str = "full_outer",
 ) -> DataFrame:
     """Both states side by side, one row per key of either."""
-    o = old.select(*spec.pk, F.struct(F.lit(1).alias("here"), *_data(spec), *carry).alias("o"))
-    n = new.select(*spec.pk, F.struct(F.lit(1).alias("here"), *_data(spec)).alias("n"))
-    return o.join(n, spec.pk, how)
+    return packed(old, spec, "o", carry).join(packed(new, spec, "n"), spec.pk, how)
+
+
+def packed(rows: DataFrame, spec: TableSpec, name: str, carry: Sequence[str] = ()) -> DataFrame:
+    """Key columns and one struct of the data columns, which is null where a join finds no row."""
+    return rows.select(*spec.pk, F.struct(F.lit(1).alias("here"), *_data(spec), *carry).alias(name))
 
 
 def _stored() -> Column:
@@ -193,9 +196,7 @@ def touched_keys(
     return out
 
 
-def flag_touched(old: DataFrame, touched: DataFrame | None, spec: TableSpec) -> DataFrame:
-    if touched is None:
-        return old.withColumn(TOUCHED, F.lit(None).cast("boolean"))
+def flag_touched(old: DataFrame, touched: DataFrame, spec: TableSpec) -> DataFrame:
     return old.join(touched.withColumn(TOUCHED, F.lit(True)), spec.pk, "left")
 
 

@@ -15,6 +15,8 @@ from quireflow.specs import CollectionSpec, TableSpec
 
 POS = "__pos"
 DOC_HASH = "__doc_hash"
+SOURCE = "__source"
+PASSED_ON = (DOC_HASH, SOURCE)
 
 
 def explode_children(
@@ -29,7 +31,7 @@ def explode_children(
     if len(parent_key) != len(child.inherit_ids):
         raise ValueError(f"{child.name}: inherit_ids do not match the key of {child.parent}")
     keys = [F.col(k).alias(i) for k, i in zip(parent_key, child.inherit_ids, strict=True)]
-    passing = [DOC_HASH] if DOC_HASH in parent.columns else []
+    passing = [c for c in PASSED_ON if c in parent.columns]
     rows = parent.select(*keys, *passing, F.posexplode_outer(records).alias(POS, "__r"))
     rows = rows.where(F.col(POS).isNotNull())
     element = rows.schema["__r"].dataType
@@ -42,29 +44,38 @@ def explode_children(
     return rows.select(*child.inherit_ids, "__r.*", POS, *passing)
 
 
-def flatten(nested: DataFrame, collection: CollectionSpec) -> dict[str, DataFrame]:
-    """All tables of a collection from one frame of nested records, parents first.
+def frames(nested: DataFrame, collection: CollectionSpec) -> dict[str, DataFrame]:
+    """Rows of every table with all their fields, nested ones included, parents first.
 
-    A loop over the declared tables only: each table is its own lazy chain of
-    projections and ``posexplode`` over the scan. If the frame carries ``__doc_hash``, tables
-    that declare a hash column get their row hash.
+    A loop over the declared tables only: each frame is its own lazy chain of projections and
+    ``posexplode`` over the scan. Tables of markdown images are not made from records
+    and are left out.
     """
-    frames: dict[str, DataFrame] = {}
+    specs = collection.tables()
     out: dict[str, DataFrame] = {}
-    for name, spec in collection.tables().items():
+    for name, spec in specs.items():
         if spec.parent is None:
-            frame = nested
-        else:
-            above = frames[spec.parent]
-            field = spec.path[-1]
-            if field not in above.columns:
-                continue
-            frame = explode_children(above, spec.parent_key, field, spec)
-        frames[name] = frame
-        out[name] = _stored_columns(frame, spec)
+            out[name] = nested
+            continue
+        above, field = out[spec.parent], spec.path[-1]
+        if field in above.columns and specs[spec.parent].field(field).kind == "records":
+            out[name] = explode_children(above, spec.parent_key, field, spec)
     return out
 
 
+def flatten(nested: DataFrame, collection: CollectionSpec) -> dict[str, DataFrame]:
+    """All tables of a collection from one frame of nested records, parents first.
+
+    If the frame carries ``__doc_hash``, tables that declare a hash column get their
+    row hash.
+    """
+    specs = collection.tables()
+    return {
+        name: _stored_columns(frame, specs[name])
+        for name, frame in frames(nested, collection).items()
+    }
+
+
 def _stored_columns(frame: DataFrame, spec: TableSpec) -> DataFrame:
     columns: list[Column] = []
     for name in spec.columns:

@@ -49,8 +49,7 @@ def accepted(
     """
     if mode not in ("deadletter", "failfast"):
         raise ValueError(f"unknown mode {mode!r}")
-    specs = collection.tables()
-    row = F.struct(*typed.typed_record(F.col(BOUND), specs[collection.table], specs))
+    row = typed_struct(collection)
     good = F.when(F.size(ERRORS) == 0, F.array(row))
     if mode == "failfast":
         message = F.concat(F.lit("bad record: "), F.to_json(F.col(ERRORS)))
@@ -59,6 +58,12 @@ def accepted(
     return explode_structs(checked, list(keep), good)
 
 
+def typed_struct(collection: CollectionSpec) -> Column:
+    """The declared, typed fields of a checked document, records nested."""
+    specs = collection.tables()
+    return F.struct(*typed.typed_record(F.col(BOUND), specs[collection.table], specs))
+
+
 def good_type(checked: DataFrame, row: Column):
     return checked.select(F.array(row).alias("a")).schema["a"].dataType
 

@@ -41,21 +41,22 @@ def sync_tables(
 def sync_changes(old: Tables, new: Tables, specs: Mapping[str, TableSpec]) -> DataFrame:
     """(table_name, key, op) for every row the run inserts, updates, touches or deletes.
 
-    The touch flag rides on the stored side of the one full outer join per table, so
-    old and new rows are each shuffled once, by their own key.
+    Old and new rows of a table are each shuffled once, by their own key: the join that
+    finds the dirty keys and the one that lists the changes read the same exchanges, and the
+    touch flag joins the stored side where it lies.
     """
     marked = touched(old, new, specs)
     feeds = []
     for name, spec in specs.items():
         marks = marked.get(name) if spec.updated_at else None
-        carry = []
-        stored = old[name]
+        stored = diff.packed(old[name], spec, "o")
         if marks is not None:
-            stored, carry = diff.flag_touched(stored, marks, spec), [diff.TOUCHED]
+            stored = diff.flag_touched(stored, marks, spec)
         op = F.col("op")
-        feed = diff.side_by_side(stored, new[name], spec, carry).withColumn("op", diff.op_of(spec))
+        feed = stored.join(diff.packed(new[name], spec, "n"), spec.pk, "full_outer")
+        feed = feed.withColumn("op", diff.op_of(spec))
         if marks is not None:
-            kept = (op == diff.UNCHANGED) & F.coalesce(F.col(f"o.{diff.TOUCHED}"), F.lit(False))
+            kept = (op == diff.UNCHANGED) & F.coalesce(F.col(diff.TOUCHED), F.lit(False))
             feed = feed.withColumn("op", F.when(kept, F.lit(diff.TOUCH)).otherwise(op))
         feeds.append(
             feed.where(op != diff.UNCHANGED).select(

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -35,6 +35,17 @@ def local_session(app: str = "quireflow", cpus: int | str = "*", partitions: int
     return spark
 
 
+def settle(rows: DataFrame, purpose: str) -> DataFrame:
+    """Write rows to the shared folder and read them back.
+
+    For results that several plans use: they are computed once, and a lost executor costs a
+    read, not the whole lineage.
+    """
+    folder = work_dir(rows.sparkSession, purpose)
+    rows.write.parquet(folder)
+    return rows.sparkSession.read.parquet(folder)
+
+
 def work_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder that every executor can see.
 
