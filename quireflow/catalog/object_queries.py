@@ -58,11 +58,9 @@ def _rows(spark: SparkSession, sf_dir: str, name: str, side: str) -> DataFrame:
         content = F.when(id_ % 7 == 0, F.concat(content, F.lit("!"))).otherwise(content)
     cid = id_.cast("string")
     where = _by_store(id_, [refs.pointer(s, cid, content) for s in _stores(name)])
-    return rows.select(
-        cid.alias("id"),
-        content.alias("content"),
-        refs.object_ref(content, F.lit(content_type), where).alias("file"),
-    )
+    placed = rows.select(cid.alias("id"), content.alias("content"), where.alias("where"))
+    ref = refs.object_ref(F.col("content"), F.lit(content_type), F.col("where"))
+    return placed.select("id", "content", ref.alias("file"))
 
 
 def snapshot(spark: SparkSession, sf_dir: str, side: str) -> dict[str, DataFrame]:
@@ -307,19 +305,19 @@ def agg_last_by_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "obj_to_upload",
-    OBJ_SQL + " SELECT entry, uri, hash FROM new_obj WHERE hash NOT IN (SELECT hash FROM old_obj)",
+    OBJ_SQL + " SELECT entry, uri, hash FROM new_obj WHERE type <> 'inline' AND hash NOT IN (SELECT hash FROM old_obj)",
 )
 def obj_to_upload(spark: SparkSession, sf_dir: str) -> DataFrame:
-    uploads = located(spark, sf_dir, "new").select("entry", "uri", "hash")
+    uploads = objects.route(located(spark, sf_dir, "new")).select("entry", "uri", "hash")
     return objects.to_upload(uploads, located(spark, sf_dir, "old"))
 
 
 @query(
     "obj_partition",
-    OBJ_SQL + " SELECT entry, uri, hash, hash IN (SELECT hash FROM old_obj) AS skipped FROM new_obj",
+    OBJ_SQL + " SELECT entry, uri, hash, hash IN (SELECT hash FROM old_obj) AS skipped FROM new_obj WHERE type <> 'inline'",
 )
 def obj_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    uploads = located(spark, sf_dir, "new").select("entry", "uri", "hash")
+    uploads = objects.route(located(spark, sf_dir, "new")).select("entry", "uri", "hash")
     return objects.partition_uploads(uploads, located(spark, sf_dir, "old"))
 
 
@@ -328,11 +326,11 @@ def obj_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
     OBJ_SQL
     + """
   SELECT entry, uri, hash FROM old_obj
-  WHERE hash NOT IN (SELECT hash FROM new_obj) AND uri NOT IN (SELECT uri FROM new_obj)""",
+  WHERE type <> 'inline' AND hash NOT IN (SELECT hash FROM new_obj) AND uri NOT IN (SELECT uri FROM new_obj)""",
 )
 def obj_disappeared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    new = located(spark, sf_dir, "new").select("hash", "uri")
-    old = located(spark, sf_dir, "old").select("entry", "uri", "hash")
+    new = objects.route(located(spark, sf_dir, "new")).select("hash", "uri")
+    old = objects.route(located(spark, sf_dir, "old")).select("entry", "uri", "hash")
     return objects.disappeared(old, new, new)
 
 
@@ -390,7 +388,7 @@ def snk_object_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
     hash NOT IN (SELECT hash FROM new_obj) AND uri NOT IN (SELECT uri FROM new_obj))""",
 )
 def snk_object_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    new = located(spark, sf_dir, "new").select("hash", "uri")
+    new = objects.route(located(spark, sf_dir, "new")).select("hash", "uri")
     old = objects.route(located(spark, sf_dir, "old")).select("store", "uri", "hash")
     gone = objects.disappeared(old, new, new)
     return objects.delete(old, gone, ["store", "uri"])

@@ -21,16 +21,18 @@ def shortest_unique_length(df: DataFrame, group: str, value: str) -> DataFrame:
     4-character prefixes, inside the group. The maximum over the levels is exact for any
     strings. Hex digests put at most 65,536 values into a bucket of the two
     lower levels and spread a group of any size over 16^8 buckets on the top one, so no
-    window ever holds a whole group.
+    window ever holds a whole group. Copies of one value are counted first, on the map
+    side, and never reach a window: they share all of it.
     """
-    rows = df.select(F.col(group), F.col(value).alias("s"))
-    found, upper = None, None
+    counted = df.groupBy(F.col(group), F.col(value).alias("s")).agg(F.count(F.lit(1)).alias("n"))
+    rows = counted.select(group, "s")
+    found = counted.where(F.col("n") > 1).select(group, F.length("s").alias("shared"))
+    upper = None
     for length in LEVELS:
         level = rows if upper is None else rows.select(
             group, F.substring("s", 1, upper).alias("s")
         ).distinct()
-        shared = _neighbours(level, group, length)
-        found = shared if found is None else found.unionByName(shared)
+        found = found.unionByName(_neighbours(level, group, length))
         upper = length
     return found.groupBy(group).agg((F.max("shared") + 1).alias("short_len"))
 
@@ -52,5 +54,5 @@ def _neighbours(rows: DataFrame, group: str, length: int) -> DataFrame:
 def with_short_digest(df: DataFrame, group: str, value: str) -> DataFrame:
     """Add ``short_len`` and ``short``, the value cut to it."""
     lengths = shortest_unique_length(df, group, value)
-    joined = balanced_join(df, lengths, [group], "inner", spread_by=[value])
+    joined = balanced_join(df, lengths, [group], "inner")
     return joined.withColumn("short", F.substring(F.col(value), F.lit(1), F.col("short_len")))

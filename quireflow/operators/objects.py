@@ -52,8 +52,9 @@ def last_by_hash(objects: DataFrame, order: Sequence[str]) -> DataFrame:
 def to_upload(uploads: DataFrame, stored: DataFrame, force: bool = False) -> DataFrame:
     """Uploads whose hash is not stored yet; all of them when forced.
 
-    Pass uploads without their payload: the anti join then moves hashes only, and the
-    payload is read for the survivors alone.
+    Pass routed uploads without their payload. The hash of an object with a store covers its
+    location, so hashes are unique here, copies of a content included; the join moves
+    hashes only, and the payload is read for the survivors alone.
     """
     if force:
         return uploads
@@ -61,7 +62,7 @@ def to_upload(uploads: DataFrame, stored: DataFrame, force: bool = False) -> Dat
 
 
 def partition_uploads(uploads: DataFrame, stored: DataFrame, force: bool = False) -> DataFrame:
-    """All uploads with a ``skipped`` flag."""
+    """All (routed) uploads with a ``skipped`` flag."""
     if force:
         return uploads.withColumn("skipped", F.lit(False))
     known = stored.select("hash").distinct().withColumn("skipped", F.lit(True))
@@ -73,7 +74,8 @@ def disappeared(before: DataFrame, after: DataFrame, written: DataFrame) -> Data
     """Stored objects no row refers to any more.
 
     A pointer written in this run is kept even if its old hash is gone: the key now
-    holds the new content. All three inputs carry ``hash`` or ``uri`` columns.
+    holds the new content. Pass routed objects: inline ones have no place to be deleted
+    from, and their hashes are not unique.
     """
     gone = before.join(after.select("hash"), "hash", "left_anti")
     return gone.join(written.select("uri"), "uri", "left_anti")

@@ -12,11 +12,11 @@ from quireflow.plans.sync import sync_tables
 from quireflow.specs import TableSpec
 
 
-def located_inventory(
+def stored_objects(
     spark: SparkSession, tables: Mapping[str, DataFrame], specs: Mapping[str, TableSpec]
 ) -> DataFrame:
-    """The inventory as (hash, type, bucket, namespace, key, path, uri), one row per hash."""
-    found = objects.with_location(objects.inventory(spark, tables, specs))
+    """Objects with a store as (hash, store, bucket, namespace, key, path, uri), one row per hash."""
+    found = objects.route(objects.with_location(objects.inventory(spark, tables, specs)))
     return objects.last_by_hash(found, ["seq", "uri"]).drop("seq")
 
 
@@ -34,11 +34,11 @@ def object_actions(
     a row whose object is missing; here the order is in the data: deletions are
     computed from the synced tables.
     """
-    before = located_inventory(spark, old, specs)
-    incoming = objects.with_location(objects.inventory(spark, new, specs))
-    after = located_inventory(spark, sync_tables(old, new, specs, run_ts), specs)
-    uploads = objects.route(objects.partition_uploads(incoming, before, force))
-    gone = objects.route(objects.disappeared(before, after, incoming))
+    before = stored_objects(spark, old, specs)
+    incoming = objects.route(objects.with_location(objects.inventory(spark, new, specs)))
+    after = stored_objects(spark, sync_tables(old, new, specs, run_ts), specs)
+    uploads = objects.partition_uploads(incoming, before, force)
+    gone = objects.disappeared(before, after, incoming)
     action = F.when(F.col("skipped"), "skip").otherwise("upload")
     return uploads.select(action.alias("action"), "store", "uri", "hash").unionByName(
         gone.select(F.lit("delete").alias("action"), "store", "uri", "hash")
