@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 SALTS = 32
 HOT_SHARE = 1000
-_SALT, _HOT = "__salt", "__hot"
+_SALT, _HOT, _KNOWN = "__salt", "__hot", "__known"
 
 
 def any_of(conditions: Sequence[Column]) -> Column:
@@ -36,6 +36,21 @@ def anti_by_key(left: DataFrame, right: DataFrame, key: Sequence[str]) -> DataFr
     return left.join(right.select(*key), list(key), "left_anti")
 
 
+def flag_known(left: DataFrame, right: DataFrame, key: Sequence[str], flag: str) -> DataFrame:
+    """All rows of ``left``, with a boolean that tells whether ``right`` has their key."""
+    known = right.select(*key).distinct().withColumn(flag, F.lit(True))
+    return left.join(known, list(key), "left").withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))
+
+
+def absent_by_key(left: DataFrame, right: DataFrame, key: Sequence[str]) -> DataFrame:
+    """``anti_by_key`` for a ``left`` made of many unions.
+
+    The optimizer pushes an anti join into every branch of a union and so plans
+    ``right`` once per branch; this form joins once, above the union.
+    """
+    return flag_known(left, right, key, _KNOWN).where(~F.col(_KNOWN)).drop(_KNOWN)
+
+
 def semi_by_key(left: DataFrame, right: DataFrame, key: Sequence[str]) -> DataFrame:
     return left.join(right.select(*key), list(key), "left_semi")
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quireflow.functions.refs import pointer_uri
+from quireflow.operators.joins import absent_by_key, flag_known
 from quireflow.specs import POINTER_TYPE, TableSpec
 
 STORES = ("r2", "kv", "asset")
@@ -58,16 +59,14 @@ def to_upload(uploads: DataFrame, stored: DataFrame, force: bool = False) -> Dat
     """
     if force:
         return uploads
-    return uploads.join(stored.select("hash"), "hash", "left_anti")
+    return absent_by_key(uploads, stored, ["hash"])
 
 
 def partition_uploads(uploads: DataFrame, stored: DataFrame, force: bool = False) -> DataFrame:
     """All (routed) uploads with a ``skipped`` flag."""
     if force:
         return uploads.withColumn("skipped", F.lit(False))
-    known = stored.select("hash").distinct().withColumn("skipped", F.lit(True))
-    flagged = uploads.join(known, "hash", "left")
-    return flagged.withColumn("skipped", F.coalesce("skipped", F.lit(False)))
+    return flag_known(uploads, stored, ["hash"], "skipped")
 
 
 def disappeared(before: DataFrame, after: DataFrame, written: DataFrame) -> DataFrame:
@@ -77,8 +76,7 @@ def disappeared(before: DataFrame, after: DataFrame, written: DataFrame) -> Data
     holds the new content. Pass routed objects: inline ones have no place to be deleted
     from, and their hashes are not unique.
     """
-    gone = before.join(after.select("hash"), "hash", "left_anti")
-    return gone.join(written.select("uri"), "uri", "left_anti")
+    return absent_by_key(absent_by_key(before, after, ["hash"]), written, ["uri"])
 
 
 def with_location(objects: DataFrame, pointer: str = "pointer") -> DataFrame:
@@ -114,7 +112,7 @@ def overlay(stored: DataFrame, puts: DataFrame, key: Sequence[str]) -> DataFrame
 
 def delete(stored: DataFrame, deletions: DataFrame, key: Sequence[str]) -> DataFrame:
     """Object store after deleting the listed keys, and only those."""
-    return stored.join(deletions.select(*key), list(key), "left_anti")
+    return absent_by_key(stored, deletions, key)
 
 
 def kv_batches(pairs: DataFrame, namespaces: Sequence[str], target: int = 5000) -> DataFrame:
