@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quireflow.operators import diff
-from quireflow.specs import TableSpec
+from quireflow.operators.rows import explode_structs
+from quireflow.specs import TableSpec, ancestors_of, children_of
 
 Tables = Mapping[str, DataFrame]
 
@@ -38,31 +39,51 @@ def sync_tables(
     return out
 
 
+OPS = (diff.UNCHANGED, diff.DELETE, diff.UPDATE, diff.INSERT)
+
+
 def sync_changes(old: Tables, new: Tables, specs: Mapping[str, TableSpec]) -> DataFrame:
     """(table_name, key, op) for every row the run inserts, updates, touches or deletes.
 
-    Old and new rows of a table are each shuffled once, by their own key: the join that
-    finds the dirty keys and the one that lists the changes read the same exchanges, and the
-    touch flag joins the stored side where it lies.
+    Each table is joined with its old state exactly once. A changed row sends its own
+    operation and a mark for each of its ancestors' keys; one grouping by (table, key) then
+    brings marks and rows together. Marks combine on the map side, so a parent with very
+    many changed rows below it costs one row per task. Unchanged rows travel only
+    where they can still become a touch, and as keys.
     """
-    marked = touched(old, new, specs)
-    feeds = []
+    code = F.array_position(F.array(*[F.lit(o) for o in OPS]), F.col("op")).cast("int")
+    sent = []
     for name, spec in specs.items():
-        marks = marked.get(name) if spec.updated_at else None
-        stored = diff.packed(old[name], spec, "o")
-        if marks is not None:
-            stored = diff.flag_touched(stored, marks, spec)
-        op = F.col("op")
-        feed = stored.join(diff.packed(new[name], spec, "n"), spec.pk, "full_outer")
-        feed = feed.withColumn("op", diff.op_of(spec))
-        if marks is not None:
-            kept = (op == diff.UNCHANGED) & F.coalesce(F.col(diff.TOUCHED), F.lit(False))
-            feed = feed.withColumn("op", F.when(kept, F.lit(diff.TOUCH)).otherwise(op))
-        feeds.append(
-            feed.where(op != diff.UNCHANGED).select(
-                F.lit(name).alias("table_name"),
-                diff.key_text(spec).alias("key"),
-                op,
-            )
-        )
-    return reduce(DataFrame.unionByName, feeds)
+        feed = diff.change_feed(old[name], new[name], spec).withColumn("code", code)
+        changed = F.col("op") != diff.UNCHANGED
+        if not (spec.updated_at and children_of(specs, name)):
+            feed = feed.where(changed)
+        own = _mark(name, spec.pk, F.col("code"), 0)
+        above = [
+            _mark(a.name, spec.inherit_ids[: len(a.pk)], F.lit(0), 1)
+            for a in ancestors_of(specs, name)
+            if a.updated_at
+        ]
+        rows = F.when(changed, F.array(own, *above)).otherwise(F.array(own))
+        sent.append(explode_structs(feed, [], rows))
+    # Numbers, not names: their maxima are kept in a hash aggregate, without a sort.
+    grouped = (
+        reduce(DataFrame.unionByName, sent)
+        .groupBy("table_name", "ids")
+        .agg(F.max("code").alias("code"), F.max("marked").alias("marked"))
+    )
+    unchanged = F.lit(OPS.index(diff.UNCHANGED) + 1)
+    touched = (F.col("code") == unchanged) & (F.col("marked") == 1)
+    op = F.when(touched, diff.TOUCH).otherwise(F.get(F.array(*[F.lit(o) for o in OPS]), F.col("code") - 1))
+    return grouped.where((F.col("code") > unchanged) | touched).select(
+        "table_name", F.array_join("ids", "/").alias("key"), op.alias("op")
+    )
+
+
+def _mark(table: str, key: Sequence[str], code: Column, marked: int) -> Column:
+    return F.struct(
+        F.lit(table).alias("table_name"),
+        F.array(*[F.col(c).cast("string") for c in key]).alias("ids"),
+        code.alias("code"),
+        F.lit(marked).alias("marked"),
+    )

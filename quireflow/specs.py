@@ -322,3 +322,13 @@ def _collect(
 
 def children_of(specs: Mapping[str, TableSpec], table: str) -> list[TableSpec]:
     return [spec for spec in specs.values() if spec.parent == table]
+
+
+def ancestors_of(specs: Mapping[str, TableSpec], table: str) -> list[TableSpec]:
+    """Parent, its parent, and so on up to the root."""
+    out = []
+    above = specs[table].parent
+    while above is not None:
+        out.append(specs[above])
+        above = specs[above].parent
+    return out
