@@ -30,12 +30,12 @@ class Compiled:
     uploads: DataFrame
 
 
-def read_records(spark: SparkSession, collection: CollectionSpec, folder: str, pattern: str) -> DataFrame:
-    """(__source, __doc_hash, record, decode_error) per document of the corpus."""
-    docs = corpus.scan(spark, folder, pattern, collection.config_text)
-    path = F.regexp_replace("source_entry", "^file:/+", "/")
+def records_of(docs: DataFrame, collection: CollectionSpec) -> DataFrame:
+    """(__source, __doc_hash, record, decode_error) of documents (source_entry, text)."""
     docs = docs.select(
-        path.alias(nested.SOURCE), "text", F.col("doc_hash").alias(nested.DOC_HASH)
+        F.regexp_replace("source_entry", "^file:/+", "/").alias(nested.SOURCE),
+        "text",
+        hashing.document_hash(collection.config_text, F.col("text")).alias(nested.DOC_HASH),
     )
     keep = [nested.SOURCE, nested.DOC_HASH]
     if collection.syntax == "markdown":
@@ -51,18 +51,31 @@ def compile_documents(
     files: DataFrame | None = None,
     mode: str = "deadletter",
 ) -> Compiled:
-    """Compile a corpus. ``files`` holds (path, content, length), by default all files of the folder.
+    """Compile a corpus. ``files`` holds (path, content, length), by default all files of the folder."""
+    docs = corpus.scan(spark, folder, pattern, collection.config_text)
+    known = attachments.scan(spark, folder) if files is None else files
+    return compile_records(spark, collection, records_of(docs, collection), known, mode)
+
+
+def compile_records(
+    spark: SparkSession,
+    collection: CollectionSpec,
+    records: DataFrame,
+    files: DataFrame,
+    mode: str = "deadletter",
+) -> Compiled:
+    """Compile decoded documents, of a corpus or of a micro-batch.
 
     Rows for http(s) sources may be in ``files`` under their URL; nothing is fetched.
-    Decoded and validated documents are written once and every table is read from there.
+    Validated documents are written once and every table is read from there.
     """
     specs = collection.tables()
-    records = settle_checked(read_records(spark, collection, folder, pattern), collection, mode)
+    records = settle_checked(records, collection, mode)
     letters = [
         validate.dead_letters(records.withColumnRenamed(nested.SOURCE, "source_entry")),
     ]
     good = records.where(F.size("errors") == 0).select(nested.SOURCE, nested.DOC_HASH, "row.*")
-    known = _known_files(attachments.scan(spark, folder) if files is None else files)
+    known = _known_files(files)
     frames = nested.frames(good, collection)
     tables: dict[str, DataFrame] = {}
     uploads: list[DataFrame] = []
@@ -180,20 +193,14 @@ def _letter(rows: DataFrame, key: list[str], field: str, src: str) -> DataFrame:
 
 
 def _resolve(frame: DataFrame, spec: TableSpec, files: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    """Replace the sources in object columns by references; set the row hash."""
-    rows, letters, digests = frame, [], []
-    plain = [n for n, f in spec.fields if f.kind not in ("markdown", "hash") and n in frame.columns]
-    front = F.struct(*spec.inherit_ids, *plain)
-    for name, f in spec.fields:
-        if name not in frame.columns or f.storage is None:
-            continue
-        if f.kind == "markdown":
-            stored = f"__doc_{name}"
-            rows = rows.withColumn(stored, stored_markdown(front, F.col(name)))
-            cid = refs.compound_id(*[F.col(k) for k in spec.pk])
-            where = refs.pointer(f.storage, cid, F.col(stored))
-            ref = refs.object_ref(F.col(stored), F.lit("application/json"), where)
-            rows = rows.withColumn(name, F.when(F.col(stored).isNotNull(), ref))
+    """Replace the sources in object columns by references and set the row hash.
+
+    Markdown comes last: its stored form embeds the row with all else resolved.
+    """
+    rows, letters, digests, image_digests = frame, [], [], []
+    fields = [(name, f) for name, f in spec.fields if name in frame.columns]
+    for name, f in fields:
+        if f.kind not in ("file", "image") or f.storage is None:
             continue
         src = f"__src_{name}"
         inline = f.storage.kind == "inline"
@@ -205,11 +212,49 @@ def _resolve(frame: DataFrame, spec: TableSpec, files: DataFrame) -> tuple[DataF
             digests.append(F.col(f"__digest_{name}"))
         rows = rows.withColumn(f"__at_{name}", F.col("__path")).drop("__f", "__path")
     if spec.hash_name:
-        own = F.array_compact(F.array(*digests)) if digests else None
+        for name, f in fields:
+            if f.kind == "markdown" and f.image is not None:
+                rows = _with_image_digests(rows, frame, spec, name, files)
+                image_digests.append(F.col(f"__images_{name}"))
+        own = F.concat(F.array_compact(F.array(*digests).cast("array<string>")), *image_digests)
         rows = rows.withColumn(spec.hash_name, hashing.row_hash(spec, F.col(nested.DOC_HASH), own))
+    front = [n for n, f in spec.fields if n in rows.columns and f.kind != "markdown"]
+    for name, f in fields:
+        if f.kind != "markdown" or f.storage is None:
+            continue
+        stored = f"__doc_{name}"
+        rows = rows.withColumn(stored, stored_markdown(F.struct(*spec.inherit_ids, *front), F.col(name)))
+        where = refs.pointer(f.storage, refs.compound_id(*[F.col(k) for k in spec.pk]), F.col(stored))
+        ref = refs.object_ref(F.col(stored), F.lit("application/json"), where)
+        rows = rows.withColumn(name, F.when(F.col(stored).isNotNull(), ref))
     return rows, letters
 
 
+def _used_images(frame: DataFrame, keep: list, text: str) -> DataFrame:
+    """``keep``, position and URL of the images of a Markdown field, each URL once per row."""
+    urls = markup.images(F.col(text))["url"]
+    used = frame.select(*keep, F.posexplode_outer(urls).alias(nested.POS, "url"))
+    return used.where(F.col("url").isNotNull())
+
+
+def _with_image_digests(
+    rows: DataFrame, frame: DataFrame, spec: TableSpec, text: str, files: DataFrame
+) -> DataFrame:
+    """Add the digests of a Markdown field's images, so that a changed image changes the row hash.
+
+    Grouped by the record itself, not by its key, so a group is what one text names.
+    """
+    place = "__place"
+    record = [*spec.pk, nested.SOURCE, place]
+    position = F.col(nested.POS) if nested.POS in frame.columns else F.lit(0)
+    used = _used_images(frame.withColumn(place, position), record, text).drop(nested.POS)
+    found = _attach(used, "url", files, record, inline=False).where(F.col("__f").isNotNull())
+    name = f"__images_{text}"
+    digests = found.groupBy(*record).agg(F.collect_set("__f.digest").alias(name))
+    joined = rows.withColumn(place, position).join(digests, record, "left").drop(place)
+    return joined.withColumn(name, F.coalesce(F.col(name), F.array().cast("array<string>")))
+
+
 def stored_markdown(front: Column, text: Column) -> Column:
     """The stored form of a Markdown field: its row as frontmatter, the text, and its structure."""
     return F.when(
@@ -234,9 +279,7 @@ def _image_rows(
     field = parent.field(spec.path[-1])
     threshold = field.image.embed_svg_threshold if field.image else 0
     keys = [F.col(k).alias(i) for k, i in zip(parent.pk, spec.inherit_ids, strict=True)]
-    images = F.coalesce(markup.images(F.col(spec.path[-1]))["url"], F.array().cast("array<string>"))
-    used = frame.select(*keys, nested.SOURCE, nested.DOC_HASH, F.posexplode_outer(images).alias(nested.POS, "url"))
-    used = used.where(F.col("url").isNotNull())
+    used = _used_images(frame, [*keys, nested.SOURCE, nested.DOC_HASH], spec.path[-1])
     storage = spec.field("image").storage or Storage("inline")
     found = _attach(used, "url", files, list(spec.inherit_ids), storage.kind == "inline")
     embedded = (F.col("__f.image.format") == "svg") & (F.col("__f.size") < threshold)

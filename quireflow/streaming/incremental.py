@@ -9,6 +9,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from quireflow.operators import diff
 from quireflow.operators.dedup import last_wins
+from quireflow.operators.objects import inventory, route, to_upload, with_location
+from quireflow.sinks.objects import Sink
 from quireflow.sinks.snapshots import SnapshotStore
 from quireflow.specs import TableSpec
 
@@ -33,16 +35,23 @@ def upsert_stream(
     compile_batch: Compile,
     run_ts: Callable[[int], str],
     checkpoint: str,
+    upload: Sink | None = None,
 ) -> StreamingQuery:
     """Compile each micro-batch to tables and upsert them; never deletes.
 
+    Objects whose hash is not stored yet go to ``upload`` first, so that no row is ever
+    there before its object.
+
     A batch sees only the documents that arrived, so rows that are not in it are kept:
     deletion needs a whole snapshot and is the periodic batch's task. A replayed batch
     changes nothing, since equal rows are left alone.
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        for name, rows in compile_batch(batch).items():
+        tables = compile_batch(batch)
+        if upload is not None:
+            upload(fresh_objects(store, specs, tables))
+        for name, rows in tables.items():
             merge_batch(store, specs[name], rows, run_ts(batch_id))
 
     return (
@@ -53,6 +62,26 @@ def upsert_stream(
     )
 
 
+def fresh_objects(
+    store: SnapshotStore, specs: dict[str, TableSpec], tables: dict[str, DataFrame]
+) -> DataFrame:
+    """Objects the batch refers to and no stored row does yet."""
+    named = {name: specs[name] for name in tables}
+    incoming = routed_inventory(store.spark, tables, named)
+    old = {name: store.read(name) for name in tables}
+    known = {name: rows for name, rows in old.items() if rows is not None}
+    if not known:
+        return incoming
+    stored = routed_inventory(store.spark, known, {name: specs[name] for name in known})
+    return to_upload(incoming, stored)
+
+
+def routed_inventory(
+    spark: SparkSession, tables: dict[str, DataFrame], specs: dict[str, TableSpec]
+) -> DataFrame:
+    return route(with_location(inventory(spark, tables, specs)))
+
+
 def merge_batch(store: SnapshotStore, spec: TableSpec, rows: DataFrame, run_ts: str) -> DataFrame:
     stored = store.read(spec.name)
     if stored is None:

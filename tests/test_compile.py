@@ -10,9 +10,10 @@ import yaml
 
 from quireflow import CollectionSpec
 from quireflow.plans.apply import run_batch
-from quireflow.plans.compile import compile_documents, with_payload
+from quireflow.plans.compile import compile_documents, compile_records, records_of, with_payload
 from quireflow.sinks.snapshots import SnapshotStore
 from quireflow.sources import attachments
+from quireflow.streaming import incremental
 
 T1, T2 = "2025-01-01 00:00:00", "2025-02-02 00:00:00"
 
@@ -275,3 +276,37 @@ def test_markdown_collection(spark, tmp_path):
     assert '"tags":["tech"]' in whole and '"title":"Footnote"' in whole and '"content":"Note"' in whole
     with pytest.raises(Exception, match="bad document"):
         compile_documents(spark, spec, folder, "*.md", mode="failfast")
+
+    # The text is the same, an image it shows is not: the row's hash moves.
+    write(tmp_path / "posts", {"test.png": png(7, 6)})
+    again = compile_documents(spark, spec, folder, "*.md").tables["posts"].where("id = 'test'").collect()[0]
+    assert again.hash != row.hash
+    assert again.body.hash != row.body.hash  # the og image is part of the stored frontmatter
+
+
+def test_a_stream_of_documents_uploads_before_it_upserts(spark, tmp_path):
+    spec = collection(ATTACHMENTS)
+    store = SnapshotStore(spark, str(tmp_path / "store"))
+    inbox = tmp_path / "in"
+    write(inbox, {"files/a.txt": "a\n", "files/b.txt": "b\n", "p1.yaml": "id: p1\nattachments:\n  - {id: x, file: files/a.txt}\n"})
+    seen = []
+
+    def upload(objects):
+        rows_there = store.read("attachments")
+        seen.append((sorted(r.uri for r in objects.collect()), 0 if rows_there is None else rows_there.count()))
+
+    def go():
+        docs = incremental.document_stream(spark, str(inbox), "*.yaml")
+        tables = lambda batch: compile_records(
+            spark, spec, records_of(batch, spec), attachments.scan(spark, str(inbox))
+        ).tables
+        incremental.upsert_stream(
+            docs, store, spec.tables(), tables, lambda _: T1, str(tmp_path / "progress"), upload
+        ).awaitTermination()
+
+    go()
+    write(inbox, {"p2.yaml": "id: p2\nattachments:\n  - {id: x, file: files/a.txt}\n  - {id: y, file: files/b.txt}\n"})
+    go()
+    uri = "r2://assets/posts/attachments/%s"
+    assert seen == [([uri % "p1/x"], 0), ([uri % "p2/x", uri % "p2/y"], 1)]
+    assert rows(store.read("attachments"), "post_id", "id") == [("p1", "x"), ("p2", "x"), ("p2", "y")]
