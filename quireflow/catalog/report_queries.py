@@ -89,20 +89,14 @@ def lnk_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "jn_lookup_default",
     """
-  SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey, coalesce(p_brand, 'none') AS p_brand, coalesce(p_size, -1) AS p_size
-  FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_partkey % 3 <> 0) ON p_partkey = l_partkey""",
+  SELECT d.doc_id, lang, source, coalesce(quality, -1) AS quality, coalesce(toxic, -1) AS toxic
+  FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id""",
 )
 def jn_lookup_default(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey")
-    parts = table(spark, sf_dir, "part").where(F.col("p_partkey") % 3 != 0)
-    dimension = parts.select(F.col("p_partkey").alias("l_partkey"), "p_brand", "p_size")
-    return links.lookup(
-        rows,
-        dimension,
-        ["l_partkey"],
-        {"p_brand": F.lit("none"), "p_size": F.lit(-1)},
-        spread_by=["l_orderkey", "l_linenumber", "l_suppkey"],
-    )
+    """The labels of all documents; those without any get the default."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
+    return links.lookup(rows, labels, ["doc_id"], {"quality": F.lit(-1), "toxic": F.lit(-1)})
 
 
 # A run's log: one entry per document, page and benchmark row; every 13th one fails.

@@ -150,19 +150,19 @@ _NESTED_SQL = """
  tag_e AS (SELECT k, unnest(json_extract(r, '$.tags[*]')) AS e FROM rec),
  note_e AS (SELECT k, unnest(json_extract(r, '$.notes[*]')) AS e FROM rec),
  nested_errors AS (
-  SELECT k, 'tags' AS field, 'TypeMismatch' AS code, 'array' AS expected, json_extract(r, '$.tags')::VARCHAR AS got
+  SELECT k, 'tags' AS field, 'TypeMismatch' AS code, 'array' AS expected, json_extract(r, '$.tags')::VARCHAR AS got, NULL AS sub
   FROM rec WHERE json_type(r, '$.tags') <> 'ARRAY'
-  UNION ALL SELECT k, 'notes', 'TypeMismatch', 'array', json_extract(r, '$.notes')::VARCHAR
+  UNION ALL SELECT k, 'notes', 'TypeMismatch', 'array', json_extract(r, '$.notes')::VARCHAR, NULL
   FROM rec WHERE json_type(r, '$.notes') <> 'ARRAY'
-  UNION ALL SELECT k, 'tags', 'TypeMismatch', 'object', e::VARCHAR FROM tag_e WHERE json_type(e) NOT IN ('VARCHAR', 'OBJECT')
-  UNION ALL SELECT k, 'notes', 'TypeMismatch', 'object', e::VARCHAR FROM note_e WHERE json_type(e) <> 'OBJECT'
-  UNION ALL SELECT k, 'body', 'MissingField', NULL, NULL FROM note_e
+  UNION ALL SELECT k, 'tags', 'TypeMismatch', 'object', e::VARCHAR, NULL FROM tag_e WHERE json_type(e) NOT IN ('VARCHAR', 'OBJECT')
+  UNION ALL SELECT k, 'notes', 'TypeMismatch', 'object', e::VARCHAR, NULL FROM note_e WHERE json_type(e) <> 'OBJECT'
+  UNION ALL SELECT k, 'body', 'MissingField', NULL, NULL, json_extract_string(e, '$.note_id') FROM note_e
   WHERE json_type(e) = 'OBJECT' AND json_type(e, '$.body') IS NULL
-  UNION ALL SELECT k, 'body', 'TypeMismatch', 'string', json_extract(e, '$.body')::VARCHAR FROM note_e
+  UNION ALL SELECT k, 'body', 'TypeMismatch', 'string', json_extract(e, '$.body')::VARCHAR, json_extract_string(e, '$.note_id') FROM note_e
   WHERE json_type(e) = 'OBJECT' AND json_type(e, '$.body') <> 'VARCHAR')"""
 
 
-@query("val_records", f"{REC_SQL},{_NESTED_SQL} SELECT * FROM nested_errors")
+@query("val_records", f"{REC_SQL},{_NESTED_SQL} SELECT k, field, code, expected, got FROM nested_errors")
 def val_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     checked = validate.with_errors(records(spark, sf_dir), POSTS)
     return (
@@ -174,7 +174,7 @@ def val_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _FIELD_ERRORS_SQL = " UNION ALL ".join(
     f"""SELECT k, '{name}' AS field, 'TypeMismatch' AS code, '{expected}' AS expected,
-       json_extract(r, '$.{name}')::VARCHAR AS got
+       json_extract(r, '$.{name}')::VARCHAR AS got, NULL AS sub
   FROM (SELECT *, json_type(r, '$.{name}') AS jt, json_extract_string(r, '$.{name}') AS s FROM rec)
   WHERE jt IS NOT NULL AND NOT ({fits})"""
     for name, expected, fits in (
@@ -191,12 +191,12 @@ _FIELD_ERRORS_SQL = " UNION ALL ".join(
 ALL_ERRORS_SQL = f"""{REC_SQL},{_NESTED_SQL},
  errors AS (
   {_FIELD_ERRORS_SQL}
-  UNION ALL SELECT k, 'id', 'MissingField', NULL, NULL FROM rec WHERE json_type(r, '$.id') IS NULL
-  UNION ALL SELECT k, 'title', 'MissingField', NULL, NULL FROM rec WHERE json_type(r, '$.title') IS NULL
-  UNION ALL SELECT k, 'hash', 'FoundComputedField', NULL, NULL FROM rec WHERE json_type(r, '$.hash') IS NOT NULL
-  UNION ALL SELECT k, 'due', 'InvalidDate', NULL, s FROM (SELECT k, json_extract_string(r, '$.due') AS s FROM rec
+  UNION ALL SELECT k, 'id', 'MissingField', NULL, NULL, NULL FROM rec WHERE json_type(r, '$.id') IS NULL
+  UNION ALL SELECT k, 'title', 'MissingField', NULL, NULL, NULL FROM rec WHERE json_type(r, '$.title') IS NULL
+  UNION ALL SELECT k, 'hash', 'FoundComputedField', NULL, NULL, NULL FROM rec WHERE json_type(r, '$.hash') IS NOT NULL
+  UNION ALL SELECT k, 'due', 'InvalidDate', NULL, s, NULL FROM (SELECT k, json_extract_string(r, '$.due') AS s FROM rec
     WHERE json_type(r, '$.due') = 'VARCHAR') WHERE ({_DATE_SQL}) IS NULL
-  UNION ALL SELECT k, 'at', 'InvalidDatetime', NULL, s FROM (SELECT k, json_extract_string(r, '$.at') AS s FROM rec
+  UNION ALL SELECT k, 'at', 'InvalidDatetime', NULL, s, NULL FROM (SELECT k, json_extract_string(r, '$.at') AS s FROM rec
     WHERE json_type(r, '$.at') = 'VARCHAR') WHERE ({_DATETIME_SQL}) IS NULL
   UNION ALL SELECT * FROM nested_errors)"""
 
@@ -206,15 +206,15 @@ ALL_ERRORS_SQL = f"""{REC_SQL},{_NESTED_SQL},
     ALL_ERRORS_SQL
     + """
   SELECT 'orders/' || e.k || '.json' AS source_entry,
-         CASE WHEN json_type(r, '$.id') = 'VARCHAR' THEN json_extract_string(r, '$.id') ELSE '?' END AS id,
+         CASE WHEN json_type(r, '$.id') = 'VARCHAR' THEN json_extract_string(r, '$.id') ELSE '?' END
+           || coalesce('/' || sub, '') AS id,
          field, code, expected, got
-  FROM errors e JOIN rec ON rec.k = e.k WHERE field <> 'body'""",
+  FROM errors e JOIN rec ON rec.k = e.k""",
 )
 def val_dead_letter(spark: SparkSession, sf_dir: str) -> DataFrame:
     entry = F.concat(F.lit("orders/"), F.col("k").cast("string"), F.lit(".json"))
     rows = records(spark, sf_dir).withColumn("source_entry", entry)
-    letters = validate.dead_letters(validate.with_errors(rows, POSTS))
-    return letters.where(F.col("field") != "body")
+    return validate.dead_letters(validate.with_errors(rows, POSTS))
 
 
 @query(

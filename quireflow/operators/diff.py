@@ -26,10 +26,6 @@ def empty_like(df: DataFrame) -> DataFrame:
     return df.limit(0)
 
 
-def empty_table(spark, spec: TableSpec) -> DataFrame:
-    return spark.createDataFrame([], spec.struct_type)
-
-
 def _data(spec: TableSpec) -> list[str]:
     return spec.data_cols
 

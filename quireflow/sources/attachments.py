@@ -102,16 +102,12 @@ def _le16(content: Column, start: int) -> Column:
 _NUMBER = r"""\s*=\s*["']\s*([0-9]*\.?[0-9]+)(?:px)?\s*["']"""
 
 
-def svg_size(svg: Column) -> Column:
-    """struct(width, height) from the root's width and height, else from its viewBox."""
-    return let(_svg_root(svg), _root_size)
-
-
 def _svg_root(svg: Column) -> Column:
     return F.regexp_extract(svg, r"(?is)<svg\b[^>]*>", 0)
 
 
 def _root_size(root: Column) -> Column:
+    """Width and height of an SVG's root tag, from its own attributes, else from its viewBox."""
     own = [F.regexp_extract(root, rf"(?is)\s{n}{_NUMBER}", 1) for n in ("width", "height")]
     box = r"""(?is)\sviewBox\s*=\s*["']\s*[-0-9.]+[\s,]+[-0-9.]+[\s,]+([0-9.]+)[\s,]+([0-9.]+)\s*["']"""
     of_box = [F.regexp_extract(root, box, i) for i in (1, 2)]

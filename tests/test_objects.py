@@ -92,6 +92,15 @@ def test_overlay_delete_and_routing(spark, tmp_path):
     assert [r.uri for r in seen["kv"]] == ["c"] and seen["asset"] == []
     with pytest.raises(ValueError, match="no such stores"):
         sinks.dispatch(mixed, {"ftp": print})
+    folder = str(tmp_path)
+
+    def put(rows):
+        for row in rows:
+            with open(f"{folder}/put-{row.uri}", "w") as out:
+                out.write(row.uri)
+
+    sinks.dispatch(mixed, {"kv": sinks.per_partition(put), "r2": sinks.per_partition(put)})
+    assert sorted(p.name for p in tmp_path.glob("put-*")) == ["put-a", "put-c"]
 
 
 def test_reports(spark):
