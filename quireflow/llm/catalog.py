@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quireflow.llm.language_id import language_id
+from quireflow.llm.license_scan import license_scan, report
+from quireflow.llm.near_duplicates import near_duplicates
 from quireflow.llm.packing import pack_documents
 from quireflow.llm.quality_rules import quality_rules
 from quireflow.llm.secret_scan import digest, secret_scan
 from quireflow.llm.source_mix import ORACLE as MIX_SQL
 from quireflow.llm.source_mix import mix
+from quireflow.llm.weak_labels import quality_classifier
 from quireflow.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,3 +54,18 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op6_source_mix"] = MIX_SQL
+
+
+@query
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report(license_scan(read_table(spark, sf_dir, "documents")))
+
+
+@query
+def op8_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents"), width=4)
