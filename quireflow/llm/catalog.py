@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quireflow.llm.language_id import language_id
 from quireflow.llm.license_scan import license_scan, report
 from quireflow.llm.near_duplicates import near_duplicates
+from quireflow.llm.nn_descent import nearest
 from quireflow.llm.packing import pack_documents
 from quireflow.llm.quality_rules import quality_rules
 from quireflow.llm.secret_scan import digest, secret_scan
@@ -69,3 +70,8 @@ def op8_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"), width=4)
+
+
+@query
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(read_table(spark, sf_dir, "embeddings"))
