@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quireflow.llm.context_mixing import score_texts
 from quireflow.llm.language_id import language_id
 from quireflow.llm.license_scan import license_scan, report
 from quireflow.llm.near_duplicates import near_duplicates
@@ -75,3 +76,8 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(read_table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op2_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(read_table(spark, sf_dir, "documents"))

@@ -27,7 +27,7 @@ from quireflow.llm.common import map_rows, settle
 
 TREES, RUN, WIDTH, GROUP = 4, 160, 30, 30
 ITERATIONS, FEW = 4, 0.02
-BEAM, ROUNDS, POOL = 40, 9, 400
+BEAM, ROUNDS, POOL = 40, 7, 400
 
 
 def _vectors(rows: DataFrame) -> DataFrame:
