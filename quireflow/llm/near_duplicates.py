@@ -233,3 +233,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rounds:
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")
     out = signed.select("doc_id", "n_shingles", "digest").join(named, "digest", "left").select("doc_id", "n_shingles", own)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+
+
+def without_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The documents with one of each group left, all columns kept; rows without doc_id stay.
+
+    Of rows that share a kept doc_id, one stays.
+    """
+    groups = settle(near_duplicates(docs, width, percent), "near-groups")
+    names = docs.columns
+    kept = groups.where("kept").groupBy(F.col("doc_id").alias("__id")).agg(F.count(F.lit(1)).alias("__n"))
+    # Kept ids are few columns; the texts are joined once, and only repeated ids pay for a second shuffle.
+    found = docs.join(kept, F.col("doc_id").cast("long") == F.col("__id"))
+    single = found.where("__n = 1").select(*names).unionByName(docs.where("doc_id is null"))
+    if kept.where("__n > 1").isEmpty():
+        return single
+    return single.unionByName(found.where("__n > 1").dropDuplicates(["__id"]).select(*names))
