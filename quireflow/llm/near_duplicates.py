@@ -196,10 +196,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rounds:
     # A band with one class links nothing; the others keep all their members.
     shared = bands.groupBy("band").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
     members = settle(bands.join(shared.select("band", "low"), "band"), "near-bands")
-    # A document of several classes (repeated ids) ties them together; digests tie the documents of a class.
     links = Links(docs, classes, width, percent)
-    pairs = members.where("low <> rep").select(F.col("low").alias("a"), F.col("rep").alias("b")).distinct()
-    done, found = settle(pairs, "near-pairs"), links.confirm(pairs)
+    done = settle(members.where("low <> rep").select(F.col("low").alias("a"), F.col("rep").alias("b")).distinct(), "near-pairs")
+    # A document of several classes (a repeated id) ties them together.
+    own = usable.select("doc_id", "digest").join(classes.select("digest", "rep"), "digest")
+    torn = own.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("high")).where("a < high")
+    tied = own.join(torn.select("doc_id", "a"), "doc_id").where("a <> rep").select("a", F.col("rep").alias("b"))
+    found = links.confirm(done).unionByName(settle(tied, "near-ties"))
     label = components(found)
     for turn in range(rounds + 1):
         named = members.select("band", "rep").join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn(

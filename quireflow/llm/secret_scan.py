@@ -3,9 +3,9 @@
 Unknown tokens are runs of 16 or more characters of ``[A-Za-z0-9+/_-]`` that mix letters with digits or cases. For
 the alphabet their characters suggest (hex, base32, base64) each gets a p-value for being uniformly random: Fisher's combination of a
 chi-squared test of uniformity, a runs test about the middle of the alphabet and a test of lag-one serial
-correlation. What plain words of the same length class score is the empirical null, from all texts: a
-token's second p-value is the share of plain words that look as random. Benjamini-Hochberg within each length class
-keeps the false-discovery rate at ``q``. A class with few plain words borrows those of shorter classes, which look more random.
+correlation. What plain letters of the same length class score is the empirical null: long words of all texts, and the letters of one
+passage of each text. A token's second p-value is the share of them that look as random. Benjamini-Hochberg within each length
+class keeps the false-discovery rate at ``q``. A class with few such scores borrows those of shorter classes, which look more random.
 
 Defined cases: null and empty texts have no spans; positions are code points, ends exclusive; added spans that touch a
 base span are dropped; repeated rows are scanned one by one.
@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -107,6 +108,15 @@ def unknown_tokens(text: str, spans: list[tuple[int, int, str]]) -> Iterator[tup
             yield m.start(), m.end(), token, False
 
 
+def plain_passage(text: str) -> str | None:
+    """Letters of one place of the text, as many as a length class asks for; place and class come from the text."""
+    draw = zlib.crc32(text.encode())
+    least = CLASSES[draw % len(CLASSES)]
+    at = draw // len(CLASSES) % max(1, len(text) - 3 * least)
+    letters = "".join(c for c in text[at : at + 3 * least] if c.isascii() and c.isalpha())
+    return letters[:least] if len(letters) >= least else None
+
+
 class _Bins(dict):
     """Score bins of tokens, kept for tokens that come again."""
 
@@ -127,11 +137,13 @@ def _scan(batches: Iterator[dict]) -> Iterator[dict]:
             for k, name in enumerate(("starts", "ends", "kinds")):
                 out[name].append([s[k] for s in spans])
             out["found"].append([{"start": s, "end": e, "bin": b} for s, e, b, plain in tokens if not plain])
-            out["null"].append([b for _, _, b, plain in tokens if plain])
+            passage = plain_passage(text or "")
+            own = [length_class(passage) * BINS + score_bin(passage)] if passage else []
+            out["null"].append([b for _, _, b, plain in tokens if plain] + own)
         yield {"doc_id": batch["doc_id"]} | out
 
 
-def discoveries(found: dict[int, int], null: dict[int, int], q: float = 0.01, enough: int = 1000) -> list[int]:
+def discoveries(found: dict[int, int], null: dict[int, int], q: float = 0.01, enough: int = 200) -> list[int]:
     """Benjamini-Hochberg per length class over binned scores: the bins that count as secrets.
 
     A low bin is a high p-value for randomness, so bins are accepted from 0 upwards.

@@ -67,11 +67,11 @@ def _votes(batches: Iterator[dict]) -> Iterator[dict]:
         yield {"doc_id": batch["doc_id"], "votes": [votes_of(measures(t)) if t else None for t in batch["text"]]}
 
 
-def expectation_maximisation(counts: dict[int, int], rounds: int = 100) -> tuple[float, np.ndarray, dict[int, float]]:
+def expectation_maximisation(counts: dict[int, int], rounds: int = 100, slips: float = 0.02) -> tuple[float, np.ndarray, dict[int, float]]:
     """Share of good documents, chances [labeller, class, vote], and the posterior of each pattern.
 
     Starts from the votes, a bad one counting more since most heuristics see one kind of junk only. One
-    pseudo-document per cell keeps every chance above 0.
+    pseudo-document per cell keeps every chance above 0; ``slips`` bounds the share of good documents called bad.
     """
     codes = sorted(counts)
     k = len(HEURISTICS)
@@ -86,6 +86,10 @@ def expectation_maximisation(counts: dict[int, int], rounds: int = 100) -> tuple
         for v in range(3):
             chance[:, :, v] = ((votes == v).T[:, None, :] * by_class[None]).sum(2) + 1
         chance /= chance.sum(2, keepdims=True)
+        # What a heuristic is asked to be: wrong about few good documents. Kinds of junk share no other trait.
+        over = np.maximum(chance[:, 1, 0] - slips, 0)
+        chance[:, 1, 0] -= over
+        chance[:, 1, 1] += over
         logs = np.log(chance)
         score = np.log(prior / (1 - prior)) + sum(logs[i, 1, votes[:, i]] - logs[i, 0, votes[:, i]] for i in range(k))
         new = 1 / (1 + np.exp(-np.clip(score, -50, 50)))

@@ -1,9 +1,8 @@
 from __future__ import annotations
 
 import pytest
-from pyspark.sql import types as T
 
-DOCS = T.StructType.fromDDL("doc_id long, text string, lang string, source string, n_chars long, kept string, block string")
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, kept string, block string"
 
 
 @pytest.fixture(scope="session")
