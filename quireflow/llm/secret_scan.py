@@ -109,11 +109,12 @@ def unknown_tokens(text: str, spans: list[tuple[int, int, str]]) -> Iterator[tup
 
 
 def plain_passage(text: str) -> str | None:
-    """Letters of one place of the text, as many as a length class asks for; place and class come from the text."""
+    """Letters of plain words at one place of the text, as many as a length class asks for; the text tells which."""
     draw = zlib.crc32(text.encode())
     least = CLASSES[draw % len(CLASSES)]
-    at = draw // len(CLASSES) % max(1, len(text) - 3 * least)
-    letters = "".join(c for c in text[at : at + 3 * least] if c.isascii() and c.isalpha())
+    at = draw // len(CLASSES) % max(1, len(text) - 4 * least)
+    words = text[at : at + 4 * least].split()[1:-1]  # the first and the last may be cut
+    letters = "".join(w for w in (w.strip(".,;:!?") for w in words) if PLAIN.fullmatch(w))
     return letters[:least] if len(letters) >= least else None
 
 
