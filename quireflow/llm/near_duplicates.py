@@ -7,9 +7,10 @@ posterior chance that the pair is similar enough, under a uniform prior, is boun
 when it is below ``MISS``. What survives is confirmed on the full sets, so a link is never wrong.
 
 Hot bands are not expanded into all pairs. Every member is compared with its band's smallest document first, and linked documents
-are joined into components. Only bands that still hold several components go on: each component picks a new smallest document
-outside the largest one in turn, and after ``ROUNDS`` rounds all pairs of different components that were not yet compared are
-compared, so that no link between different components is lost.
+are joined into components. Only bands that still hold several components go on: twice a member of another component is the
+one that all are compared with. Then each band is charged to the component that most of its members are in, and all others of its bands, the
+probes, are compared with everything charged to that component, in blocks of bounded expected size, so that no link between different
+components is lost and no list of pairs is made.
 
 Defined cases: texts without words (null, empty) have an empty set and are linked with nothing; a row without doc_id
 is linked with nothing and has no component; rows with the same doc_id are one document; ties go to the smaller doc_id.
@@ -21,6 +22,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -116,6 +118,36 @@ def _prune(percent: int):
     return run
 
 
+def _blocks(width: int, percent: int):
+    """Links between probes and others of a block: signatures first, in batches, then full sets."""
+    need = least_matches(percent)
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        probes, members = rows[rows["probe"]], rows[~rows["probe"]]
+        sign = [np.frombuffer(b"".join(x["signature"]), dtype=np.uint32).reshape(-1, HASHES) for x in (probes, members)]
+        own = [x["component"].to_numpy() for x in (probes, members)]
+        rep = [x["rep"].to_numpy() for x in (probes, members)]
+        text = [x["text"].tolist() for x in (probes, members)]
+        sets: list[dict] = [{}, {}]
+        out = []
+        for i in range(len(probes)):
+            left, matches = np.flatnonzero(own[1] != own[0][i]), 0
+            for k, least in enumerate(need):
+                part = slice(k * BATCH, (k + 1) * BATCH)
+                matches = matches + (sign[1][left, part] == sign[0][i, part]).sum(1)
+                good = matches >= least
+                left, matches = left[good], matches[good]
+            for j in left.tolist():
+                for side, at in ((0, i), (1, j)):
+                    if at not in sets[side]:
+                        sets[side][at] = shingle_set(text[side][at], width)
+                if similar(sets[0][i], sets[1][j], percent):
+                    out.append((min(rep[0][i], rep[1][j]), max(rep[0][i], rep[1][j])))
+        return pd.DataFrame(sorted(set(out)), columns=["a", "b"], dtype="int64")
+
+    return run
+
+
 def _confirm(width: int, percent: int):
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         known, own = None, None
@@ -181,6 +213,28 @@ class Links:
         return settle(map_rows(full, "a long, b long", _confirm(self.width, self.percent)).distinct(), "near-links")
 
 
+    def between(self, open_: DataFrame, block: int = 1024) -> DataFrame:
+        """Links between different components of the bands in ``open_`` (band, rep, component)."""
+        sizes = open_.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
+        home = sizes.groupBy("band").agg(F.max_by("component", F.struct("n", -F.col("component"))).alias("home"))
+        charged = settle(open_.join(home, "band").select("home", "rep", "component").distinct(), "near-charged")
+        probes = F.sum((F.col("component") != F.col("home")).cast("long"))
+        parts = charged.groupBy("home").agg(
+            F.ceil(F.count(F.lit(1)) / block).cast("int").alias("n_parts"), F.ceil(4 * probes / block).cast("int").alias("n_turns")
+        )
+        texts = self.texts.join(charged.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+        full = charged.join(parts, "home").join(self.classes.select("rep", "signature"), "rep")
+        full = full.join(texts.select(F.col("doc_id").alias("rep"), "text"), "rep")
+        deal = lambda n, salt: F.pmod(F.xxhash64("rep", F.lit(salt)), F.col(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        columns = ("home", "part", "turn", "rep", "component", "signature", "text", "probe")
+        members = full.withColumn("part", deal("n_parts", 1)).withColumn("turn", every("n_turns")).withColumn("probe", F.lit(False))
+        asking = full.where("component <> home").withColumn("turn", deal("n_turns", 2)).withColumn("part", every("n_parts"))
+        rows = members.select(*columns).unionByName(asking.withColumn("probe", F.lit(True)).select(*columns))
+        links = rows.groupBy("home", "part", "turn").applyInPandas(_blocks(self.width, self.percent), "a long, b long")
+        return settle(links.distinct(), "near-links")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row: one document of each group is kept."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -210,27 +264,21 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rounds:
         )
         mixed = named.groupBy("band").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1")
         open_ = settle(named.join(mixed, "band"), "near-open")
-        if turn < rounds:
+        if open_.isEmpty():
+            break
+        if turn == rounds:
+            more = links.between(open_)
+        else:
             # A pivot of another component than the first: the smallest member outside it, then, in turn, of the last one.
             pivot = open_.where(F.col("component") != F.col("c0") if turn % 2 == 0 else F.col("component") == F.col("c1"))
             pivot = pivot.groupBy("band").agg(F.min("rep").alias("a"), F.min_by("component", "rep").alias("own"))
             new = open_.join(pivot, "band").where("component <> own").select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b"))
-        else:
-            left, right = open_.select("band", F.col("rep").alias("a"), F.col("component").alias("ca")), open_.select(
-                "band", F.col("rep").alias("b"), F.col("component").alias("cb")
-            )
-            new = left.join(right, "band").where("a < b and ca <> cb").select("a", "b")
-        new = settle(new.distinct().join(done, ["a", "b"], "left_anti"), "near-pairs")
-        if new.isEmpty():
-            if turn < rounds:
-                continue
-            break
-        more = links.confirm(new)
-        if more.isEmpty():
+            new = settle(new.distinct().join(done, ["a", "b"], "left_anti"), "near-pairs")
             done = done.unionByName(new)
-            continue
-        found, done = found.unionByName(more), done.unionByName(new)
-        label = components(found)
+            more = links.confirm(new)
+        if not more.isEmpty():
+            found = found.unionByName(more)
+            label = components(found)
     named = classes.select("digest", "rep").join(label.withColumnRenamed("node", "rep"), "rep", "left")
     named = named.select("digest", F.coalesce("component", "rep").alias("component_id"))
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")
