@@ -143,8 +143,7 @@ def nst_merge_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     "nst_renest",
     _PARAS
     + """,
- sized AS (SELECT *, ceil(count(*) OVER (PARTITION BY doc_id) / 20.0)::BIGINT AS parts FROM paragraphs
-           WHERE length(body) > 0),
+ sized AS (SELECT *, ceil(count(*) OVER (PARTITION BY doc_id) / 20.0)::BIGINT AS parts FROM paragraphs),
  placed AS (SELECT *, ('0x' || substr(sha256(para_id), 1, 8))::BIGINT % parts AS part FROM sized),
  frag AS (SELECT doc_id, part, parts, count(*) AS n,
             string_agg(para_id || ':' || body, chr(10) ORDER BY i) AS children FROM placed GROUP BY ALL)
@@ -154,7 +153,7 @@ def nst_merge_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 def nst_renest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The document as one JSON text per part of at most 20 or so paragraphs, read back here."""
     tables = nested.flatten(library(spark, sf_dir), LIBRARY)
-    paras = tables["paragraphs"].where(F.length("body") > 0)
+    paras = tables["paragraphs"]
     docs = nested.renest(
         tables["docs"].select("id", "lang"),
         paras.drop("hash"),

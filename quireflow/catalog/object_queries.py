@@ -422,7 +422,7 @@ def snk_kv_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.transform(
         "pairs", lambda p: F.concat_ws("=", p["key"], p["value"], p["base64"].cast("string"))
     )
-    return objects.kv_batches(pairs, _NAMESPACES, target=50).select(
+    return objects.kv_batches(pairs, target=50).select(
         "namespace",
         "batch",
         F.size("pairs").cast("bigint").alias("n_pairs"),

@@ -287,7 +287,7 @@ def str_latest_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as a stream of files; the stored table keeps each user's latest one."""
     folder = work_dir(spark, "events")
     events = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type", "value")
-    events.repartition(3, "event_id").write.parquet(folder)
+    events.write.option("maxRecordsPerFile", 1_000_000).parquet(folder)
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(folder)
     store = SnapshotStore(spark, work_dir(spark, "store"))
     running = incremental.latest_stream(

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quireflow.operators.joins import any_of, anti_by_key, anti_by_row, balanced_join, distinct_keys, semi_by_key
+from quireflow.operators.joins import any_of, anti_by_key, anti_by_row, distinct_keys, key_join, semi_by_key
 from quireflow.specs import TableSpec, children_of
 
 INSERT, UPDATE, UNCHANGED, DELETE, TOUCH = "insert", "update", "unchanged", "delete", "touch"
@@ -161,7 +161,7 @@ def cascade(tables: Mapping[str, DataFrame], specs: Mapping[str, TableSpec]) ->
         table = tables[name]
         if spec.parent is not None:
             parent = distinct_keys(out[spec.parent], spec.parent_key, spec.inherit_ids)
-            table = balanced_join(table, parent, spec.inherit_ids, "left_semi", spread_by=spec.pk)
+            table = key_join(table, parent, spec.inherit_ids, "left_semi")
         out[name] = table
     return out
 

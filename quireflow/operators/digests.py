@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quireflow.functions.hashing import common_prefix_length
-from quireflow.operators.joins import balanced_join
+from quireflow.operators.joins import key_join
 
 # Prefix lengths at which strings are compared, longest first.
 LEVELS = (8, 4, 0)
@@ -54,5 +54,5 @@ def _neighbours(rows: DataFrame, group: str, length: int) -> DataFrame:
 def with_short_digest(df: DataFrame, group: str, value: str) -> DataFrame:
     """Add ``short_len`` and ``short``, the value cut to it."""
     lengths = shortest_unique_length(df, group, value)
-    joined = balanced_join(df, lengths, [group], "inner")
+    joined = key_join(df, lengths, [group], "inner")
     return joined.withColumn("short", F.substring(F.col(value), F.lit(1), F.col("short_len")))

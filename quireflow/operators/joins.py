@@ -1,4 +1,4 @@
-"""Key joins that stay exact and balanced when one key holds much of the left side."""
+"""Key joins that stay exact when one key holds much of the left side."""
 
 from __future__ import annotations
 
@@ -8,9 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SALTS = 32
-HOT_SHARE = 1000
-_SALT, _HOT, _KNOWN = "__salt", "__hot", "__known"
+_KNOWN = "__known"
 
 
 def any_of(conditions: Sequence[Column]) -> Column:
@@ -67,41 +65,11 @@ def anti_by_row(left: DataFrame, right: DataFrame, key: Sequence[str], data: Seq
     return l.join(r, all_of(same), "left_anti")
 
 
-def hot_keys(df: DataFrame, key: Sequence[str], share: int = HOT_SHARE) -> DataFrame:
-    """Keys that hold more than one ``share``-th of the rows.
+def key_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str) -> DataFrame:
+    """Equi-join of rows with a look-up table whose keys are unique.
 
-    Fewer than ``share`` rows by construction, whatever the size of ``df``. Counting
-    combines on the map side, so a hot key costs one row per task.
+    A key with much of the left side is split at run time: adaptive execution cuts the
+    left partitions of inner, left, semi and anti joins and reads the right one for each cut.
+    Both inputs are planned once, so joins can be chained.
     """
-    counts = df.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
-    limit = counts.agg(F.sum("n") / F.lit(share))
-    return counts.where(F.col("n") > limit.scalar()).select(*key)
-
-
-def balanced_join(
-    left: DataFrame,
-    right: DataFrame,
-    on: Sequence[str],
-    how: str,
-    spread_by: Sequence[str] | None = None,
-    salts: int = SALTS,
-) -> DataFrame:
-    """Equi-join in which the hot keys of ``left`` are spread over ``salts`` tasks.
-
-    Only rows of ``right`` that meet a hot key are copied, so ``right`` may be as
-    large as ``left``. The list of hot keys is the one thing broadcast, and it has
-    fewer than ``HOT_SHARE`` rows. The salt is a hash of the row (or of
-    ``spread_by``), so a retried task gives every row the same salt again.
-    """
-    hot = F.broadcast(hot_keys(left, on).withColumn(_HOT, F.lit(True)))
-    spread = F.pmod(F.xxhash64(*(spread_by or left.columns)), F.lit(salts)).cast("int")
-    salted = left.join(hot, list(on), "left").withColumn(
-        _SALT, F.when(F.col(_HOT), spread).otherwise(F.lit(0))
-    )
-    copies = right.join(hot, list(on), "left").withColumn(
-        _SALT,
-        F.explode(
-            F.when(F.col(_HOT), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-        ),
-    )
-    return salted.drop(_HOT).join(copies.drop(_HOT), [*on, _SALT], how).drop(_SALT)
+    return left.join(right, list(on), how)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quireflow.functions import html
-from quireflow.operators.joins import balanced_join
+from quireflow.operators.joins import key_join
 
 
 def page_cards(pages: DataFrame, url: str, body: str) -> DataFrame:
@@ -26,10 +26,10 @@ def link_cards(links: DataFrame, key: Sequence[str], cards: DataFrame) -> DataFr
     """(key…, url, resolved, title, description, image, favicon) per isolated link.
 
     Pages that were not crawled leave the link unresolved. One URL may be linked from
-    very many documents, so the link side of the join is balanced.
+    very many documents, which adaptive execution splits.
     """
     known = cards.withColumn("resolved", F.lit(True))
-    joined = balanced_join(links, known, ["url"], "left", spread_by=list(key))
+    joined = key_join(links, known, ["url"], "left")
     return joined.withColumn("resolved", F.coalesce("resolved", F.lit(False)))
 
 
@@ -38,10 +38,9 @@ def lookup(
     dimension: DataFrame,
     on: Sequence[str],
     defaults: Mapping[str, Column],
-    spread_by: Sequence[str] | None = None,
 ) -> DataFrame:
     """Left join on a key that is unique in ``dimension``, with defaults for what is missing."""
-    joined = balanced_join(rows, dimension, on, "left", spread_by=spread_by)
+    joined = key_join(rows, dimension, on, "left")
     for name, default in defaults.items():
         joined = joined.withColumn(name, F.coalesce(F.col(name), default))
     return joined

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quireflow.functions import markup, refs
 from quireflow.functions.languages import with_language
-from quireflow.operators.joins import balanced_join
+from quireflow.operators.joins import key_join
 from quireflow.operators.rows import explode_structs, explode_values
 from quireflow.specs import Storage
 
@@ -65,7 +65,7 @@ def image_table(
     one image, so the document side of the join is balanced.
     """
     used = features(docs, key, markup.images(F.col(text))).select(*key, "url")
-    found = balanced_join(used, bodies, ["url"], "inner", spread_by=list(key))
+    found = key_join(used, bodies, ["url"], "inner")
     src_id = refs.id_from_path(F.col("url"))
     cid = refs.compound_id(*[F.col(k) for k in key], src_id)
     where = refs.pointer(storage, cid, F.col("content"))

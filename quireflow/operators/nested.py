@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quireflow.functions.hashing import row_hash
-from quireflow.operators.joins import balanced_join
+from quireflow.operators.joins import key_join
 from quireflow.specs import CollectionSpec, TableSpec
 
 POS = "__pos"
@@ -122,7 +122,7 @@ def renest(
     body = [c for c in child.columns if c not in (*inherit, POS)]
     order = [POS] if POS in child.columns else [child_spec.id_name]
     groups = (
-        balanced_join(child, parts, inherit, "inner", spread_by=child_spec.pk)
+        key_join(child, parts, inherit, "inner")
         .withColumn("part", F.pmod(bucket, F.col("parts")))
         .groupBy(*inherit, "part", "parts")
         .agg(

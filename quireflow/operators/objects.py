@@ -115,30 +115,26 @@ def delete(stored: DataFrame, deletions: DataFrame, key: Sequence[str]) -> DataF
     return absent_by_key(stored, deletions, key)
 
 
-def kv_batches(pairs: DataFrame, namespaces: Sequence[str], target: int = 5000) -> DataFrame:
+def kv_batches(pairs: DataFrame, target: int = 5000) -> DataFrame:
     """(namespace, batch, pairs): bulk puts of about ``target`` pairs each.
 
     Each namespace is split by a hash of the key into as many batches as its size
-    asks for, so a namespace with most of the pairs is many groups, not one. The
-    broadcast counts have one row per *declared* namespace.
+    asks for, so a namespace with most of the pairs is many groups, not one. Every
+    namespace that occurs is batched, declared or not.
     """
-    sizes = (
-        pairs.where(F.col("namespace").isin(*namespaces))
-        .groupBy("namespace")
-        .agg(F.ceil(F.count(F.lit(1)) / F.lit(target)).alias("__n"))
-    )
+    sizes = pairs.groupBy("namespace").agg(F.ceil(F.count(F.lit(1)) / F.lit(target)).alias("__n"))
     bucket = F.conv(F.substring(F.sha2("key", 256), 1, 8), 16, 10).cast("bigint")
     return (
-        pairs.join(F.broadcast(sizes), "namespace")
+        pairs.join(sizes, "namespace")
         .withColumn("batch", F.pmod(bucket, F.col("__n")))
         .groupBy("namespace", "batch")
         .agg(F.array_sort(F.collect_list(F.struct("key", "value", "base64"))).alias("pairs"))
     )
 
 
-def delete_batches(keys: DataFrame, namespaces: Sequence[str], target: int = 5000) -> DataFrame:
+def delete_batches(keys: DataFrame, target: int = 5000) -> DataFrame:
     """(namespace, batch, keys): bulk deletes, batched like the puts."""
     blank = keys.select("namespace", "key", F.lit("").alias("value"), F.lit(False).alias("base64"))
-    return kv_batches(blank, namespaces, target).select(
+    return kv_batches(blank, target).select(
         "namespace", "batch", F.col("pairs.key").alias("keys")
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame
 
@@ -10,6 +10,7 @@ from quireflow.operators import diff
 from quireflow.plans.lifecycle import object_actions
 from quireflow.plans.sync import sync_tables
 from quireflow.sinks.snapshots import SnapshotStore
+from quireflow.session import settle
 from quireflow.specs import TableSpec
 
 
@@ -20,7 +21,8 @@ def stored_tables(store: SnapshotStore, specs: Mapping[str, TableSpec], new: Map
         found = store.read(name)
         if found is None:
             stamps = [c for c in (spec.created_at, spec.updated_at) if c]
-            found = diff.empty_like(new[name])
+            blank = store.spark.createDataFrame([], spec.struct_type)
+            found = diff.empty_like(new[name]) if name in new else blank
             for stamp in stamps:
                 found = found.withColumn(stamp, diff.run_timestamp("1970-01-01 00:00:00"))
         out[name] = found
@@ -41,15 +43,23 @@ def run_batch(
     new: Mapping[str, DataFrame],
     run_ts: str,
     force: bool = False,
+    upload: Callable[[DataFrame], None] | None = None,
+    delete: Callable[[DataFrame], None] | None = None,
 ) -> tuple[dict[str, DataFrame], DataFrame]:
-    """Sync all tables into new versions; return them and the object actions of the run.
+    """Upload new objects, sync all tables into new versions, delete objects that are gone.
 
-    Every table is computed from the old versions before any is switched to, so touch
-    sees the old state. With ``force`` the run is a full refresh: the stored
-    state counts as empty and every object is uploaded.
+    ``upload`` and ``delete`` get the actions of their kind: a row never points to an
+    object that is not there yet, and an object goes only after no row names it. The actions are
+    settled first, since they compare with the old versions. Returns the tables and all actions. With
+    ``force`` the run is a full refresh: the stored state counts as empty and every object is uploaded.
     """
     old = stored_tables(store, specs, new)
     incoming = complete(specs, new, old)
-    actions = object_actions(store.spark, old, incoming, specs, run_ts, force)
+    actions = settle(object_actions(store.spark, old, incoming, specs, run_ts, force), "actions")
     before = {n: diff.empty_like(t) for n, t in old.items()} if force else old
-    return store.write_all(sync_tables(before, incoming, specs, run_ts)), actions
+    if upload is not None:
+        upload(actions.where("action = 'upload'"))
+    tables = store.write_all(sync_tables(before, incoming, specs, run_ts))
+    if delete is not None:
+        delete(actions.where("action = 'delete'"))
+    return tables, actions

@@ -13,7 +13,7 @@ from quireflow.functions import hashing, markup, refs
 from quireflow.functions.mime import with_content_type
 from quireflow.operators import nested, validate
 from quireflow.operators.dedup import last_wins
-from quireflow.operators.joins import balanced_join
+from quireflow.operators.joins import key_join
 from quireflow.session import settle
 from quireflow.sources import attachments, corpus, decode
 from quireflow.specs import CollectionSpec, Storage, TableSpec
@@ -121,9 +121,7 @@ def settle_checked(records: DataFrame, collection: CollectionSpec, mode: str) ->
 def _known_files(files: DataFrame) -> DataFrame:
     """Digest, size, type and image dimensions per path; contents stay behind."""
     sized = files.select(
-        F.when(F.col("path").rlike("^https?://"), F.col("path"))
-        .otherwise(attachments.normal_path(F.col("path")))
-        .alias("__path"),
+        _file_path().alias("__path"),
         F.col("content").alias("__content"),
         F.col("length").cast("bigint").alias("__size"),
         hashing.digest(F.col("content")).alias("__digest"),
@@ -132,8 +130,13 @@ def _known_files(files: DataFrame) -> DataFrame:
     return with_content_type(sized, F.col("__path"), "__type")
 
 
+def _file_path() -> Column:
+    """The path that sources are looked up by; URLs stay as they are."""
+    return F.when(F.col("path").rlike("^https?://"), F.col("path")).otherwise(attachments.normal_path(F.col("path")))
+
+
 def _source_path(src: Column) -> Column:
-    remote = src.rlike("^https?://")
+    remote = src.rlike("^(?:https?://|data:)")
     return F.when(remote, src).otherwise(attachments.beside(F.col(nested.SOURCE), src))
 
 
@@ -158,7 +161,7 @@ def _attach(rows: DataFrame, src: str, files: DataFrame, key: list[str], inline:
         ).alias("__f"),
     )
     wanted = rows.withColumn("__path", _source_path(F.col(src)))
-    joined = balanced_join(wanted, narrow, ["__path"], "left", spread_by=key)
+    joined = key_join(wanted, narrow, ["__path"], "left")
     data = attachments.data_url(F.col(src))
     own = F.struct(
         hashing.digest(data["body"]).alias("digest"),
@@ -325,11 +328,17 @@ def _uploads(rows: DataFrame, spec: TableSpec) -> list[DataFrame]:
 
 
 def with_payload(uploads: DataFrame, files: DataFrame) -> DataFrame:
-    """Uploads with their bytes. Do it last: only what is to be written needs a payload."""
-    known = files.select(attachments.normal_path(F.col("path")).alias("payload_path"), "content")
-    text = F.col("payload_text").cast("binary")
+    """Uploads with their bytes. Do it last: only contents that are to be written move.
+
+    A data URL is its own payload; an upload without any is an error.
+    """
+    wanted = uploads.select("payload_path").distinct()
+    known = files.select(_file_path().alias("payload_path"), "content").join(wanted, "payload_path", "left_semi")
+    own = attachments.data_url(F.col("payload_path"))["body"]
+    body = F.coalesce(F.col("payload_text").cast("binary"), own, F.col("content"))
+    missing = F.raise_error(F.concat(F.lit("no payload for "), F.coalesce("payload_path", F.lit("an object")))).cast("binary")
     return (
-        balanced_join(uploads, known, ["payload_path"], "left", spread_by=["hash"])
-        .withColumn("body", F.coalesce(text, F.col("content")))
+        key_join(uploads, known, ["payload_path"], "left")
+        .withColumn("body", F.when(body.isNull(), missing).otherwise(body))
         .drop("content", "payload_text")
     )

@@ -9,7 +9,7 @@ from quireflow.functions.hashing import digest
 from quireflow.functions.markup import let
 from quireflow.functions.mime import with_content_type
 from quireflow.functions.refs import id_from_path, id_from_url
-from quireflow.operators.joins import balanced_join
+from quireflow.operators.joins import key_join
 
 DATA_URL = r"(?s)^data:([^,]*?)(;\s*base64)?\s*,(.*)$"
 
@@ -58,7 +58,7 @@ def join_files(refs: DataFrame, document: str, src: str, files: DataFrame) -> Da
         digest(F.col("content")).alias("content_hash"),
         F.lit(True).alias("found"),
     )
-    joined = balanced_join(wanted, known, ["path"], "left", spread_by=refs.columns)
+    joined = key_join(wanted, known, ["path"], "left")
     return with_content_type(
         joined.withColumn("found", F.coalesce("found", F.lit(False))), F.col("path")
     )

@@ -82,7 +82,7 @@ def _decode(text: str | None, syntax: str | None, body: str | None, column: str
             record = _yaml_loader()(text) if syntax == "yaml" else tomllib.loads(text)
         except Exception as error:
             # Whatever the decoder rejects is a bad document, not a bad job.
-            return None, f"Parse{syntax.capitalize()}: {str(error).splitlines()[0]}"
+            return None, f"Parse{syntax.capitalize()}: {(str(error).splitlines() or [type(error).__name__])[0]}"
     if not isinstance(record, dict):
         return None, f"Parse{str(syntax).capitalize()}: not a mapping"
     record = _plain(record)

@@ -7,6 +7,7 @@ import zlib
 
 import pytest
 import yaml
+from pyspark.sql import functions as F
 
 from quireflow import CollectionSpec
 from quireflow.plans.apply import run_batch
@@ -310,3 +311,33 @@ def test_a_stream_of_documents_uploads_before_it_upserts(spark, tmp_path):
     uri = "r2://assets/posts/attachments/%s"
     assert seen == [([uri % "p1/x"], 0), ([uri % "p2/x", uri % "p2/y"], 1)]
     assert rows(store.read("attachments"), "post_id", "id") == [("p1", "x"), ("p2", "x"), ("p2", "y")]
+
+
+def test_payloads_of_data_urls_and_remote_files(spark, tmp_path):
+    spec = collection(
+        """
+name: cards
+table: cards
+database_id: d1
+glob: "*.yaml"
+syntax: {type: yaml}
+schema:
+  id: {type: id}
+  scan: {type: file, storage: {type: r2, bucket: scans, prefix: c}}
+"""
+    )
+    folder = write(
+        tmp_path,
+        {
+            "one.yaml": "id: one\nscan: 'data:text/plain;base64,aGVsbG8='\n",
+            "two.yaml": "id: two\nscan: https://h.example/x.txt\n",
+            "three.yaml": "id: three\nscan: ./near.txt\n",
+            "near.txt": "near",
+        },
+    )
+    near = attachments.scan(spark, folder)
+    far = near.limit(1).withColumn("path", F.lit("https://h.example/x.txt")).withColumn("content", F.lit(b"far"))
+    files = near.unionByName(far.withColumn("length", F.lit(3).cast(near.schema["length"].dataType)))
+    done = compile_documents(spark, spec, folder, "*.yaml", files=files)
+    got = {r.pointer.key: bytes(r.body) for r in with_payload(done.uploads, files).collect()}
+    assert got == {"c/one": b"hello", "c/two": b"far", "c/three": b"near"}

@@ -13,26 +13,16 @@ def run(spark, text, feature):
 
 
 FENCES = [
-    ("rust", "rust", []),
-    ("rust {linenos=true}", "rust", [("linenos", "true", "boolean")]),
-    ('python {start=1 theme="solarized"}', "python", [("start", "1", "integer"), ("theme", "solarized", "string")]),
-    ("javascript {linenos, readonly}", "javascript", [("linenos", "true", "boolean"), ("readonly", "true", "boolean")]),
-    ("{linenos=true}", None, [("linenos", "true", "boolean")]),
-    ("", None, []),
-    (
-        'rust {linenos=true, readonly, theme="dark"}',
-        "rust",
-        [("linenos", "true", "boolean"), ("readonly", "true", "boolean"), ("theme", "dark", "string")],
-    ),
-    (r'rust {title="He said \"Hello\""}', "rust", [("title", 'He said "Hello"', "string")]),
-    (r'rust {path="C:\\Program Files\\test"}', "rust", [("path", r"C:\Program Files\test", "string")]),
-    (r'rust {msg="Line1\nLine2\tTabbed"}', "rust", [("msg", "Line1\nLine2\tTabbed", "string")]),
-    (r"rust {msg='Don\'t worry'}", "rust", [("msg", "Don't worry", "string")]),
-    (r'rust {m="a\qb" n=-3 o=x-1}', "rust", [("m", r"a\qb", "string"), ("n", "-3", "integer"), ("o", "x-1", "string")]),
-    ("rust {a=1, a=2}", "rust", [("a", "2", "integer")]),
-    ("rust {a=1", "rust", []),
-    ("c++ {a}", "c", []),
-    (r'x {p="\\n"}', "x", [("p", r"\n", "string")]),
+    ("sql", "sql", []),
+    ("toml {wrap}", "toml", [("wrap", "true", "boolean")]),
+    ("go {width=80, fold=false}", "go", [("width", "80", "integer"), ("fold", "false", "boolean")]),
+    ("{caption='A table'}", None, [("caption", "A table", "string")]),
+    (r"yaml {note='it\'s'}", "yaml", [("note", "it's", "string")]),
+    (r'css {sep="a\tb"}', "css", [("sep", "a\tb", "string")]),
+    ("lua {k=1, j=2, k=3}", "lua", [("j", "2", "integer"), ("k", "3", "integer")]),
+    ("lua {k=1, never closed", "lua", []),
+    ("   ", None, []),
+    ("java {" + ", ".join(f"a{i}={i}" for i in range(300)) + "}", "java", [(f"a{i}", str(i), "integer") for i in range(300)]),
 ]
 
 
