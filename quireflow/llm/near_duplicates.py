@@ -38,6 +38,9 @@ _draw = np.random.default_rng(20240607)
 _FACTORS = _draw.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFTS = _draw.integers(0, 1 << 63, HASHES, dtype=np.uint64)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_FOLD = np.uint32(0x9E3779B1)
+#: Bytes of one value of a signature.
+VALUE = 2
 
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:
@@ -56,12 +59,15 @@ def shingle_set(text: str | None, width: int) -> np.ndarray:
 
 
 def signature(shingles: np.ndarray, block: int = 4096) -> np.ndarray:
-    """Minima of HASHES multiply-shift hashes, 32 bits each."""
+    """Minima of HASHES multiply-shift hashes, each folded to 16 bits.
+
+    Equal minima stay equal. Different ones agree by chance once in 65,536, which adds candidates and drops none.
+    """
     low = np.full(HASHES, 0xFFFFFFFF, dtype=np.uint32)
     for at in range(0, len(shingles), block):
         x = shingles[at : at + block]
         low = np.minimum(low, ((_FACTORS[:, None] * x + _SHIFTS[:, None]) >> np.uint64(32)).min(1).astype(np.uint32))
-    return low
+    return ((low * _FOLD) >> np.uint32(16)).astype(np.uint16)
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -106,7 +112,7 @@ def _prune(percent: int):
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch[c]), dtype=np.uint32).reshape(-1, HASHES) for c in ("sign_a", "sign_b"))
+            a, b = (np.frombuffer(b"".join(batch[c]), dtype=np.uint16).reshape(-1, HASHES) for c in ("sign_a", "sign_b"))
             left, matches = np.arange(len(a)), np.zeros(len(a), dtype=np.int64)
             for k, least in enumerate(need):
                 part = slice(k * BATCH, (k + 1) * BATCH)
@@ -124,7 +130,7 @@ def _blocks(width: int, percent: int):
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         probes, members = rows[rows["probe"]], rows[~rows["probe"]]
-        sign = [np.frombuffer(b"".join(x["signature"]), dtype=np.uint32).reshape(-1, HASHES) for x in (probes, members)]
+        sign = [np.frombuffer(b"".join(x["signature"]), dtype=np.uint16).reshape(-1, HASHES) for x in (probes, members)]
         own = [x["component"].to_numpy() for x in (probes, members)]
         rep = [x["rep"].to_numpy() for x in (probes, members)]
         text = [x["text"].tolist() for x in (probes, members)]
@@ -191,10 +197,14 @@ def components(edges: DataFrame, purpose: str = "links") -> DataFrame:
 
 
 class Links:
-    """Confirms candidate pairs of class representatives."""
+    """Confirms candidate pairs of class representatives.
 
-    def __init__(self, docs: DataFrame, classes: DataFrame, width: int, percent: int):
-        self.texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    Only members of shared bands are ever compared. Their texts are picked out of the corpus once, for all rounds.
+    """
+
+    def __init__(self, docs: DataFrame, members: DataFrame, classes: DataFrame, width: int, percent: int):
+        texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+        self.texts = settle(texts.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), "near-texts")
         self.classes, self.width, self.percent = classes, width, percent
 
     def confirm(self, pairs: DataFrame) -> DataFrame:
@@ -204,15 +214,12 @@ class Links:
             signs.select(F.col("rep").alias("a"), F.col("signature").alias("sign_a")), "a"
         )
         left = settle(map_rows(signed, "a long, b long", _prune(self.percent)).distinct(), "near-survivors")
-        wanted = left.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        # Only representatives of a class are ever compared, so only their texts move.
-        texts = settle(self.texts.join(wanted, "doc_id", "left_semi"), "near-texts")
+        texts = self.texts
         full = left.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(
             texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a"
         )
         return settle(map_rows(full, "a long, b long", _confirm(self.width, self.percent)).distinct(), "near-links")
 
-
     def between(self, open_: DataFrame, block: int = 1024) -> DataFrame:
         """Links between different components of the bands in ``open_`` (band, rep, component)."""
         sizes = open_.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
@@ -222,9 +229,8 @@ class Links:
         parts = charged.groupBy("home").agg(
             F.ceil(F.count(F.lit(1)) / block).cast("int").alias("n_parts"), F.ceil(4 * probes / block).cast("int").alias("n_turns")
         )
-        texts = self.texts.join(charged.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
         full = charged.join(parts, "home").join(self.classes.select("rep", "signature"), "rep")
-        full = full.join(texts.select(F.col("doc_id").alias("rep"), "text"), "rep")
+        full = full.join(self.texts.select(F.col("doc_id").alias("rep"), "text"), "rep")
         deal = lambda n, salt: F.pmod(F.xxhash64("rep", F.lit(salt)), F.col(n)).cast("int")
         every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
         columns = ("home", "part", "turn", "rep", "component", "signature", "text", "probe")
@@ -244,13 +250,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rounds:
     bands = classes.select(
         "rep",
         F.explode(
-            F.array(*[F.xxhash64(F.lit(i), F.substring("signature", 4 * DEPTH * i + 1, 4 * DEPTH)) for i in range(BANDS)])
+            F.array(*[F.xxhash64(F.lit(i), F.substring("signature", VALUE * DEPTH * i + 1, VALUE * DEPTH)) for i in range(BANDS)])
         ).alias("band"),
     )
     # A band with one class links nothing; the others keep all their members.
     shared = bands.groupBy("band").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
     members = settle(bands.join(shared.select("band", "low"), "band"), "near-bands")
-    links = Links(docs, classes, width, percent)
+    links = Links(docs, members, classes, width, percent)
     done = settle(members.where("low <> rep").select(F.col("low").alias("a"), F.col("rep").alias("b")).distinct(), "near-pairs")
     # A document of several classes (a repeated id) ties them together.
     own = usable.select("doc_id", "digest").join(classes.select("digest", "rep"), "digest")
