@@ -123,6 +123,28 @@ def test_tree_counts_are_exact():
                     assert counts[edge, b, int(value)] == want
 
 
+def test_pieces_hold_every_byte_once():
+    rng = np.random.default_rng(4)
+    for size in (0, 1, 63, 64, 65, 119, 120, 121, 500):
+        word = bytes(rng.integers(97, 123, size, dtype=np.uint8))
+        got = context_mixing.pieces(word)
+        assert b"".join(p[context_mixing.LEAD :] if p[:1] == context_mixing.MARK else p for p in got) == word
+        assert all(len(p) == context_mixing.DEEP for p in got[:-1]) and len(got[-1]) < context_mixing.DEEP
+
+
+def test_long_words_are_learned_to_their_end(make):
+    rng = np.random.default_rng(6)
+    letters = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    known, strange = letters(3000), letters(3000)
+    held = [d for d in range(1, 200) if zlib.crc32(str(d).encode()) % 7 == 2][:4]
+    # What was learned stands only past the first DEEP bytes, under other beginnings than those of the scored words.
+    rows = [(1000 + i, letters(70) + known) for i in range(40) if zlib.crc32(str(1000 + i).encode()) % 7 != 2]
+    rows += [(held[0], letters(71) + known), (held[1], letters(71) + strange), (held[2], letters(64)), (held[3], "é" * 32)]
+    out = {r.doc_id: r for r in context_mixing.score_texts(make(rows)).collect()}
+    assert len(out) == len(rows) and all(math.isfinite(r.score) for r in out.values())
+    assert out[held[0]].bits_per_byte < 2 and out[held[1]].bits_per_byte > 4
+
+
 # ---------------------------------------------------------------- packing
 
 
