@@ -5,8 +5,9 @@ A text is the set of its letter n-grams of 1 to 4 bytes (a blended spectrum, pre
 turn this kernel into a short vector; one-versus-rest kernel ridge regression in that space predicts. Whole
 texts are scored in batches, as two matrix products.
 
-The model is fitted on a bounded sample: about ``per_lang`` documents of each label, drawn by a hash of their ids, from the
-documents whose crc32(doc_id) mod 5 is not 0. A label needs one document to be learned.
+The model is fitted on a bounded sample: at most ``per_lang`` documents of each label, drawn by a hash of their ids, from the
+documents whose crc32(doc_id) mod 5 is not 0. Each label is bounded by itself, so a label needs one document to be learned, however many
+labels there are; in all these are at most ``per_lang * max_langs`` documents (600,000), of which the driver sees the landmarks alone.
 
 Defined cases: null texts and texts without letter are ``und`` with score 0; without any learned label
 every text is ``und``; ties go to the label that sorts first; a null doc_id has crc 0, so it is held out; repeated rows are predicted one by one.
@@ -18,13 +19,14 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quireflow.llm.common import crc_fold, map_rows
+from quireflow.llm.common import crc_fold, map_rows, settle
 
 DIMS = 1 << 13
 FOLDS = 5
+OWN_MARKS = 4  # landmarks of each label, at least, as far as it has documents
 # ASCII bytes that are not letters become one separator; A-Z become a-z.
 _LETTERS = np.array([b if b >= 128 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256)], dtype=np.uint32)
 
@@ -60,37 +62,76 @@ class Model:
 
 def _sets(batches: Iterator[dict]) -> Iterator[dict]:
     for batch in batches:
-        yield {"lang": batch["lang"], "bits": [np.packbits(gram_set(t)).tobytes() for t in batch["text"]]}
+        yield {
+            "lang": batch["lang"],
+            "doc_id": batch["doc_id"],
+            "drawn": batch["drawn"],
+            "bits": [np.packbits(gram_set(t)).tobytes() for t in batch["text"]],
+        }
 
 
-def fit(docs: DataFrame, per_lang: int = 1500, landmarks: int = 256, ridge: float = 1e-3, max_langs: int = 400) -> Model:
-    """Fit on about ``per_lang`` labelled documents of each of the ``max_langs`` commonest labels."""
-    usable = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_fold("doc_id", FOLDS) != 0))
+def _unit(bits: list[bytes]) -> np.ndarray:
+    x = np.unpackbits(np.frombuffer(b"".join(bits), dtype=np.uint8).reshape(len(bits), -1), axis=1).astype(np.float32)
+    return x / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
+
+
+def _sample(usable: DataFrame, per_lang: int, max_langs: int) -> DataFrame:
+    """lang, turn and bits of at most ``per_lang`` documents of each label; turns count a label's documents from 1."""
     sizes = {r.lang: r["count"] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()}
     if not sizes:
-        return Model([], np.zeros((DIMS, 0)), np.zeros((0, 0)))
-    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, per_lang / n))])
+        return usable.limit(0).select("lang", F.lit(0).alias("turn"), F.col("text").cast("binary").alias("bits"))
+    # Somewhat more than per_lang are drawn, so that the count below it decides.
+    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, 1.2 * (per_lang + 50) / n))])
     draw = (F.xxhash64("doc_id") % 1_000_003 + 1_000_003) % 1_000_003 / F.lit(1_000_003.0)
-    sample = usable.where(F.col("lang").isin(list(sizes)) & (draw < share[F.col("lang")])).orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id", "lang")
-    rows = map_rows(sample.limit(2 * per_lang * min(len(sizes), 8)), "lang string, bits binary", _sets).collect()
-    langs = sorted({r.lang for r in rows})
-    x = np.unpackbits(np.frombuffer(b"".join(r.bits for r in rows), dtype=np.uint8).reshape(len(rows), -1), axis=1).astype(np.float32)
-    x /= np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
-    label = np.array([langs.index(r.lang) for r in rows])
+    drawn = usable.where(F.col("lang").isin(list(sizes)) & (draw < share[F.col("lang")]))
+    drawn = drawn.select("lang", F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", F.lit(7)).alias("drawn"), "text")
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy("drawn", "doc_id", "bits"))
+    turns = map_rows(drawn, "lang string, doc_id long, drawn long, bits binary", _sets).withColumn("turn", turn)
+    return turns.where(F.col("turn") <= per_lang).select("lang", "turn", "bits")
+
+
+def _sums(points: np.ndarray, langs: list[str], sizes: dict[str, int], block: int = 512):
+    """This task's share of the weighted Gram matrix and of each label's mean."""
+
+    def run(batches: Iterator[dict]) -> Iterator[dict]:
+        gram, means = np.zeros((points.shape[1],) * 2), np.zeros((points.shape[1], len(langs)))
+        place = {lang: k for k, lang in enumerate(langs)}
+        for batch in batches:
+            for at in range(0, len(batch["lang"]), block):
+                some = batch["lang"][at : at + block]
+                phi = (_unit(batch["bits"][at : at + block]) @ points).astype(np.float64)
+                light = phi / np.array([sizes[x] for x in some])[:, None]
+                gram += light.T @ phi
+                np.add.at(means.T, [place[x] for x in some], light)
+        yield {"gram": [gram.tobytes()], "means": [means.tobytes()]}
+
+    return run
+
+
+def fit(docs: DataFrame, per_lang: int = 1500, landmarks: int = 256, ridge: float = 1e-3, max_langs: int = 400) -> Model:
+    """Fit on at most ``per_lang`` labelled documents of each of the ``max_langs`` commonest labels.
+
+    There are ``landmarks`` landmarks, or ``OWN_MARKS`` for each label if that is more.
+    """
+    usable = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_fold("doc_id", FOLDS) != 0))
+    sample = settle(_sample(usable, per_lang, max_langs), "lang-sample")
+    sizes = {r.lang: r["count"] for r in sample.groupBy("lang").count().collect()}
+    langs = sorted(sizes)
+    if not langs:
+        return Model([], np.zeros((DIMS, 0)), np.zeros((0, 0)))
     # Landmarks in turn from each language, so that none is without.
-    turn = np.zeros(len(rows), dtype=np.int64)
-    for k in range(len(langs)):
-        turn[label == k] = np.arange((label == k).sum())
-    z = x[np.lexsort((label, turn))[:landmarks]]
+    marks = sample.orderBy("turn", "lang").limit(max(landmarks, OWN_MARKS * len(langs))).select("bits").collect()
+    z = _unit([r.bits for r in marks])
     values, vectors = np.linalg.eigh((z @ z.T).astype(np.float64))
     solid = values > 1e-6 * values[-1]
     into = (vectors[:, solid] / np.sqrt(values[solid])).astype(np.float32)
     points = z.T @ into
-    phi = (x @ points).astype(np.float64)
-    weight = 1.0 / np.bincount(label, minlength=len(langs))[label]
-    gram = (phi * weight[:, None]).T @ phi
-    target = np.where(label[:, None] == np.arange(len(langs)), 1.0, -1.0)
-    weights = np.linalg.solve(gram + ridge * np.trace(gram) / len(gram) * np.eye(len(gram)), (phi * weight[:, None]).T @ target)
+    # Each label weighs as much as any other; only sums go through the driver.
+    parts = map_rows(sample.select("lang", "bits").coalesce(8), "gram binary, means binary", _sums(points, langs, sizes)).collect()
+    gram = sum(np.frombuffer(p.gram).reshape((points.shape[1],) * 2) for p in parts)
+    means = sum(np.frombuffer(p.means).reshape(points.shape[1], -1) for p in parts)
+    targets = 2 * means - means.sum(1, keepdims=True)  # own label 1, all others -1
+    weights = np.linalg.solve(gram + ridge * np.trace(gram) / len(gram) * np.eye(len(gram)), targets)
     return Model(langs, points, weights.astype(np.float32))
 
 

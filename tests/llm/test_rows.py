@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 import string
+import zlib
 
 import numpy as np
 import pytest
@@ -134,6 +135,22 @@ def test_language_odd_rows(make, odd):
     assert kept.columns == make(odd).columns and {1, 2, 9}.isdisjoint({r.doc_id for r in kept.collect()})
 
 
+def test_rare_labels_are_learned_among_many(make):
+    rng = random.Random(8)
+    texts, rows = {}, []
+    for k in range(40):
+        words = ["".join(rng.choices(string.ascii_lowercase, k=5)) for _ in range(30)]
+        texts[f"l{k:02}"] = lambda words=words: " ".join(rng.choices(words, k=60))
+    learned = [d for d in range(1, 2000) if zlib.crc32(str(d).encode()) % 5]
+    for k, lang in enumerate(sorted(texts)):
+        # The last ten labels have one document each, the others more than is taken of them.
+        rows += [(learned.pop(), texts[lang](), lang) for _ in range(1 if k >= 30 else 30)]
+    model = language_id.fit(make(rows), per_lang=20, landmarks=16)
+    assert model.langs == sorted(texts)
+    values = model.decide(np.stack([language_id.gram_set(texts[lang]()) for lang in model.langs]))
+    assert (values.argmax(1) == np.arange(40)).mean() > 0.95
+
+
 def test_license_places(spark, docs, make, odd):
     upper = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
     split = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
