@@ -9,6 +9,10 @@ The model is fitted on a bounded sample: at most ``per_lang`` documents of each
 documents whose crc32(doc_id) mod 5 is not 0. Each label is bounded by itself, so a label needs one document to be learned, however many
 labels there are; in all these are at most ``per_lang * max_langs`` documents (600,000), of which the driver sees the landmarks alone.
 
+``accept`` asks more than the nearest label: the best value must not be negative (else every language says no), and the best value, its
+lead over the second and the length of the text's landmark vector must each reach half of what all but one percent of the rightly told,
+labelled documents that were held out reach. Without such a document only the sign of the best value counts.
+
 Defined cases: null texts and texts without letter are ``und`` with score 0; without any learned label
 every text is ``und``; ties go to the label that sorts first; a null doc_id has crc 0, so it is held out; repeated rows are predicted one by one.
 """
@@ -16,7 +20,7 @@ every text is ``und``; ties go to the label that sorts first; a null doc_id has
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -53,11 +57,24 @@ class Model:
     landmarks: np.ndarray  # DIMS x m, each column of unit length
     weights: np.ndarray  # m x languages
 
-    def decide(self, sets: np.ndarray) -> np.ndarray:
-        """One row per text, one regression value per language."""
+    floors: tuple[float, float, float] = (0.0, 0.0, 0.0)  # least best value, lead and length of a text that counts as told
+
+    def embed(self, sets: np.ndarray) -> np.ndarray:
         x = sets.astype(np.float32)
         x /= np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
-        return (x @ self.landmarks) @ self.weights
+        return x @ self.landmarks
+
+    def decide(self, sets: np.ndarray) -> np.ndarray:
+        """One row per text, one regression value per language."""
+        return self.embed(sets) @ self.weights
+
+    def measures(self, sets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Best label of each text, and its value, its lead over the second and the length of the landmark vector."""
+        phi = self.embed(sets)
+        values = phi @ self.weights
+        ranked = np.sort(values, axis=1)
+        lead = ranked[:, -1] - ranked[:, -2] if len(self.langs) > 1 else np.full(len(values), np.inf)
+        return values.argmax(1), np.stack([ranked[:, -1], lead, np.linalg.norm(phi, axis=1)], axis=1)
 
 
 def _sets(batches: Iterator[dict]) -> Iterator[dict]:
@@ -135,19 +152,43 @@ def fit(docs: DataFrame, per_lang: int = 1500, landmarks: int = 256, ridge: floa
     return Model(langs, points, weights.astype(np.float32))
 
 
-def _predictor(model: Model, block: int = 256):
+def with_floors(model: Model, docs: DataFrame, per_lang: int = 1500, max_langs: int = 400) -> Model:
+    """The model with its floors set on at most ``per_lang`` held-out documents of each label."""
+    if not model.langs:
+        return model
+    held = docs.select("doc_id", "lang", "text").where(F.col("lang").isin(model.langs) & F.col("text").isNotNull() & (crc_fold("doc_id", FOLDS) == 0))
+
+    def run(batches: Iterator[dict]) -> Iterator[dict]:
+        for batch in batches:
+            if not batch["bits"]:
+                continue
+            sets = np.unpackbits(np.frombuffer(b"".join(batch["bits"]), dtype=np.uint8).reshape(len(batch["bits"]), -1), axis=1)
+            best, found = model.measures(sets)
+            right = np.array([model.langs[k] == lang for k, lang in zip(best, batch["lang"])], dtype=bool)
+            yield {c: found[right, i].astype(np.float64) for i, c in enumerate(("value", "lead", "length"))}
+
+    told = map_rows(_sample(held.where(F.col("text").rlike(r"\p{L}")), per_lang, max_langs), "value double, lead double, length double", run)
+    low = told.agg(*[F.percentile(c, F.lit(0.01)).alias(c) for c in ("value", "lead", "length")]).first()
+    return replace(model, floors=tuple(0.0 if x is None else max(0.0, x / 2) for x in low))
+
+
+def _tell(model: Model, texts: list[str | None], block: int = 256) -> tuple[list[str], list[float], list[bool]]:
+    """Label and score of each text, and whether it reaches the model's floors."""
+    lang, score, told = ["und"] * len(texts), [0.0] * len(texts), [False] * len(texts)
+    usable = [i for i, t in enumerate(texts) if model.langs and has_letter(t)]
+    for at in range(0, len(usable), block):
+        some = usable[at : at + block]
+        best, found = model.measures(np.stack([gram_set(texts[i]) for i in some]))
+        for i, b, f in zip(some, best, found):
+            lang[i], score[i] = model.langs[b], float(np.clip((1 + f[0]) / 2, 0, 1))
+            told[i] = bool((f >= model.floors).all())
+    return lang, score, told
+
+
+def _predictor(model: Model):
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         for batch in batches:
-            texts = batch["text"]
-            lang, score = ["und"] * len(texts), [0.0] * len(texts)
-            usable = [i for i, t in enumerate(texts) if model.langs and has_letter(t)]
-            for at in range(0, len(usable), block):
-                some = usable[at : at + block]
-                values = model.decide(np.stack([gram_set(texts[i]) for i in some]))
-                best = values.argmax(1)
-                sure = np.clip((1 + values.max(1)) / 2, 0, 1)
-                for i, b, s in zip(some, best, sure):
-                    lang[i], score[i] = model.langs[b], float(s)
+            lang, score, _ = _tell(model, batch["text"])
             yield batch | {"lang_pred": lang, "score": score}
 
     return run
@@ -162,14 +203,14 @@ def language_id(docs: DataFrame, **fitting) -> DataFrame:
 
 
 def accept(docs: DataFrame, least: float = 0.2, **fitting) -> DataFrame:
-    """The documents, all columns kept, whose language is told with a score of at least ``least``; ``und`` goes."""
-    model = fit(docs, **fitting)
+    """The documents, all columns kept, whose language is told with a score of at least ``least`` and beyond the model's floors; ``und`` goes."""
+    model = with_floors(fit(docs, **fitting), docs, **{k: v for k, v in fitting.items() if k in ("per_lang", "max_langs")})
     schema = ", ".join(f"`{name}` {kind}" for name, kind in docs.dtypes)
-    predict = _predictor(model)
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
-        for batch in predict(batches):
-            good = [i for i, s in enumerate(batch["score"]) if batch["lang_pred"][i] != "und" and s >= least]
+        for batch in batches:
+            _, score, told = _tell(model, batch["text"])
+            good = [i for i, s in enumerate(score) if told[i] and s >= least]
             yield {name: [values[i] for i in good] for name, values in batch.items()}
 
     return map_rows(docs, schema, run)

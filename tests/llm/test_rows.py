@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import random
 import re
@@ -151,6 +152,23 @@ def test_rare_labels_are_learned_among_many(make):
     assert (values.argmax(1) == np.arange(40)).mean() > 0.95
 
 
+def test_language_stage_drops_what_no_language_claims(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rng = random.Random(9)
+    junk = [(10_000_000 + i, "".join(rng.choices(string.ascii_letters + " ", k=n))) for i, n in enumerate([60, 300, 2000, 10_000] * 10)]
+    blobs = [(11_000_000 + i, base64.b64encode(rng.randbytes(n)).decode()) for i, n in enumerate([60, 300, 2000, 10_000] * 10)]
+    other = [(12_000_000 + i, "".join(rng.choices("абвгдежзиклмнопрсту ", k=n))) for i, n in enumerate([60, 300, 2000] * 10)]
+    strange = spark.createDataFrame(junk + blobs + other, "doc_id long, text string")
+    # One language is not learned: its documents come without their label.
+    known = table.withColumn("lang", F.when(F.col("lang") != "de", F.col("lang")))
+    kept = language_id.accept(known.unionByName(strange, allowMissingColumns=True)).select("doc_id").collect()
+    kept = {r.doc_id for r in kept}
+    assert not [d for d in kept if d >= 10_000_000]
+    ids = {lang: {r.doc_id for r in table.where(F.col("lang") == lang).select("doc_id").collect()} for lang in ("de", "en", "es", "fr")}
+    assert len(ids["de"] & kept) < 0.05 * len(ids["de"])
+    assert all(len(ids[lang] & kept) > 0.97 * len(ids[lang]) for lang in ("en", "es", "fr"))
+
+
 def test_license_places(spark, docs, make, odd):
     upper = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
     split = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
