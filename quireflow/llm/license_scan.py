@@ -3,7 +3,8 @@
 The index holds, for each template, its ``rare`` words of highest IDF over all documents, and where in the template they stand.
 Each place in a file where such a word occurs proposes where a template would start; places that
 propose the same start agree by relative position. A start counts if the words found there carry enough of the template's IDF and if
-the template's mandatory key phrase stands word for word at its place. Base phrases are templates whose key
+the template's mandatory key phrase stands word for word at its place. A text may begin inside a template, so a start may lie before
+its first word; the words it lacks count as missing. Base phrases are templates whose key
 phrase is all of them, so all their places are found. DataFrame functions only; the only shuffle counts words of the templates.
 
 Defined cases: null and empty texts have no words, no labels and score 0; rows with the same id are scanned one
@@ -136,18 +137,20 @@ def license_scan(docs: DataFrame, templates: list[Template] | None = None, rare:
 
     def weigh(start: Column, t: Column) -> Column:
         def add(sum_: Column, r: Column) -> Column:
-            return sum_ + F.when(F.try_element_at("words", (start + r["place"] + 1).cast("int")) == r["word"], r["weight"]).otherwise(0.0)
+            at = start + r["place"] + 1  # words before the text's first are missing
+            there = F.try_element_at("words", F.greatest(at, F.lit(1)).cast("int")) == r["word"]
+            return sum_ + F.when((at > 0) & there, r["weight"]).otherwise(0.0)
 
         return F.aggregate(t["rare"], F.lit(0.0), add) / t["total"]
 
     def judge(code: Column) -> Column:
-        start, number = F.floor(code / width), (code % width).cast("int")
+        start, number = F.floor(code / width), F.pmod(code, F.lit(width)).cast("int")
         t = about[number]
-        whole = F.slice("words", (start + t["key_at"] + 1).cast("int"), F.size(t["key"])) == t["key"]
-        return F.when(whole, F.struct(start.alias("start"), number.alias("template"), weigh(start, t).alias("share"), t["least"].alias("least")))
+        at = start + t["key_at"] + 1
+        whole = F.slice("words", F.greatest(at, F.lit(1)).cast("int"), F.size(t["key"])) == t["key"]
+        return F.when((at > 0) & whole, F.struct(start.alias("start"), number.alias("template"), weigh(start, t).alias("share"), t["least"].alias("least")))
 
-    # A template cut off before the text's start is not looked for: its start would be negative.
-    judged = F.filter(F.transform(F.filter("proposed", lambda c: c >= 0), judge), lambda x: x.isNotNull() & (x["share"] >= x["least"]))
+    judged = F.filter(F.transform("proposed", judge), lambda x: x.isNotNull() & (x["share"] >= x["least"]))
     found = F.array_sort(F.transform(judged, lambda x: F.struct(x["start"].alias("start"), x["template"].alias("template"), x["share"].alias("share"))))
     return (
         rows.withColumn("hits", hits)

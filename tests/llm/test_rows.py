@@ -200,6 +200,22 @@ def test_license_places(spark, docs, make, odd):
     assert license_scan.license_scan(make(odd[:0])).count() == 0
 
 
+def test_license_titles_at_the_start_of_a_text(spark, docs, make):
+    titles = {
+        "apache-2.0": "Apache License Version 2.0", "gpl-2": "GNU General Public License version 2", "mpl-2.0": "Mozilla Public License v 2.0",
+        "cc0": "CC0 1.0", "gpl-3": "General Public License, version 3",
+    }
+    # Texts with the template's other words make the title's words the rare ones, as in a corpus of prose.
+    common = [(500_000 + i, "licensed under the terms of this source code form is subject to public domain worldwide") for i in range(400)]
+    rows = [(r.doc_id, r.text) for r in docs.collect()] + common
+    for k, title in enumerate(titles.values()):
+        rows += [(600_000 + k, f"{title} and more"), (700_000 + k, " ".join(f"filler{j}" for j in range(20)) + f" {title} and more")]
+    found = {r.doc_id: r for r in license_scan.report(license_scan.license_scan(make(rows))).where("doc_id >= 600000").collect()}
+    for k, label in enumerate(titles):
+        first, later = found[600_000 + k], found[700_000 + k]
+        assert label in later.labels.split(",") and first.labels == later.labels and first.score == later.score
+
+
 def test_weak_labels_agree_with_labels(spark):
     base = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{base}/documents.parquet"), spark.read.parquet(f"{base}/labels.parquet")
