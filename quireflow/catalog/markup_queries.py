@@ -311,6 +311,7 @@ def nst_image_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     rows = jobs.image_table(corpus(spark, sf_dir), ["doc_id"], ["doc_id"], "md", bodies, _IMAGE_STORE)
     image = F.col("image")
+    rows = rows.where(image.isNotNull())
     p = image["pointer"]
     return rows.select(
         "doc_id",

@@ -59,13 +59,13 @@ def image_table(
     bodies: DataFrame,
     storage: Storage,
 ) -> DataFrame:
-    """Child rows (inherit_ids…, src_id, image) of the images a document uses.
+    """Child rows (inherit_ids…, src_id, image) of the images a document uses; ``image`` is null where no body was found.
 
     ``bodies`` holds (url, content, content_type, width, height) once per URL. Many documents may use
     one image, so the document side of the join is balanced.
     """
     used = features(docs, key, markup.images(F.col(text))).select(*key, "url")
-    found = key_join(used, bodies, ["url"], "inner")
+    found = key_join(used, bodies.withColumn("__found", F.lit(True)), ["url"], "left")
     src_id = refs.id_from_path(F.col("url"))
     cid = refs.compound_id(*[F.col(k) for k in key], src_id)
     where = refs.pointer(storage, cid, F.col("content"))
@@ -73,5 +73,5 @@ def image_table(
     return found.select(
         *[F.col(k).alias(i) for k, i in zip(key, inherit_ids, strict=True)],
         src_id.alias("src_id"),
-        refs.object_ref(F.col("content"), F.col("content_type"), where, meta).alias("image"),
+        F.when(F.col("__found"), refs.object_ref(F.col("content"), F.col("content_type"), where, meta)).alias("image"),
     )

@@ -84,7 +84,10 @@ def compile_records(
             rows, missing = _resolve(frames[name], spec, known)
             letters += missing
         else:
-            rows = _image_rows(frames[spec.parent or ""], spec, specs, known)
+            rows, missing = _image_rows(frames[spec.parent or ""], spec, specs, known)
+            if mode == "failfast" and (lost := missing.first()):
+                raise ValueError(f"missing image: {lost.source_entry} {lost.field} {lost.got}")
+            letters.append(missing)
         rows = _unique(rows, spec)
         tables[name] = rows.select(*[c for c in spec.columns if c in rows.columns])
         uploads += _uploads(rows, spec)
@@ -276,8 +279,11 @@ def stored_markdown(front: Column, text: Column) -> Column:
 
 def _image_rows(
     frame: DataFrame, spec: TableSpec, specs: Mapping[str, TableSpec], files: DataFrame
-) -> DataFrame:
-    """Rows of a markdown field's image table; small vector images stay in the page."""
+) -> tuple[DataFrame, DataFrame]:
+    """Rows of a markdown field's image table, and letters of the images that no file was found for.
+
+    Small vector images stay in the page.
+    """
     parent = specs[spec.parent or ""]
     field = parent.field(spec.path[-1])
     threshold = field.image.embed_svg_threshold if field.image else 0
@@ -285,12 +291,12 @@ def _image_rows(
     used = _used_images(frame, [*keys, nested.SOURCE, nested.DOC_HASH], spec.path[-1])
     storage = spec.field("image").storage or Storage("inline")
     found = _attach(used, "url", files, list(spec.inherit_ids), storage.kind == "inline")
+    missing = _letter(found, list(spec.inherit_ids), spec.path[-1], "url")
     embedded = (F.col("__f.image.format") == "svg") & (F.col("__f.size") < threshold)
     found = found.where(F.col("__f").isNotNull() & ~F.coalesce(embedded, F.lit(False)))
     found = found.withColumn("src_id", _derived_id(F.col("url")))
-    return found.withColumn("image", _reference(storage, spec.pk, F.col("url"), True)).withColumn(
-        "__at_image", F.col("__path")
-    )
+    rows = found.withColumn("image", _reference(storage, spec.pk, F.col("url"), True))
+    return rows.withColumn("__at_image", F.col("__path")), missing
 
 
 def _unique(rows: DataFrame, spec: TableSpec) -> DataFrame:

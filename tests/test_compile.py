@@ -10,10 +10,12 @@ import yaml
 from pyspark.sql import functions as F
 
 from quireflow import CollectionSpec
+from quireflow.operators import markup
 from quireflow.plans.apply import run_batch
 from quireflow.plans.compile import compile_documents, compile_records, records_of, with_payload
 from quireflow.sinks.snapshots import SnapshotStore
 from quireflow.sources import attachments
+from quireflow.specs import Storage
 from quireflow.streaming import incremental
 
 T1, T2 = "2025-01-01 00:00:00", "2025-02-02 00:00:00"
@@ -285,6 +287,38 @@ def test_markdown_collection(spark, tmp_path):
     assert again.body.hash != row.body.hash  # the og image is part of the stored frontmatter
 
 
+def test_missing_images_are_dead_letters(spark, tmp_path):
+    spec = collection(BLOG)
+    head = "published: 2025-09-02T00:00:00\n"
+    folder = write(
+        tmp_path / "posts",
+        {
+            "a.md": f"---\nid: a\n{head}comments:\n  - comment_id: c\n    comment: '![x](gone.png)'\n---\n![i](test.png) ![n](none.png) ![n](none.png)\n",
+            "b.md": f"---\nid: b\n{head}---\n![n](none.png) ![r](https://h.example/r.png)\n",
+            "test.png": png(7, 5),
+        },
+    )
+    done = compile_documents(spark, spec, folder, "*.md")
+    assert rows(done.tables["post_images"], "post_id", "src_id") == [("a", "test.png")]
+    letters = [(r.source_entry.rsplit("/", 1)[1], r.id, r.field, r.code, r.got) for r in done.dead_letters.collect()]
+    assert sorted(x[:1] + x[2:] for x in letters) == [
+        ("a.md", "body", "LoadFailed", "none.png"),
+        ("a.md", "comment", "LoadFailed", "gone.png"),
+        ("b.md", "body", "LoadFailed", "https://h.example/r.png"),
+        ("b.md", "body", "LoadFailed", "none.png"),
+    ]
+    assert {x[1] for x in letters if x[2] == "body"} == {"a", "b"}
+    with pytest.raises(ValueError, match="missing image"):
+        compile_documents(spark, spec, folder, "*.md", mode="failfast")
+
+
+def test_image_table_keeps_images_without_a_body(spark):
+    docs = spark.createDataFrame([(1, "![a](./img/1.png) ![b](./img/9.png)"), (2, "![b](./img/9.png)")], "doc_id long, md string")
+    bodies = spark.createDataFrame([("./img/1.png", "body", "image/png", 3, 4)], "url string, content string, content_type string, width int, height int")
+    out = markup.image_table(docs, ["doc_id"], ["doc_id"], "md", bodies, Storage("r2", bucket="assets", prefix="p"))
+    assert sorted((r.doc_id, r.src_id, r.image and r.image.size) for r in out.collect()) == [(1, "img/1.png", 4), (1, "img/9.png", None), (2, "img/9.png", None)]
+
+
 def test_a_stream_of_documents_uploads_before_it_upserts(spark, tmp_path):
     spec = collection(ATTACHMENTS)
     store = SnapshotStore(spark, str(tmp_path / "store"))
