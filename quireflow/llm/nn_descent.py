@@ -1,14 +1,15 @@
 """Approximate nearest neighbours: a neighbour graph by NN-descent, searched greedily.
 
-Equal vectors are one node of the graph. A first graph comes from ``TREES`` random partitions: nodes are sorted by the
+Equal vectors are one node of the graph. A first graph comes from ``TREES`` or, by the logarithm of their number, more random partitions: nodes are sorted by the
 signs of random projections and compared inside runs of ``RUN`` neighbours in that order, so a dense region is cut into more runs, never
 into a larger one. Then neighbours of neighbours are joined: all that a node points to, and all that point to it, are
 compared with each other where one of the two is new, and a node keeps its ``WIDTH`` best. What points to a popular
 node is split by a hash into groups of bounded expected size that are each compared among themselves; no edge is left out. It ends when few edges
-change. Building compares centred vectors of one byte a component; every result is measured on the original
+change, after however many iterations. Building compares centred vectors of one byte a component; every result is measured on the original
 vectors in double precision.
 
-A search starts from its node's neighbours and in each round follows, both ways, the edges of the nearest nodes not yet followed.
+A search starts from its node's neighbours and in each round follows, both ways, the edges of the nearest nodes not yet followed. All
+make ``ROUNDS`` rounds; then each goes on until none of its ``BEAM`` nearest nodes is left unfollowed.
 
 Defined cases: null, zero and non-finite vectors, vectors with a null component, a null vec_id, and vectors
 of another length than the commonest (ties: the longest) take no part; rows equal in id and vector are one row; ties
@@ -18,6 +19,7 @@ in distance go to the smaller vec_id; with fewer candidates than asked for, all
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -25,11 +27,16 @@ from pyspark.sql import functions as F
 
 from quireflow.llm.common import map_rows, settle
 
-TREES, RUN, WIDTH, GROUP = 4, 160, 30, 30
-ITERATIONS, FEW = 4, 0.02
+TREES, RUN, WIDTH, GROUP = 4, 160, 30, 30  # TREES at least, see trees()
+FEW = 0.02
 BEAM, ROUNDS, POOL = 40, 7, 400
 
 
+def trees(n: int) -> int:
+    """Random partitions for a first graph of n nodes."""
+    return max(TREES, round(np.log2(max(1, n / RUN))))
+
+
 def _vectors(rows: DataFrame) -> DataFrame:
     """vec_id and x (8 bytes a component) of the vectors that take part."""
     x = F.col("embedding").cast("array<double>")
@@ -160,23 +167,23 @@ def build_graph(nodes: DataFrame, width: int = WIDTH, seed: int = 11) -> DataFra
         return small.select(F.col("node").alias("u"), F.col("node").alias("v"), F.col("norm").alias("d")).where("u <> v")
     dims = small.first().q.__len__()
     bits = max(1, int(np.log2(max(2, n / RUN))) + 1)
-    planes = np.random.default_rng(seed).standard_normal((TREES, bits + 1, dims)).astype(np.float32)
+    planes = np.random.default_rng(seed).standard_normal((trees(n), bits + 1, dims)).astype(np.float32)
 
     def place(batches: Iterator[dict]) -> Iterator[dict]:
         for batch in batches:
             x = np.frombuffer(b"".join(batch["q"]), dtype=np.int8).reshape(-1, dims).astype(np.float32)
             x *= np.array(batch["scale"], dtype=np.float32)[:, None]
-            for t in range(TREES):
+            for t in range(len(planes)):
                 p = x @ planes[t].T
                 code = ((p[:, :bits] > 0) << np.arange(bits)).sum(1)
                 yield {c: batch[c] for c in ("node", "q", "scale", "norm")} | {"tree": [t] * len(x), "code": code, "along": p[:, bits]}
 
     placed = map_rows(small, "node long, q binary, scale double, norm double, tree int, code long, along float", place)
-    parts = max(1, min(4 * small.sparkSession.sparkContext.defaultParallelism, TREES * n // (8 * RUN)), TREES * n // 100_000)
+    parts = max(1, min(4 * small.sparkSession.sparkContext.defaultParallelism, len(planes) * n // (8 * RUN)), len(planes) * n // 100_000)
     dealt = placed.repartitionByRange(parts, "tree", "code", "along", "node").sortWithinPartitions("tree", "code", "along", "node")
     found = map_rows(dealt, "u long, v long, d double", _runs(width, RUN)).where("u <> v").withColumn("fresh", F.lit(True))
     graph = settle(_best(found, width), "ann-graph")
-    for _ in range(ITERATIONS):
+    while True:
         popular = graph.groupBy("v").agg(F.count(F.lit(1)).alias("degree"))
         back = graph.join(popular, "v").select(
             F.col("v").alias("center"),
@@ -209,13 +216,24 @@ def _measure(batches: Iterator[dict]) -> Iterator[dict]:
 
 
 def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, beam: int = BEAM, rounds: int = ROUNDS, pool: int = POOL) -> DataFrame:
-    """(q, node, d): what the searches from the nodes ``queries`` (q) saw, the ``pool`` nearest of each."""
+    """(q, node, d): what the searches from the nodes ``queries`` (q) saw, the ``pool`` nearest of each.
+
+    At least ``rounds`` rounds, and as many more as a search needs until its ``beam`` nearest nodes are all followed.
+    """
     both = settle(graph.select("u", "v").unionByName(graph.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "ann-both")
     asked = settle(queries.join(nodes, queries.q == nodes.node).select("q", F.col("x").alias("x_q")), "ann-asked")
     state = asked.select("q", F.col("q").alias("node"), F.lit(0.0).alias("d"), F.lit(False).alias("followed"))
-    for _ in range(rounds):
+    for done in count():
+        place = F.row_number().over(Window.partitionBy("q").orderBy("d", "node"))
         nth = F.row_number().over(Window.partitionBy("q", "followed").orderBy("d", "node"))
-        marked = settle(state.withColumn("go", ~F.col("followed") & (nth <= beam)).withColumn("followed", F.col("followed") | F.col("go")), "ann-state")
+        ahead = F.lit(True)
+        if done >= rounds:
+            state = state.withColumn("open", ~F.col("followed") & (place <= beam))
+            ahead = F.max("open").over(Window.partitionBy("q"))
+        go = state.withColumn("go", ~F.col("followed") & (nth <= beam) & ahead)
+        marked = settle(go.select("q", "node", "d", (F.col("followed") | F.col("go")).alias("followed"), "go"), "ann-state")
+        if done >= rounds and marked.where("go").isEmpty():
+            return settle(marked.select("q", "node", "d"), "ann-found")
         steps = marked.where("go").select("q", F.col("node").alias("u")).join(both, "u").select("q", F.col("v").alias("node")).distinct()
         fresh = steps.join(marked.select("q", "node"), ["q", "node"], "left_anti")
         measured = map_rows(fresh.join(nodes, "node").join(asked, "q").select("q", "node", "x_q", "x"), "q long, node long, d double, followed boolean", _measure)
@@ -223,7 +241,6 @@ def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, beam: int = B
         near = F.row_number().over(Window.partitionBy("q").orderBy("d", "node"))
         # The pool bounds a search's memory as its beam bounds its work; far nodes would not be followed.
         state = every.withColumn("near", near).where(F.col("near") <= pool).drop("near")
-    return settle(state.select("q", "node", "d"), "ann-found")
 
 
 def nearest(rows: DataFrame, k: int = 10, every: int = 100) -> DataFrame:

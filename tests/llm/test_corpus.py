@@ -268,6 +268,16 @@ def test_neighbours_odd_rows(spark):
     assert nn_descent.nearest(table.where("vec_id = 100")).count() == 0
 
 
+def test_search_goes_on_until_nothing_near_is_left(spark):
+    # Each node of a path is nearer to the query than the one before it.
+    place = [0.0, *(31.0 - i for i in range(1, 31))]
+    nodes = spark.createDataFrame([(i, bytearray(np.array([x, 1.0]).tobytes())) for i, x in enumerate(place)], "node long, x binary")
+    path = spark.createDataFrame([(i, i + 1) for i in range(30)], "u long, v long")
+    found = nn_descent.search(nodes, path, spark.createDataFrame([(0,)], "q long")).collect()
+    assert {(r.node, r.d) for r in found} == set(enumerate(place))
+    assert nn_descent.trees(2_000) == nn_descent.TREES < nn_descent.trees(50_000) < nn_descent.trees(10_000_000)
+
+
 # ---------------------------------------------------------------- pipeline
 
 
