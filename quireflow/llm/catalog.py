@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from quireflow.llm import hard_negatives, lloyd
 from quireflow.llm.context_mixing import score_texts
 from quireflow.llm.language_id import language_id
 from quireflow.llm.license_scan import license_scan, report
@@ -81,3 +83,21 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_member_resident_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lloyd.report(lloyd.compress(read_table(spark, sf_dir, "embeddings")))
+
+
+ORACLES["op11_member_resident_lloyd"] = lloyd.oracle()
+
+
+@query
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.col("label").cast("long")
+    rows = read_table(spark, sf_dir, "embeddings").withColumn("label", F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label))
+    return hard_negatives.hard_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
+ORACLES["op12_hard_negatives"] = hard_negatives.ORACLE

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,6 +36,12 @@ def settle(rows: DataFrame, purpose: str) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(folder)
 
 
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a settled folder that nothing reads any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def bytes_of(rows: DataFrame, column: str) -> int:
     """Total size of a text column, for choosing how many parts work is dealt into."""
     return rows.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0))).first()[0]
@@ -47,12 +53,16 @@ def arrow_schema(schema: T.StructType) -> pa.Schema:
     return to_arrow_schema(schema)
 
 
-def map_rows(rows: DataFrame, schema: str, fn: Callable[[Iterator[dict]], Iterator[dict]]) -> DataFrame:
+def ddl(schema: str) -> T.StructType:
+    return T.StructType.fromDDL(schema)
+
+
+def map_rows(rows: DataFrame, schema: str | T.StructType, fn: Callable[[Iterator[dict]], Iterator[dict]]) -> DataFrame:
     """Run ``fn`` over each partition as an iterator of batches, each a dict of Python lists.
 
     ``fn`` yields dicts with one list or array for each column of ``schema``.
     """
-    kinds = T.StructType.fromDDL(schema) if hasattr(T.StructType, "fromDDL") else None
+    kinds = ddl(schema) if isinstance(schema, str) else schema
     fields = arrow_schema(kinds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
