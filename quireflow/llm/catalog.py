@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quireflow.llm import hard_negatives, lloyd
+from quireflow.llm import hard_negatives, lloyd, pii
 from quireflow.llm.context_mixing import score_texts
 from quireflow.llm.language_id import language_id
 from quireflow.llm.license_scan import license_scan, report
@@ -101,3 +101,8 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op12_hard_negatives"] = hard_negatives.ORACLE
+
+
+@query
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(pii.pii_scan(read_table(spark, sf_dir, "documents")))
