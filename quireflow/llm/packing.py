@@ -43,13 +43,12 @@ class TextIds:
     generations of up to ``keep`` words: a word used in the younger one survives when the older one goes.
     """
 
-    def __init__(self, path: str, keep: int = 400_000):
+    def __init__(self, path: str, keep: int = 800_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.young, self.old = _Known(), _Known()
         self.keep = keep
         size = self.tokenizer.get_vocab_size()
         # Tokens that end a run of letters; only they carry the vocabulary's end-of-word mark.
@@ -57,51 +56,78 @@ class TextIds:
 
     def _encode(self, words: list[str]) -> dict[str, bytes]:
         """Ids of new words. A plain word with marks after it is the word's ids, then the marks'."""
-        got, split = {}, {}
+        got: dict[str, bytes] = {}
+        cores: dict[str, None] = {}
+        split, rest = [], []
+        young, old = self.young, self.old
         for w in words:
             core = w.rstrip(".,!?")
-            if core.isalpha():
-                split[w] = (core.lower() if core.isascii() else core, w[len(core) :])
-        cores = list({c for c, _ in split.values()})
-        for at in range(0, len(cores), 256):
+            if not core.isalpha():
+                rest.append(w)
+                continue
+            low = core.lower() if core.isascii() else core
+            if low == w:
+                cores[w] = None
+            else:
+                # Most new words are a known one in other letters or with other marks.
+                split.append((w, low, w[len(core) :]))
+                if low not in young and low not in old:
+                    cores[low] = None
+        plain = list(cores)
+        for at in range(0, len(plain), 256):
             # Runs of letters are one token group each, so one call does many and the end marks part them.
-            some = cores[at : at + 256]
+            some = plain[at : at + 256]
             ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, dtype="<u4")
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) != len(some):  # a letter that is more than letters in lower case
-                some = []
+                rest += some
+                continue
             raw, start = ids.tobytes(), 0
-            for w, stop in zip(some, stops.tolist()):
-                got[w] = raw[4 * start : 4 * stop]
+            for w, stop in zip(some, (4 * stops).tolist()):
+                got[w] = raw[start:stop]
                 start = stop
-        rest = {w for w in words if w not in split} | {part for pair in split.values() for part in pair}
-        rest = [w for w in rest if w not in got]
+        rest += {marks for _, _, marks in split if marks}
         for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
             got[w] = np.array(e.ids, dtype="<u4").tobytes()
-        for w, (core, marks) in split.items():
-            got[w] = got[core] + got[marks]
+        for w, low, marks in split:
+            ids = got.get(low) or young.get(low) or old[low]
+            got[w] = ids + got[marks] if marks else ids
         return got
 
     def of(self, texts: list[str]) -> list[bytes]:
         if len(self.young) > self.keep:
-            self.young, self.old = {}, self.young
-        get, out, missing, late = self.young.get, [], set(), {}
+            self.young, self.old = _Known(), self.young
+        young, out, late = self.young, [], {}
+        young.missing = {}
         for k, t in enumerate(texts):
             # str.split() also splits at the four control characters that the tokenizer takes for text.
             words = WORD.findall(t) if CONTROL.search(t) else t.split()
-            ids = list(map(get, words))
-            if None in ids:
-                late[k] = words
-                missing.update(w for w, i in zip(words, ids) if i is None)
+            ids = list(map(young.__getitem__, words))
+            if young.again:
+                late[k], young.again = words, False
             out.append(ids)
-        if missing:
-            again = {w: self.old[w] for w in missing if w in self.old}
-            self.young |= again | self._encode([w for w in missing if w not in again])
+        if young.missing:
+            again = {w: self.old[w] for w in young.missing if w in self.old}
+            young |= again
+            young |= self._encode([w for w in young.missing if w not in again])
             for k, words in late.items():
-                out[k] = map(get, words)
+                out[k] = map(young.__getitem__, words)
         return [b"".join(ids) for ids in out]
 
 
+class _Known(dict):
+    """Ids of words; words that are asked for and not known are noted."""
+
+    def __init__(self) -> None:
+        self.missing: dict[str, None] = {}
+        self.again = False
+
+    def __missing__(self, word: str) -> bytes:
+        self.again = True
+        self.missing[word] = None
+        return b""
+
+
 _TEXT_IDS: dict[str, TextIds] = {}
 
 
@@ -195,15 +221,19 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, block: int = 20_000) -> Data
     """``rows`` (settled, with a column length) and their sequence_id and offset."""
     blocks = max(1, -(-rows.count() // block))
     order = [c for c in rows.columns if c != "ids"]
+    # Only what packing needs goes through Arrow as numbers; an id beside nulls would lose digits as a float.
+    texts = {c: F.col(c).cast("string") for c in order if c != "length"}
+    kinds = {f.name: f.dataType for f in rows.schema}
 
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(order, kind="stable")
         sequence, offset = best_fit(part["length"].tolist(), capacity)
         return part.assign(sequence_id=[(int(key[0]) << 32) + s for s in sequence], offset=offset).drop(columns="__block")
 
-    schema = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes) + ", sequence_id long, offset long"
-    dealt = rows.withColumn("__block", F.pmod(F.xxhash64(*order), F.lit(blocks)))
-    return dealt.groupBy("__block").applyInPandas(run, schema)
+    schema = ", ".join(f"`{n}` {'string' if n in texts else kinds[n].simpleString()}" for n in rows.columns) + ", sequence_id long, offset long"
+    dealt = rows.withColumn("__block", F.pmod(F.xxhash64(*order), F.lit(blocks))).withColumns(texts)
+    packed = dealt.groupBy("__block").applyInPandas(run, schema)
+    return packed.withColumns({c: F.col(c).cast(kinds[c]) for c in texts})
 
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
