@@ -36,6 +36,22 @@ def settle(rows: DataFrame, purpose: str) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(folder)
 
 
+def quoted(name: str) -> Column:
+    """A column by its whole name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def fresh_names(rows: DataFrame, *wanted: str) -> list[str]:
+    """Names like the wanted ones that no column of ``rows`` has."""
+    taken = {c.lower() for c in rows.columns}
+    out = []
+    for name in wanted:
+        own = next(x for x in (f"__{name}{'_' * k}" for k in range(len(taken) + 1)) if x not in taken)
+        taken.add(own)
+        out.append(own)
+    return out
+
+
 def remove_folder(spark: SparkSession, folder: str) -> None:
     """Delete a settled folder that nothing reads any more."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
@@ -65,8 +81,11 @@ def map_rows(rows: DataFrame, schema: str | T.StructType, fn: Callable[[Iterator
     kinds = ddl(schema) if isinstance(schema, str) else schema
     fields = arrow_schema(kinds)
 
+    names = rows.columns
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for out in fn(batch.to_pydict() for batch in batches):
+        for out in fn(dict(zip(names, batch.to_pydict().values())) for batch in batches):
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type, from_pandas=False) for f in fields], schema=fields)
 
-    return rows.mapInArrow(run, kinds)
+    # Plain names on the way in: the call looks its columns up by name, and a name may hold any character.
+    return rows.toDF(*[f"c{k}" for k in range(len(names))]).mapInArrow(run, kinds)

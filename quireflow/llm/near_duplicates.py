@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quireflow.llm.common import map_rows, settle, words_of
+from quireflow.llm.common import fresh_names, map_rows, settle, words_of
 
 BANDS, DEPTH, BATCH = 32, 4, 16
 HASHES = BANDS * DEPTH
@@ -298,11 +298,15 @@ def without_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80)
     Of rows that share a kept doc_id, one stays.
     """
     groups = settle(near_duplicates(docs, width, percent), "near-groups")
-    names = docs.columns
-    kept = groups.where("kept").groupBy(F.col("doc_id").alias("__id")).agg(F.count(F.lit(1)).alias("__n"))
-    # Kept ids are few columns; the texts are joined once, and only repeated ids pay for a second shuffle.
-    found = docs.join(kept, F.col("doc_id").cast("long") == F.col("__id"))
-    single = found.where("__n = 1").select(*names).unionByName(docs.where("doc_id is null"))
-    if kept.where("__n > 1").isEmpty():
-        return single
-    return single.unionByName(found.where("__n > 1").dropDuplicates(["__id"]).select(*names))
+    gone_id, times = fresh_names(docs, "id", "n")
+    own = F.col("doc_id").cast("long")
+    gone = groups.where("doc_id is not null and not kept").select(F.col("doc_id").alias(gone_id)).distinct()
+    # Removed ids are the smaller set, but grow with the table: the join is a shuffle on any size.
+    rest = docs.join(gone.hint("merge"), own == F.col(gone_id), "left_anti")
+    repeated = groups.where("kept").groupBy(F.col("doc_id").alias(gone_id)).agg(F.count(F.lit(1)).alias(times)).where(F.col(times) > 1)
+    repeated = settle(repeated.select(gone_id), "near-repeated")
+    if repeated.isEmpty():
+        return rest
+    # Only rows whose id comes again pay for a second shuffle.
+    again = rest.join(repeated, own == F.col(gone_id), "left_semi")
+    return rest.join(repeated, own == F.col(gone_id), "left_anti").unionByName(again.dropDuplicates(["doc_id"]))

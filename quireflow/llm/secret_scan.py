@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quireflow.llm.common import map_rows, settle
+from quireflow.llm.common import map_rows, quoted, settle
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -221,9 +221,8 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", q: float = 0.01) -> DataFram
                 texts.append("".join([*parts, text[at:]]) if spans else text)
             yield batch | {"text": texts}
 
-    schema = ", ".join(f"`{name}` {kind}" for name, kind in docs.dtypes)
-    out = map_rows(docs, schema, run)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*names) if "n_chars" in names else out
+    out = map_rows(docs, docs.schema, run)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*map(quoted, names)) if "n_chars" in names else out
 
 
 def digest(scans: DataFrame) -> DataFrame:

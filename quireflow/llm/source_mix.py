@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quireflow.llm.common import SPACE_CLASS, settle
+from quireflow.llm.common import SPACE_CLASS, fresh_names, quoted, settle
 
 WORD = SPACE_CLASS.replace("[", "[^", 1)
 
@@ -93,13 +93,17 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     return timed.withColumn("taken", taken(timed, share, copies)).drop("first_finish", "rank")
 
 
-def finish_times(sized: DataFrame, weights: tuple[int, ...], share: float, copies: int, buckets: int, *kept: str) -> DataFrame:
-    """Adds source_size, target and first_finish (of the first copy; later ones add source_size / target)."""
+def finish_times(sized: DataFrame, weights: tuple[int, ...], share: float, copies: int, buckets: int, *kept: str, shuffled: Column | None = None) -> DataFrame:
+    """Adds source_size, target and first_finish (of the first copy; later ones add source_size / target).
+
+    Documents stand in the order of ``shuffled``, by default a hash of their ids.
+    """
     sources = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, copies)
     same = F.col("sized.source").eqNullSafe(F.col("sources.source"))
     rows = sized.alias("sized").join(sources.alias("sources"), same).select("sized.*", "sources.rank", "source_size", "target")
-    shuffled = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    rows = rows.withColumn("place", shuffled).withColumn("bucket", (F.conv(F.substring("place", 1, 6), 16, 10).cast("long") % buckets))
+    if shuffled is None:
+        shuffled = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    rows = rows.withColumn("place", shuffled).withColumn("bucket", _bucket(F.col("place"), buckets))
     order = (F.col("place"), F.col("doc_id").asc_nulls_first(), F.col("size"))
     within = Window.partitionBy("rank", "bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     parts = rows.groupBy("rank", "bucket").agg(F.sum("size").alias("words"))
@@ -110,6 +114,10 @@ def finish_times(sized: DataFrame, weights: tuple[int, ...], share: float, copie
     return sent.select("doc_id", "source", "size", "rank", "source_size", "target", finish.alias("first_finish"), *kept)
 
 
+def _bucket(place: Column, buckets: int) -> Column:
+    return F.conv(F.substring(place, 1, 6), 16, 10).cast("long") % buckets
+
+
 def _finish(copy: int) -> Column:
     """Finish time of a row's copy: the source has been sent ``copy`` times before."""
     return F.col("first_finish") + F.lit(copy) * F.col("source_size") / F.col("target") if copy else F.col("first_finish")
@@ -121,26 +129,45 @@ def taken(timed: DataFrame, share: float, copies: int) -> Column:
 
 
 def n_taken(timed: DataFrame, share: float, copies: int) -> Column:
+    end = _end(timed, share, copies)
+    return F.coalesce(sum((_finish(c) <= F.lit(end)).cast("long") for c in range(copies)), F.lit(0))
+
+
+def _end(timed: DataFrame, share: float, copies: int) -> float:
+    """The finish time up to which the budget lasts."""
     total = timed.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     times = F.explode(F.array(*[_finish(c) for c in range(copies)])).alias("finish")
-    end = _cut(timed.where("first_finish is not null").select("size", times), share * total)
-    return F.coalesce(sum((_finish(c) <= F.lit(end)).cast("long") for c in range(copies)), F.lit(0))
+    return _cut(timed.where("first_finish is not null").select("size", times), share * total)
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, copies: int = 2, buckets: int = 4096) -> DataFrame:
     """The documents that the mix takes, one row per copy, with the columns of ``docs``.
 
-    Texts are not shuffled through the windows: rows get a number in a settled copy of the input and the mix
-    works on numbers and sizes alone.
+    What a source sends of a copy is the beginning of its shuffled order, so one (bucket, place) for each source and copy says
+    which documents that is: texts are compared with it where they are read, and neither copied nor shuffled. The order comes from the documents' ids and
+    texts, not from the layout of the table. Rows with the same id and text share one place, and so are taken together.
     """
-    numbered = settle(docs.withColumn("__row", F.monotonically_increasing_id()), "mix-numbered")
-    sized = numbered.select(
-        F.col("__row").alias("doc_id"), "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")
-    )
-    timed = settle(finish_times(settle(sized, "mix-sizes"), weights, share, copies, buckets), "mix-times")
-    times = timed.select(F.col("doc_id").alias("__row"), n_taken(timed, share, copies).cast("int").alias("__n")).where("__n > 0")
-    repeated = numbered.join(times, "__row").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n"))))
-    return repeated.select(*docs.columns)
+    bucket, place, source, size = fresh_names(docs, "bucket", "place", "source", "size")
+    id_text = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    placed = docs.withColumns(
+        {
+            source: F.col("source").cast("string"),
+            size: F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"),
+            place: F.md5(F.concat_ws(" ", id_text, F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))).cast("binary")),
+        }
+    ).withColumn(bucket, _bucket(F.col(place), buckets))
+    sized = placed.groupBy(F.col(source).alias("source"), F.col(place).alias("doc_id")).agg(F.sum(size).alias("size"))
+    sized = settle(sized, "mix-sizes")
+    timed = settle(finish_times(sized, weights, share, copies, buckets, "bucket", shuffled=F.col("doc_id")), "mix-times")
+    end = _end(timed, share, copies)
+    last = [F.max(F.when(_finish(c) <= F.lit(end), F.struct("bucket", F.col("doc_id").alias("place")))) for c in range(copies)]
+    bounds = timed.groupBy(F.col("source").alias("of")).agg(F.array(*last).alias("last"))
+    bounds = settle(bounds, "mix-bounds")
+    n, of = fresh_names(docs, "n", "of")
+    bounds = bounds.select(F.col("of").alias(of), F.col("last").alias(n))
+    sent = F.filter(n, lambda t: (F.col(size) > 0) & (F.struct(F.col(bucket).alias("bucket"), F.col(place).alias("place")) <= t))
+    times = placed.join(bounds, F.col(source).eqNullSafe(F.col(of))).withColumn(n, F.explode(sent))
+    return times.select(*[quoted(c) for c in docs.columns])
 
 
 ORACLE = r"""
