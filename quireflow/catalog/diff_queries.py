@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from quireflow.catalog import snapshots as S
 from quireflow.catalog.registry import query, table
 from quireflow.operators import checks, dedup, diff, joins
-from quireflow.plans import sync
+from quireflow.plans import apply, sync
+from quireflow.session import work_dir
+from quireflow.sinks.snapshots import SnapshotStore
 
 RUN = S.RUN_TS
 
@@ -214,6 +216,59 @@ def sync_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sync.sync_changes(*S.both(spark, sf_dir), S.SPECS)
 
 
+def _state_sql(name: str, key: str, touched: str) -> str:
+    """Rows of a table after the run, with its data columns as one text."""
+    spec = S.SPECS[name]
+    match = " AND ".join(f"f.{c} = n.{c}" for c in spec.pk)
+    data = " || '|' || ".join(f"coalesce(n.{c}::VARCHAR, '-')" for c in spec.data_cols)
+    return f"""
+  SELECT '{name}' AS table_name, {key} AS key, md5({data}) AS data,
+         CASE WHEN f.op = 'insert' THEN {S.RUN_AT} ELSE {S.STORED_AT} END AS created_at,
+         CASE WHEN f.op IN ('insert', 'update') OR {touched} THEN {S.RUN_AT} ELSE {S.STORED_AT} END AS updated_at
+  FROM new_{name} n JOIN feed_{name} f ON {match}"""
+
+
+@query(
+    "sync_apply",
+    S.with_sql("customers", "orders", "lines", feeds=True)
+    + _TOUCH_SQL
+    + _state_sql("customers", "n.c_custkey::VARCHAR", "n.c_custkey IN (SELECT c_custkey FROM touch_c)")
+    + " UNION ALL"
+    + _state_sql("orders", "n.o_custkey || '/' || n.o_orderkey", "(n.o_custkey, n.o_orderkey) IN (SELECT (o_custkey, o_orderkey) FROM touch_o)")
+    + " UNION ALL"
+    + _state_sql("lines", "n.l_custkey || '/' || n.l_orderkey || '/' || n.l_linenumber", "false"),
+)
+def sync_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs against a store: the stored tables come in, then the incoming ones; the tables as read back."""
+    store = SnapshotStore(spark, work_dir(spark, "store"))
+    old, new = S.both(spark, sf_dir)
+    apply.sync_store(store, S.SPECS, old, S.OLD_TS)
+    apply.sync_store(store, S.SPECS, new, RUN)
+    view, parts = store.at(), []
+    for name, spec in S.SPECS.items():
+        data = F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in spec.data_cols]).cast("binary"))
+        rows = view.read(name).select(F.lit(name).alias("table_name"), diff.key_text(spec).alias("key"), data.alias("data"), "created_at", "updated_at")
+        parts.append(_rendered(rows))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query(
+    "ups_bucket_feed",
+    S.with_sql("lines", feeds=True)
+    + " SELECT l_custkey, l_orderkey, l_linenumber, op FROM feed_lines WHERE op <> 'unchanged' AND l_custkey % 500 = 1",
+)
+def ups_bucket_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only lines of few customers change; they are stored in buckets by customer, and the other buckets are not read again."""
+    store = SnapshotStore(spark, work_dir(spark, "store"), buckets=64)
+    old, new = _pair(spark, sf_dir, "lines")
+    run = store.begin()
+    run.replace("lines", old, S.LINES.pk, by=["l_custkey"], ignore=["created_at", "updated_at"])
+    run.commit()
+    few = F.col("l_custkey") % 500 == 1
+    incoming = new.where(few).unionByName(old.where(~few).select(*new.columns))
+    return apply.changed_rows(store, S.LINES, incoming)
+
+
 @query(
     "snk_full_refresh",
     S.with_sql("orders")

@@ -360,7 +360,7 @@ def rte_multiplex(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def obj_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     old, new = (snapshot(spark, sf_dir, side) for side in ("old", "new"))
-    return lifecycle.object_actions(spark, old, new, SPECS, RUN_TS)
+    return lifecycle.object_actions(spark, old, new, SPECS)
 
 
 @query(

@@ -9,9 +9,11 @@ from pyspark.sql.streaming import StreamingQuery
 
 from quireflow.operators import diff
 from quireflow.operators.dedup import last_wins
+from quireflow.operators.joins import anti_by_key, semi_by_key
 from quireflow.operators.objects import inventory, route, to_upload, with_location
+from quireflow.session import settle
 from quireflow.sinks.objects import Sink
-from quireflow.sinks.snapshots import SnapshotStore
+from quireflow.sinks.snapshots import Run, SnapshotStore, bucket_of
 from quireflow.specs import TableSpec
 
 Compile = Callable[[DataFrame], dict[str, DataFrame]]
@@ -37,7 +39,7 @@ def upsert_stream(
     checkpoint: str,
     upload: Sink | None = None,
 ) -> StreamingQuery:
-    """Compile each micro-batch to tables and upsert them; never deletes.
+    """Compile each micro-batch to tables and upsert them, all tables in one commit; never deletes.
 
     Objects whose hash is not stored yet go to ``upload`` first, so that no row is ever
     there before its object.
@@ -51,8 +53,10 @@ def upsert_stream(
         tables = compile_batch(batch)
         if upload is not None:
             upload(fresh_objects(store, specs, tables))
+        run = store.begin()
         for name, rows in tables.items():
-            merge_batch(store, specs[name], rows, run_ts(batch_id))
+            merge_batch(run, specs[name], rows, run_ts(batch_id))
+        run.commit()
 
     return (
         documents.writeStream.foreachBatch(apply)
@@ -82,14 +86,30 @@ def routed_inventory(
     return route(with_location(inventory(spark, tables, specs)))
 
 
-def merge_batch(store: SnapshotStore, spec: TableSpec, rows: DataFrame, run_ts: str) -> DataFrame:
-    stored = store.read(spec.name)
-    if stored is None:
-        stored = diff.empty_like(rows)
-        for stamp in (spec.created_at, spec.updated_at):
-            if stamp:
-                stored = stored.withColumn(stamp, diff.run_timestamp(run_ts))
-    return store.write(spec.name, diff.upsert(stored, rows, spec, run_ts))
+def merge_batch(run: Run, spec: TableSpec, rows: DataFrame, run_ts: str) -> None:
+    """Stage the batch's new and changed rows as a delta of the stored table.
+
+    What is read of the stored table are the rows of the batch's keys, in the buckets these fall in, and what is
+    written is what changed: the cost follows the batch, but for the buckets rewritten once there are many deltas.
+    """
+    state = run.state(spec.name)
+    stamps = [c for c in (spec.created_at, spec.updated_at) if c]
+    if state is None:
+        first = rows.select(*spec.pk, *spec.data_cols, *[diff.run_timestamp(run_ts).alias(c) for c in stamps])
+        run.replace(spec.name, first, spec.pk, ignore=stamps)
+        return
+    rows = settle(rows.select(*spec.pk, *spec.data_cols), f"batch-{spec.name}")
+    touched = [r[0] for r in rows.select(bucket_of(state.by, state.buckets)).distinct().collect()]
+    stored = semi_by_key(run.read(spec.name, touched), rows, spec.pk)
+    if spec.data_cols:
+        rows = diff.incoming_changes(stored, rows, spec)
+        # Rows that are equal to the stored ones are not written again.
+        stored = semi_by_key(stored, rows, spec.pk)
+        run.append(spec.name, diff.upsert(stored, rows, spec, run_ts))
+    else:
+        fresh = anti_by_key(rows, stored, spec.pk)
+        run.append(spec.name, fresh.select("*", *[diff.run_timestamp(run_ts).alias(c) for c in stamps]))
+    run.compact(spec.name)
 
 
 def latest_stream(

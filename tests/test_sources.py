@@ -183,15 +183,3 @@ def test_stream_upserts_and_replays(spark, tmp_path):
     assert go("c1", t2) == [("a", "1", t1), ("b", "1", t1), ("c", "9", t2)]
     # The same files again, as after a lost checkpoint: nothing moves.
     assert go("c2", t2) == [("a", "1", t1), ("b", "1", t1), ("c", "9", t2)]
-
-
-def test_a_broken_version_is_not_read(spark, tmp_path):
-    store = SnapshotStore(spark, str(tmp_path / "s"))
-    assert store.read("t") is None
-    store.write("t", spark.range(3).toDF("x"))
-    half = tmp_path / "s/t/version=0000000002"
-    half.mkdir()
-    (half / "part-0.parquet").write_bytes(b"junk")
-    assert store.read("t").count() == 3
-    assert store.write("t", spark.range(5).toDF("x")).count() == 5
-    assert store.versions("t") == [1, 2]
