@@ -183,3 +183,31 @@ def test_stream_upserts_and_replays(spark, tmp_path):
     assert go("c1", t2) == [("a", "1", t1), ("b", "1", t1), ("c", "9", t2)]
     # The same files again, as after a lost checkpoint: nothing moves.
     assert go("c2", t2) == [("a", "1", t1), ("b", "1", t1), ("c", "9", t2)]
+
+
+def test_latest_rows_survive_a_restart_and_late_rows(spark, tmp_path):
+    store = SnapshotStore(spark, str(tmp_path / "store"), buckets=4)
+    inbox, schema = tmp_path / "in", "user long, ts long, what string"
+    inbox.mkdir()
+
+    def arrive(name, rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / name))
+        for k, part in enumerate((tmp_path / name).glob("part-*.parquet")):
+            (inbox / f"{name}-{k}.parquet").write_bytes(part.read_bytes())
+
+    def go():
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(inbox))
+        incremental.latest_stream(stream, store, "t", ["user"], ["ts"], str(tmp_path / "progress")).awaitTermination()
+        return {r.user: (r.ts, r.what) for r in store.read("t").collect()}
+
+    arrive("a", [(1, 10, "x"), (2, 20, "y"), (1, 11, "z"), (2**53 + 1, 5, "big"), (3, None, "no time")])
+    assert go() == {1: (11, "z"), 2: (20, "y"), 2**53 + 1: (5, "big"), 3: (None, "no time")}
+    # Late rows lose, ties go by the other columns, null is the least; the query starts again from its checkpoint.
+    arrive("b", [(1, 9, "late"), (2, 20, "yy"), (3, 1, "timed"), (4, 7, "new"), (None, 1, "nobody")])
+    arrive("c", [(1, 30, "last"), (2, 20, "a"), (4, 6, "late")])
+    want = {1: (30, "last"), 2: (20, "yy"), 2**53 + 1: (5, "big"), 3: (1, "timed"), 4: (7, "new"), None: (1, "nobody")}
+    assert go() == want
+    version = store.at().version
+    assert go() == want and store.at().version == version
+    # Only keys that changed are in a batch's delta.
+    assert [len(b) for b in store.at().tables["t"].deltas.values()][-1] == 1
