@@ -22,15 +22,15 @@ BLOCK = f"""CASE (doc_id + i) % 12
   WHEN 1 THEN '```' || CASE doc_id % 5 WHEN 0 THEN 'rust' WHEN 1 THEN 'Python {{title="T1", linenos start=3}}'
        WHEN 2 THEN 'golang' WHEN 3 THEN 'unknownlang' ELSE 'c++' END || {_NL} || line || {_NL} || '# not a heading' || {_NL} || '```'
   WHEN 2 THEN line || ' [link](https://h.example/' || CAST(doc_id AS STRING) || ' "tt") and `[no](x)`'
-  WHEN 3 THEN '![alt ' || {_I} || '](./img/' || CAST(i % 5 AS STRING) || '.png "t' || CAST(i % 2 AS STRING) || '")'
+  WHEN 3 THEN '![' || line || ' ' || {_I} || '](./img/' || CAST(i % 5 AS STRING) || '.png "t' || CAST(i % 2 AS STRING) || '")'
   WHEN 4 THEN line || '[^f' || CAST(i % 3 AS STRING) || ']'
   WHEN 5 THEN '> [!' || CASE i % 5 WHEN 0 THEN 'NOTE' WHEN 1 THEN 'TIP' WHEN 2 THEN 'IMPORTANT' WHEN 3 THEN 'WARNING' ELSE 'CAUTION' END
        || ']' || {_NL} || '> ' || line || {_NL} || '> more'
-  WHEN 6 THEN 'https://h.example/p/' || CAST(i % 40 AS STRING)
-  WHEN 7 THEN '| a | b |' || {_NL} || '|:--|--:|' || {_NL} || '| ' || {_I} || ' | x'
-  WHEN 8 THEN '- [x] task ' || {_I} || {_NL} || '- [ ] open'
-  WHEN 9 THEN 'inline $x+' || {_I} || '$ here' || {_NL} || '$$' || {_NL} || 'y = ' || {_I} || {_NL} || '$$'
-  WHEN 10 THEN 'See <mail@example.com>, [[Wiki ' || {_I} || ']], <https://auto.example/' || {_I}
+  WHEN 6 THEN line || {_NL} || {_NL} || 'https://h.example/p/' || CAST(i % 40 AS STRING)
+  WHEN 7 THEN '| a | b |' || {_NL} || '|:--|--:|' || {_NL} || '| ' || {_I} || ' | ' || line
+  WHEN 8 THEN '- [x] ' || line || ' ' || {_I} || {_NL} || '- [ ] open'
+  WHEN 9 THEN line || ' $x+' || {_I} || '$ here' || {_NL} || '$$' || {_NL} || 'y = ' || {_I} || {_NL} || '$$'
+  WHEN 10 THEN line || ' <mail@example.com>, [[Wiki ' || {_I} || ']], <https://auto.example/' || {_I}
        || '> and [broken][nope' || {_I} || '], [known][ref]'
   ELSE line END"""
 
@@ -174,19 +174,21 @@ def win_footnote_number(spark: SparkSession, sf_dir: str) -> DataFrame:
     "md_images",
     CORPUS_SQL
     + """
-  SELECT doc_id, './img/' || (i % 5) || '.png' AS url, 't' || (min(i) % 2) AS title, 'alt ' || min(i) AS alt
+  SELECT doc_id, './img/' || (i % 5) || '.png' AS url, 't' || (min(i) % 2) AS title, arg_min(line, i) || ' ' || min(i) AS alt
   FROM blk WHERE r = 3 GROUP BY doc_id, i % 5""",
 )
 def md_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _feature(spark, sf_dir, markup.images)
 
 
+_PAGE = "'https://h.example/p/' || (i % 40)"
+
 _LINKS_SQL = (
     CORPUS_SQL
-    + """,
+    + f""",
  raw AS (
   SELECT doc_id, i, 0 AS o, 'https://h.example/' || doc_id AS href, 'tt' AS title, 'link' AS text, 'normal' AS kind FROM blk WHERE r = 2
-  UNION ALL SELECT doc_id, i, 0, block, block, block, 'autolink' FROM blk WHERE r = 6
+  UNION ALL SELECT doc_id, i, 0, {_PAGE}, {_PAGE}, {_PAGE}, 'autolink' FROM blk WHERE r = 6
   UNION ALL SELECT doc_id, i, 0, 'mail@example.com', '', 'mail@example.com', 'email' FROM blk WHERE r = 10
   UNION ALL SELECT doc_id, i, 1, 'Wiki ' || i, '', 'Wiki ' || i, 'wikilink' FROM blk WHERE r = 10
   UNION ALL SELECT doc_id, i, 2, 'https://auto.example/' || i, '', 'https://auto.example/' || i, 'autolink' FROM blk WHERE r = 10
@@ -210,7 +212,7 @@ def agg_distinct_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("doc_id", "href").agg(F.count(F.lit(1)).alias("uses"))
 
 
-@query("md_isolated_links", CORPUS_SQL + " SELECT DISTINCT doc_id, block AS url FROM blk WHERE r = 6")
+@query("md_isolated_links", CORPUS_SQL + f" SELECT DISTINCT doc_id, {_PAGE} AS url FROM blk WHERE r = 6")
 def md_isolated_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.isolated_links(corpus(spark, sf_dir), ["doc_id"], "md")
 
@@ -222,13 +224,13 @@ def md_isolated_links(spark: SparkSession, sf_dir: str) -> DataFrame:
  plain AS (SELECT doc_id, i, CASE r
    WHEN 1 THEN line || chr(10) || '# not a heading'
    WHEN 2 THEN line || ' link and [no](x)'
-   WHEN 3 THEN 'alt ' || i
+   WHEN 3 THEN line || ' ' || i
    WHEN 5 THEN line || chr(10) || 'more'
-   WHEN 6 THEN block
-   WHEN 7 THEN 'a b' || chr(10) || i || ' x'
-   WHEN 8 THEN 'task ' || i || chr(10) || 'open'
-   WHEN 9 THEN 'inline x+' || i || ' here' || chr(10) || 'y = ' || i
-   WHEN 10 THEN 'See mail@example.com, Wiki ' || i || ', https://auto.example/' || i || ' and broken, known'
+   WHEN 6 THEN line || chr(10) || 'https://h.example/p/' || (i % 40)
+   WHEN 7 THEN 'a b' || chr(10) || i || ' ' || line
+   WHEN 8 THEN line || ' ' || i || chr(10) || 'open'
+   WHEN 9 THEN line || ' x+' || i || ' here' || chr(10) || 'y = ' || i
+   WHEN 10 THEN line || ' mail@example.com, Wiki ' || i || ', https://auto.example/' || i || ' and broken, known'
    ELSE line END AS t FROM blk)
   SELECT doc_id, string_agg(t, chr(10) ORDER BY i) AS plain FROM plain GROUP BY doc_id""",
 )
@@ -240,9 +242,9 @@ def md_plain_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     "md_table_cells",
     CORPUS_SQL
     + f""",
- t AS (SELECT doc_id, i, {_seq().replace("AS seq", "AS table_seq")} FROM blk WHERE r = 7)
+ t AS (SELECT doc_id, i, line, {_seq().replace("AS seq", "AS table_seq")} FROM blk WHERE r = 7)
   SELECT doc_id, table_seq, unnest([0, 0, 1, 1])::INTEGER AS row, unnest([0, 1, 0, 1])::INTEGER AS col,
-         unnest(['left', 'right', 'left', 'right']) AS align, unnest(['a', 'b', CAST(i AS VARCHAR), 'x']) AS text FROM t""",
+         unnest(['left', 'right', 'left', 'right']) AS align, unnest(['a', 'b', CAST(i AS VARCHAR), line]) AS text FROM t""",
 )
 def md_table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _feature(spark, sf_dir, markup.table_cells)
@@ -252,7 +254,7 @@ def md_table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     "md_tasks",
     CORPUS_SQL
     + """,
- t AS (SELECT doc_id, i, 0 AS o, true AS checked, 'task ' || i AS text FROM blk WHERE r = 8
+ t AS (SELECT doc_id, i, 0 AS o, true AS checked, line || ' ' || i AS text FROM blk WHERE r = 8
        UNION ALL SELECT doc_id, i, 1, false, 'open' FROM blk WHERE r = 8)"""
     + f" SELECT doc_id, {_seq('i, o')}, checked, text FROM t",
 )
@@ -292,17 +294,17 @@ _IMAGE_STORE = Storage("r2", bucket="assets", prefix="doc/images")
     "nst_image_table",
     CORPUS_SQL
     + """,
- bodies AS (SELECT item_id AS n, 'img/' || item_id || '.png' AS src_id, text AS c FROM benchmark),
- used AS (SELECT DISTINCT doc_id, i % 5 AS n FROM blk WHERE r = 3)
+ bodies AS (SELECT item_id AS n, text AS c FROM benchmark WHERE item_id <> 3),
+ used AS (SELECT DISTINCT doc_id, i % 5 AS n, 'img/' || (i % 5) || '.png' AS src_id FROM blk WHERE r = 3)
   SELECT u.doc_id, src_id,
          sha256(sha256(c) || 'r2' || 'assets' || 'doc/images/' || u.doc_id || '/' || src_id) AS hash,
-         strlen(c) AS size, 'r2://assets/doc/images/' || u.doc_id || '/' || src_id AS uri,
-         (b.n + 10)::INTEGER AS width, 20 AS height
-  FROM used u JOIN bodies b ON b.n = u.n""",
+         coalesce(strlen(c), -1) AS size, CASE WHEN b.n IS NOT NULL THEN 'r2://assets/doc/images/' || u.doc_id || '/' || src_id END AS uri,
+         coalesce(b.n + 10, -1)::INTEGER AS width, CASE WHEN b.n IS NOT NULL THEN 20 ELSE -1 END AS height
+  FROM used u LEFT JOIN bodies b ON b.n = u.n""",
 )
 def nst_image_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Images found by URL among bodies taken from the benchmark rows."""
-    bodies = table(spark, sf_dir, "benchmark").select(
+    """Images found by URL among bodies taken from the benchmark rows; one that no body was found for has no reference."""
+    bodies = table(spark, sf_dir, "benchmark").where("item_id <> 3").select(
         F.concat(F.lit("./img/"), F.col("item_id").cast("string"), F.lit(".png")).alias("url"),
         F.col("text").alias("content"),
         F.lit("image/png").alias("content_type"),
@@ -311,16 +313,15 @@ def nst_image_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     rows = jobs.image_table(corpus(spark, sf_dir), ["doc_id"], ["doc_id"], "md", bodies, _IMAGE_STORE)
     image = F.col("image")
-    rows = rows.where(image.isNotNull())
     p = image["pointer"]
     return rows.select(
         "doc_id",
         "src_id",
         image["hash"].alias("hash"),
-        image["size"].alias("size"),
+        F.coalesce(image["size"], F.lit(-1)).alias("size"),
         F.concat(F.lit("r2://"), p["bucket"], F.lit("/"), p["key"]).alias("uri"),
-        image["meta"]["width"].alias("width"),
-        image["meta"]["height"].alias("height"),
+        F.coalesce(image["meta"]["width"], F.lit(-1)).alias("width"),
+        F.coalesce(image["meta"]["height"], F.lit(-1)).alias("height"),
     )
 
 
