@@ -71,23 +71,22 @@ def compile_records(
     """
     specs = collection.tables()
     records = settle_checked(records, collection, mode)
-    letters = [
-        validate.dead_letters(records.withColumnRenamed(nested.SOURCE, "source_entry")),
-    ]
     good = records.where(F.size("errors") == 0).select(nested.SOURCE, nested.DOC_HASH, "row.*")
     known = _known_files(files)
+    lost = _lost(nested.frames(good, collection), specs, known)
+    if mode == "failfast":
+        good = _stop_at(good, lost, specs[collection.table])
+    else:
+        lost = settle(lost, "lost")
+        if not lost.isEmpty():
+            # A document that names a file that is not there is rejected as a whole, like one with a bad value.
+            good = good.join(lost.select(F.col("source_entry").alias(nested.SOURCE)).distinct(), nested.SOURCE, "left_anti")
+    letters = [validate.dead_letters(records.withColumnRenamed(nested.SOURCE, "source_entry")), lost]
     frames = nested.frames(good, collection)
     tables: dict[str, DataFrame] = {}
     uploads: list[DataFrame] = []
     for name, spec in specs.items():
-        if name in frames:
-            rows, missing = _resolve(frames[name], spec, known)
-            letters += missing
-        else:
-            rows, missing = _image_rows(frames[spec.parent or ""], spec, specs, known)
-            if mode == "failfast" and (lost := missing.first()):
-                raise ValueError(f"missing image: {lost.source_entry} {lost.field} {lost.got}")
-            letters.append(missing)
+        rows = _resolve(frames[name], spec, known) if name in frames else _image_rows(frames[spec.parent or ""], spec, specs, known)
         rows = _unique(rows, spec)
         tables[name] = rows.select(*[c for c in spec.columns if c in rows.columns])
         uploads += _uploads(rows, spec)
@@ -99,6 +98,47 @@ def compile_records(
     )
 
 
+def _lost(frames: Mapping[str, DataFrame], specs: Mapping[str, TableSpec], files: DataFrame) -> DataFrame:
+    """A letter for each file, image or Markdown image that a document names and no file was found for.
+
+    Each document's references are narrow rows; all kinds of all tables meet the known paths in one join.
+    """
+    named = []
+    for name, frame in frames.items():
+        spec = specs[name]
+        key = refs.compound_id(*[F.col(k) for k in spec.pk])
+        for field, f in spec.fields:
+            if field not in frame.columns:
+                continue
+            if f.kind in ("file", "image") and f.storage is not None:
+                used = frame.select(nested.SOURCE, key.alias("id"), F.col(field).alias("got"))
+            elif f.kind == "markdown" and f.image is not None:
+                used = _used_images(frame, [nested.SOURCE, key.alias("id")], field).select(nested.SOURCE, "id", F.col("url").alias("got"))
+            else:
+                continue
+            named.append(used.withColumn("field", F.lit(field)))
+    if not named:
+        return frames[next(iter(frames))].sparkSession.createDataFrame([], LETTER)
+    wanted = reduce(DataFrame.unionByName, named).where(F.col("got").isNotNull()).distinct()
+    # A data URL brings its own bytes, if it can be read.
+    wanted = wanted.where(attachments.data_url(F.col("got"))["body"].isNull()).withColumn("__path", _source_path(F.col("got")))
+    unknown = wanted.join(files.select("__path"), "__path", "left_anti")
+    null = F.lit(None).cast("string")
+    return unknown.select(
+        F.col(nested.SOURCE).alias("source_entry"), "id", "field", F.lit("LoadFailed").alias("code"), null.alias("expected"), "got"
+    )
+
+
+def _stop_at(good: DataFrame, lost: DataFrame, root: TableSpec) -> DataFrame:
+    """The documents, in a plan that fails on the first one with a lost file, whichever table is asked for."""
+    first = lost.groupBy(F.col("source_entry").alias(nested.SOURCE)).agg(F.min(F.struct("field", "got")).alias("__lost"))
+    message = F.concat(
+        F.lit("bad document: "), F.col(nested.SOURCE), F.lit(" LoadFailed "), F.col("__lost.field"), F.lit(" "), F.col("__lost.got")
+    )
+    stop = F.when(F.col("__lost").isNotNull(), F.raise_error(message).cast("string")).otherwise(F.col(root.id_name))
+    return good.join(first, nested.SOURCE, "left").withColumn(root.id_name, stop).drop("__lost")
+
+
 def settle_checked(records: DataFrame, collection: CollectionSpec, mode: str) -> DataFrame:
     """(__source, __doc_hash, errors, row): checked documents, written once."""
     checked = validate.with_errors(records, collection)
@@ -186,24 +226,12 @@ def _reference(storage: Storage, key: list[str], src: Column, image: bool) -> Co
     return F.when(f.isNotNull(), refs.known_object(f["digest"], f["size"], f["type"], where, meta))
 
 
-def _letter(rows: DataFrame, key: list[str], field: str, src: str) -> DataFrame:
-    lost = F.col(src).isNotNull() & F.col("__f").isNull()
-    return rows.where(lost).select(
-        F.col(nested.SOURCE).alias("source_entry"),
-        refs.compound_id(*[F.col(k) for k in key]).alias("id"),
-        F.lit(field).alias("field"),
-        F.lit("LoadFailed").alias("code"),
-        F.lit(None).cast("string").alias("expected"),
-        F.col(src).alias("got"),
-    )
-
-
-def _resolve(frame: DataFrame, spec: TableSpec, files: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+def _resolve(frame: DataFrame, spec: TableSpec, files: DataFrame) -> DataFrame:
     """Replace the sources in object columns by references and set the row hash.
 
     Markdown comes last: its stored form embeds the row with all else resolved.
     """
-    rows, letters, digests, image_digests = frame, [], [], []
+    rows, digests, image_digests = frame, [], []
     fields = [(name, f) for name, f in spec.fields if name in frame.columns]
     for name, f in fields:
         if f.kind not in ("file", "image") or f.storage is None:
@@ -211,7 +239,6 @@ def _resolve(frame: DataFrame, spec: TableSpec, files: DataFrame) -> tuple[DataF
         src = f"__src_{name}"
         inline = f.storage.kind == "inline"
         rows = _attach(rows.withColumnRenamed(name, src), src, files, spec.pk, inline)
-        letters.append(_letter(rows, spec.pk, name, src))
         rows = rows.withColumn(name, _reference(f.storage, spec.pk, F.col(src), f.kind == "image"))
         if f.kind == "file":
             rows = rows.withColumn(f"__digest_{name}", F.col("__f.digest"))
@@ -233,7 +260,7 @@ def _resolve(frame: DataFrame, spec: TableSpec, files: DataFrame) -> tuple[DataF
         where = refs.pointer(f.storage, refs.compound_id(*[F.col(k) for k in spec.pk]), F.col(stored))
         ref = refs.object_ref(F.col(stored), F.lit("application/json"), where)
         rows = rows.withColumn(name, F.when(F.col(stored).isNotNull(), ref))
-    return rows, letters
+    return rows
 
 
 def _used_images(frame: DataFrame, keep: list, text: str) -> DataFrame:
@@ -279,8 +306,8 @@ def stored_markdown(front: Column, text: Column) -> Column:
 
 def _image_rows(
     frame: DataFrame, spec: TableSpec, specs: Mapping[str, TableSpec], files: DataFrame
-) -> tuple[DataFrame, DataFrame]:
-    """Rows of a markdown field's image table, and letters of the images that no file was found for.
+) -> DataFrame:
+    """Rows of a markdown field's image table.
 
     Small vector images stay in the page.
     """
@@ -291,12 +318,11 @@ def _image_rows(
     used = _used_images(frame, [*keys, nested.SOURCE, nested.DOC_HASH], spec.path[-1])
     storage = spec.field("image").storage or Storage("inline")
     found = _attach(used, "url", files, list(spec.inherit_ids), storage.kind == "inline")
-    missing = _letter(found, list(spec.inherit_ids), spec.path[-1], "url")
     embedded = (F.col("__f.image.format") == "svg") & (F.col("__f.size") < threshold)
     found = found.where(F.col("__f").isNotNull() & ~F.coalesce(embedded, F.lit(False)))
     found = found.withColumn("src_id", _derived_id(F.col("url")))
     rows = found.withColumn("image", _reference(storage, spec.pk, F.col("url"), True))
-    return rows.withColumn("__at_image", F.col("__path")), missing
+    return rows.withColumn("__at_image", F.col("__path"))
 
 
 def _unique(rows: DataFrame, spec: TableSpec) -> DataFrame:

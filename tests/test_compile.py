@@ -20,113 +20,69 @@ from quireflow.streaming import incremental
 
 T1, T2 = "2025-01-01 00:00:00", "2025-02-02 00:00:00"
 
-SUBTABLE = """
-glob: "posts/**/*.yaml"
-table: posts
-name: posts
-database_id: db
-syntax: {type: yaml}
-schema:
-  id: {type: id}
-  tags:
-    type: records
-    inherit_ids: [post_id]
-    table: tags
-    schema:
-      tag: {type: id}
-"""
-
-THREE_LEVELS = """
-glob: "posts/**/*.yaml"
-table: posts
-name: posts
-database_id: db
-syntax: {type: yaml}
-schema:
-  id: {type: id}
-  title: {type: string}
-  created: {type: created_at}
-  modified: {type: updated_at}
-  comments:
-    type: records
-    inherit_ids: [post_id]
-    table: comments
-    schema:
-      comment_id: {type: id}
-      body: {type: string}
-      created: {type: created_at}
-      modified: {type: updated_at}
-      replies:
-        type: records
-        inherit_ids: [post_id, comment_id]
-        table: replies
-        schema:
-          reply_id: {type: id}
-          body: {type: string}
-          created: {type: created_at}
-          modified: {type: updated_at}
-"""
-
-ATTACHMENTS = """
-glob: "posts/**/*.yaml"
-table: posts
-name: posts
-database_id: db
-syntax: {type: yaml}
-schema:
-  id: {type: id}
-  created: {type: created_at}
-  modified: {type: updated_at}
-  attachments:
-    type: records
-    inherit_ids: [post_id]
-    table: attachments
-    schema:
-      id: {type: id}
-      created: {type: created_at}
-      modified: {type: updated_at}
-      file: {type: file, storage: {type: r2, bucket: assets, prefix: posts/attachments}}
-"""
-
-BLOG = """
-glob: "posts/*.md"
-table: posts
-name: posts
-database_id: db
-syntax: {type: markdown, column: body}
-schema:
-  id: {type: id}
-  hash: {type: hash}
-  body:
-    type: markdown
-    image: {table: post_images, inherit_ids: [post_id], embed_svg_threshold: 64, storage: {type: r2, bucket: b, prefix: post/images}}
-    config: {}
-    storage: {type: kv, namespace: post}
-  og_image: {type: image, storage: {type: r2, bucket: b, prefix: post/og}}
-  publish: {type: boolean}
-  published: {type: datetime, index: true, required: true}
-  comments:
-    type: records
-    inherit_ids: [post_id]
-    table: comments
-    schema:
-      comment_id: {type: id}
-      comment:
-        type: markdown
-        image: {table: comment_images, inherit_ids: [post_id, comment_id], embed_svg_threshold: 64, storage: {type: r2, bucket: b}}
-        config: {}
-        storage: {type: inline}
-  tags:
-    type: records
-    inherit_ids: [post_id]
-    table: post_tags
-    schema:
-      tag: {type: id}
-"""
-
-
-def collection(text: str) -> CollectionSpec:
-    return CollectionSpec.from_config(yaml.safe_load(text), text)
+
+def table_of(name, fields, **rest):
+    return {"name": name, "table": name, "database_id": "depot", "glob": "**/*", "syntax": {"type": "toml"}, "schema": fields} | rest
+
+
+def below(name, parents, fields):
+    return {"type": "records", "table": name, "inherit_ids": parents, "schema": fields}
+
+
+ID, TEXT = {"type": "id"}, {"type": "string"}
+STAMPS = {"seen_at": {"type": "created_at"}, "changed_at": {"type": "updated_at"}}
+
+#: A workshop: tools with bare keywords.
+TOOLS = table_of("tools", {"code": ID, "keywords": below("keywords", ["tool"], {"word": ID})})
+
+#: Orders, their lines, and notes on a line.
+ORDERS = table_of(
+    "orders",
+    {
+        "number": ID, "buyer": TEXT, **STAMPS,
+        "lines": below("lines", ["order_number"], {
+            "sku": ID, "pieces": {"type": "integer"}, **STAMPS,
+            "notes": below("notes", ["order_number", "line_sku"], {"stamp": ID, "wording": TEXT, **STAMPS}),
+        }),
+    },
+)
+
+#: Deliveries with scanned slips.
+DELIVERIES = table_of(
+    "deliveries",
+    {
+        "lorry": ID, **STAMPS,
+        "slips": below("slips", ["lorry"], {
+            "page": ID, **STAMPS, "scan": {"type": "file", "required": True, "storage": {"type": "r2", "bucket": "paper", "prefix": "slips"}},
+        }),
+    },
+)
+
+#: Field guides in Markdown: a plate, a text with drawings, sightings with a text of their own.
+GUIDES = table_of(
+    "guides",
+    {
+        "species": ID, "fingerprint": {"type": "hash"}, "plate": {"type": "image", "storage": {"type": "r2", "bucket": "art", "prefix": "plates"}},
+        "checked": {"type": "boolean"}, "printed": {"type": "datetime", "required": True},
+        "description": {
+            "type": "markdown", "config": {}, "storage": {"type": "kv", "namespace": "texts"},
+            "image": {"table": "drawings", "inherit_ids": ["species"], "embed_svg_threshold": 40, "storage": {"type": "r2", "bucket": "art", "prefix": "drawings"}},
+        },
+        "sightings": below("sightings", ["species"], {
+            "day": ID,
+            "remark": {
+                "type": "markdown", "config": {}, "storage": {"type": "inline"},
+                "image": {"table": "snapshots", "inherit_ids": ["species", "day"], "embed_svg_threshold": 40, "storage": {"type": "r2", "bucket": "art"}},
+            },
+        }),
+        "regions": below("regions", ["species"], {"region": ID}),
+    },
+    syntax={"type": "markdown", "column": "description"},
+)
+
+
+def collection(config: dict) -> CollectionSpec:
+    return CollectionSpec.from_config(config, yaml.safe_dump(config))
 
 
 def write(folder, files: dict[str, str | bytes]) -> str:
@@ -155,161 +111,153 @@ def png(width: int, height: int) -> bytes:
     )
 
 
-def test_scalar_children_follow_the_document(spark, tmp_path):
-    spec = collection(SUBTABLE)
+def test_bare_children_follow_the_document(spark, tmp_path):
+    spec = collection(TOOLS)
     store = SnapshotStore(spark, str(tmp_path / "store"))
-    for run, (tags, stamp) in enumerate((("[tag1, tag2]", T1), ("[tag1, tag3]", T2))):
-        folder = write(tmp_path / f"run{run}", {"post.yaml": f"id: post1\ntags: {tags}\n"})
-        done = compile_documents(spark, spec, folder, "*.yaml")
-        tables, _ = run_batch(store, spec.tables(), done.tables, stamp)
-    assert rows(tables["tags"], "post_id", "tag") == [("post1", "tag1"), ("post1", "tag3")]
-    assert rows(tables["posts"], "id") == [("post1",)]
+    for stamp, words in ((T1, ["steel", "heavy", "old"]), (T2, ["heavy", "sharp"])):
+        folder = write(tmp_path / stamp[:4] / stamp[5:7], {"axe.toml": f'code = "axe"\nkeywords = {words}\n'})
+        tables, _ = run_batch(store, spec.tables(), compile_documents(spark, spec, folder, "*.toml").tables, stamp)
+        assert rows(tables["keywords"], "tool", "word") == [("axe", w) for w in sorted(words)]
+    assert rows(tables["tools"], "code") == [("axe",)]
 
 
-def test_a_reply_touches_its_ancestors_and_nothing_else_moves(spark, tmp_path):
-    spec = collection(THREE_LEVELS)
+def test_a_note_moves_its_line_and_order_only(spark, tmp_path):
+    spec = collection(ORDERS)
     store = SnapshotStore(spark, str(tmp_path / "store"))
-    text = (
-        "id: post1\ntitle: Post\ncomments:\n  - comment_id: comment1\n    body: Comment\n"
-        "    replies:\n      - {{reply_id: reply1, body: {body}}}\n"
-    )
-    stamps = {}
-    for run, (body, stamp) in enumerate((("Before", T1), ("Before", T2), ("After", T2))):
-        folder = write(
-            tmp_path / f"run{run}",
-            {"a.yaml": text.format(body=body), "b.yaml": "id: post2\ntitle: Other\n"},
+
+    def order(number: str, wording: str) -> str:
+        return (
+            f'number = "{number}"\nbuyer = "b{number}"\n[[lines]]\nsku = "nail"\npieces = 40\n'
+            f'[[lines.notes]]\nstamp = "n1"\nwording = "{wording}"\n[[lines]]\nsku = "screw"\npieces = 7\n'
         )
-        done = compile_documents(spark, spec, folder, "*.yaml")
-        tables, _ = run_batch(store, spec.tables(), done.tables, stamp)
-        stamps[run] = {
-            name: [(str(r.created), str(r.modified)) for r in df.orderBy(*spec.tables()[name].pk).collect()]
-            for name, df in tables.items()
-        }
-    assert stamps[0] == {"posts": [(T1, T1)] * 2, "comments": [(T1, T1)], "replies": [(T1, T1)]}
-    assert stamps[1] == stamps[0]
-    assert stamps[2] == {"posts": [(T1, T2), (T1, T1)], "comments": [(T1, T2)], "replies": [(T1, T2)]}
-
-
-def test_attachments_are_uploaded_skipped_and_deleted(spark, tmp_path):
-    spec = collection(ATTACHMENTS)
+
+    def run(k: int, wording: str, stamp: str) -> dict:
+        folder = write(tmp_path / f"day{k}", {"one.toml": order("1", wording), "two.toml": order("2", "as ever")})
+        tables, _ = run_batch(store, spec.tables(), compile_documents(spark, spec, folder, "*.toml").tables, stamp)
+        assert {str(r.seen_at) for t in tables.values() for r in t.collect()} == {T1}
+        return {n: rows(t.where(F.col("changed_at") == F.lit(T2).cast("timestamp")), *spec.tables()[n].pk) for n, t in tables.items()}
+
+    nothing = {"orders": [], "lines": [], "notes": []}
+    assert run(0, "urgent", T1) == nothing and run(1, "urgent", T2) == nothing
+    assert run(2, "can wait", T2) == {"orders": [("1",)], "lines": [("1", "nail")], "notes": [("1", "nail", "n1")]}
+
+
+def slip(lorry: str, **scans: str) -> str:
+    pages = "".join(f'[[slips]]\npage = "{p}"\nscan = "{f}"\n' for p, f in scans.items())
+    return f'lorry = "{lorry}"\n{pages}'
+
+
+def test_objects_are_uploaded_skipped_and_deleted(spark, tmp_path):
+    spec = collection(DELIVERIES)
     store = SnapshotStore(spark, str(tmp_path / "store"))
-    files = {f"files/data{n}.txt": f"d{n}\n" for n in ("1-1", "1-2", "2-1")}
-    post1 = "id: post1\nattachments:\n  - {id: data1-1, file: ./files/%s.txt}\n"
-    second = "  - {id: data1-2, file: ./files/data1-2.txt}\n"
-    post2 = "id: post2\nattachments:\n  - {id: data2-1, file: ./files/data2-1.txt}\n"
-
-    def run(name: str, documents: dict[str, str], stamp: str):
-        folder = write(tmp_path / name, {**files, **documents})
-        done = compile_documents(spark, spec, folder, "*.yaml")
-        tables, actions = run_batch(store, spec.tables(), done.tables, stamp)
+    paper = {"in/red.txt": "red slip", "in/green.txt": "green slip", "in/blue.txt": "blue slip!"}
+
+    def run(name: str, documents: dict[str, str], stamp: str, **how):
+        folder = write(tmp_path / name, paper | documents)
+        done = compile_documents(spark, spec, folder, "*.toml")
+        tables, actions = run_batch(store, spec.tables(), done.tables, stamp, **how)
         return tables, rows(actions, "action", "uri"), done, folder
 
-    uri = "r2://assets/posts/attachments/post%s/data%s"
-    tables, actions, done, folder = run(
-        "a", {"post1.yaml": post1 % "data1-1" + second, "post2.yaml": post2}, T1
-    )
-    assert actions == [("upload", uri % (p, d)) for p, d in ((1, "1-1"), (1, "1-2"), (2, "2-1"))]
-    found = rows(tables["attachments"], "post_id", "id", "file.size", "file.content_type", "file.pointer.key")
-    assert found[0] == ("post1", "data1-1", 5, "text/plain", "posts/attachments/post1/data1-1")
-    assert len(found) == 3
+    uri = "r2://paper/slips/"
+    first = {"x.toml": slip("x", p1="in/red.txt", p2="in/green.txt"), "y.toml": slip("y", p1="in/blue.txt")}
+    tables, actions, done, folder = run("first", first, T1)
+    assert actions == [("upload", uri + k) for k in ("x/p1", "x/p2", "y/p1")]
+    found = rows(tables["slips"], "lorry", "page", "scan.size", "scan.content_type", "scan.pointer.key")
+    assert found == [("x", "p1", 8, "text/plain", "slips/x/p1"), ("x", "p2", 10, "text/plain", "slips/x/p2"), ("y", "p1", 10, "text/plain", "slips/y/p1")]
     payload = with_payload(done.uploads, attachments.scan(spark, folder))
-    assert rows(payload, "body") == [(b"d1-1\n",), (b"d1-2\n",), (b"d2-1\n",)]
-
-    # Same key, new content: written again, not deleted. A vanished document goes, its object too.
-    tables, actions, _, _ = run("b", {"post1.yaml": post1 % "data1-2" + second}, T2)
-    assert actions == [
-        ("delete", uri % (2, "2-1")),
-        ("skip", uri % (1, "1-2")),
-        ("upload", uri % (1, "1-1")),
-    ]
-    assert rows(tables["posts"], "id") == [("post1",)]
-    assert [str(r.modified) for r in tables["posts"].collect()] == [T2]
-    assert [str(r.modified) for r in tables["attachments"].orderBy("id").collect()] == [T2, T1]
+    assert rows(payload, "body") == [(b"blue slip!",), (b"green slip",), (b"red slip",)]
+
+    # One key gets another content, one stays, and a document is gone with its object.
+    second = {"x.toml": slip("x", p1="in/blue.txt", p2="in/green.txt")}
+    tables, actions, _, _ = run("second", second, T2)
+    assert actions == [("delete", uri + "y/p1"), ("skip", uri + "x/p2"), ("upload", uri + "x/p1")]
+    assert rows(tables["deliveries"], "lorry") == [("x",)] and str(tables["deliveries"].first().changed_at) == T2
+    assert [str(r.changed_at) for r in tables["slips"].orderBy("page").collect()] == [T2, T1]
+
+    # A full refresh uploads and stamps everything anew.
+    tables, actions, _, _ = run("third", second, "2025-03-03 00:00:00", force=True)
+    assert {a for a, _ in actions} == {"upload"} and {str(r.seen_at) for r in tables["slips"].collect()} == {"2025-03-03 00:00:00"}
+
 
-    # A full refresh uploads everything again and stamps all rows anew.
-    folder = write(tmp_path / "b2", {**files, "post1.yaml": post1 % "data1-2" + second})
-    done = compile_documents(spark, spec, folder, "*.yaml")
-    tables, actions = run_batch(store, spec.tables(), done.tables, "2025-03-03 00:00:00", force=True)
-    assert {r.action for r in actions.collect()} == {"upload"}
-    assert {str(r.created) for r in tables["attachments"].collect()} == {"2025-03-03 00:00:00"}
+def guide(species: str, text: str = "", **front) -> str:
+    return "---\n" + yaml.safe_dump({"species": species, "printed": "2024-05-06T07:08:09"} | front) + f"---\n{text}\n"
 
 
 def test_markdown_collection(spark, tmp_path):
-    spec = collection(BLOG)
-    body = (
-        "---\nid: test\ntags: [tech]\nog_image: ./test.png\npublished: 2025-09-02T19:19:51\n"
-        "comments:\n  - comment_id: hoge\n    comment: |\n      > [!TIP]\n      > Comment\n---\n"
-        '\n## Image\n\n![Icon](./test.png "test icon") ![s](small.svg)\n\n## Footnote\n\nText[^n]\n\n[^n]: Note\n'
-    )
+    spec = collection(GUIDES)
+    text = '# Wren\n\n![Egg](egg.png "an egg") and ![Leaf](leaf.svg)\n\n## Song\n\nLoud[^song].\n\n[^song]: In spring.\n'
     folder = write(
-        tmp_path / "posts",
+        tmp_path / "guides",
         {
-            "a.md": body,
-            "bad.md": "---\nid: bad\n---\nno date\n",
-            "open.md": "---\nid: x\n",
-            "lost.md": "---\nid: lost\npublished: 2025-09-02T00:00:00\nog_image: ./none.png\n---\ntext\n",
-            "test.png": png(7, 5),
-            "small.svg": "<svg/>",
+            "wren.md": guide("wren", text, plate="plates/wren.png", regions=["moor", "dale"], sightings=[{"day": "monday", "remark": "> [!NOTE]\n> Two of them"}]),
+            "kite.md": "---\nspecies: kite\n---\nnever printed\n",
+            "open.md": "---\nspecies: open\n",
+            "plates/wren.png": png(9, 4), "egg.png": png(3, 2), "leaf.svg": "<svg/>",
         },
-    )
+    )
     done = compile_documents(spark, spec, folder, "*.md")
-    assert list(done.tables) == ["posts", "post_images", "comments", "comment_images", "post_tags"]
-    post = {r.id: r for r in done.tables["posts"].collect()}
-    assert set(post) == {"test", "lost"}
-    row = post["test"]
-    assert str(row.published) == "2025-09-02 19:19:51"
-    assert row.publish is None and len(row.hash) == 64
-    assert (row.og_image.meta.width, row.og_image.meta.height) == (7, 5)
-    assert row.og_image.meta.derived_id == "test.png"
-    assert (row.body.pointer.type, row.body.pointer.key) == ("kv", "test")
-    assert rows(done.tables["post_images"], "post_id", "src_id", "image.pointer.key") == [
-        ("test", "test.png", "post/images/test/test.png")
-    ]
-    comment = done.tables["comments"].collect()[0]
-    assert comment.comment.pointer.type == "inline" and "[!TIP]" in comment.comment.pointer.content
-    assert rows(done.tables["post_tags"], "post_id", "tag") == [("test", "tech")]
+    assert list(done.tables) == ["guides", "drawings", "sightings", "snapshots", "regions"]
+    (row,) = done.tables["guides"].collect()
+    assert (row.species, str(row.printed), row.checked, len(row.fingerprint)) == ("wren", "2024-05-06 07:08:09", None, 64)
+    assert (row.plate.meta.width, row.plate.meta.height, row.plate.meta.derived_id) == (9, 4, "plates/wren.png")
+    assert (row.description.pointer.type, row.description.pointer.key) == ("kv", "wren")
+    # The small vector image stays in the page.
+    assert rows(done.tables["drawings"], "species", "src_id", "image.pointer.key") == [("wren", "egg.png", "drawings/wren/egg.png")]
+    (remark,) = done.tables["sightings"].collect()
+    assert remark.remark.pointer.type == "inline" and "[!NOTE]" in remark.remark.pointer.content
+    assert rows(done.tables["regions"], "species", "region") == [("wren", "dale"), ("wren", "moor")]
     letters = {(r.source_entry.rsplit("/", 1)[1], r.field, r.code) for r in done.dead_letters.collect()}
-    assert letters == {
-        ("bad.md", "published", "MissingField"),
-        ("open.md", "", "UnclosedFrontmatter"),
-        ("lost.md", "og_image", "LoadFailed"),
-    }
-    stored = [r.payload_text for r in done.uploads.where("table_name = 'posts' AND payload_text is not null").collect()]
-    whole = next(t for t in stored if '"id":"test"' in t)
-    assert '"tags":["tech"]' in whole and '"title":"Footnote"' in whole and '"content":"Note"' in whole
+    assert letters == {("kite.md", "printed", "MissingField"), ("open.md", "", "UnclosedFrontmatter")}
+    (stored,) = [r.payload_text for r in done.uploads.where("table_name = 'guides' AND payload_text is not null").collect()]
+    assert '"regions":["moor","dale"]' in stored and '"title":"Song"' in stored and '"content":"In spring."' in stored
     with pytest.raises(Exception, match="bad document"):
         compile_documents(spark, spec, folder, "*.md", mode="failfast")
 
-    # The text is the same, an image it shows is not: the row's hash moves.
-    write(tmp_path / "posts", {"test.png": png(7, 6)})
-    again = compile_documents(spark, spec, folder, "*.md").tables["posts"].where("id = 'test'").collect()[0]
-    assert again.hash != row.hash
-    assert again.body.hash != row.body.hash  # the og image is part of the stored frontmatter
+    # The text is the same; a drawing in it is not, and then the plate, which the stored frontmatter holds.
+    write(tmp_path / "guides", {"egg.png": png(3, 3)})
+    drawn = compile_documents(spark, spec, folder, "*.md").tables["guides"].first()
+    assert drawn.fingerprint != row.fingerprint
+    write(tmp_path / "guides", {"plates/wren.png": png(9, 5)})
+    assert compile_documents(spark, spec, folder, "*.md").tables["guides"].first().description.hash != row.description.hash
 
 
-def test_missing_images_are_dead_letters(spark, tmp_path):
-    spec = collection(BLOG)
-    head = "published: 2025-09-02T00:00:00\n"
+def test_documents_with_lost_files_are_rejected(spark, tmp_path):
+    spec = collection(GUIDES)
     folder = write(
-        tmp_path / "posts",
+        tmp_path / "guides",
         {
-            "a.md": f"---\nid: a\n{head}comments:\n  - comment_id: c\n    comment: '![x](gone.png)'\n---\n![i](test.png) ![n](none.png) ![n](none.png)\n",
-            "b.md": f"---\nid: b\n{head}---\n![n](none.png) ![r](https://h.example/r.png)\n",
-            "test.png": png(7, 5),
+            "a.md": guide("a", "![i](here.png)", sightings=[{"day": "d", "remark": "![x](gone.png)"}], regions=["r"]),
+            "b.md": guide("b", "![n](none.png) ![n](none.png) ![r](https://h.example/r.png)"),
+            "c.md": guide("c", plate="lost.png"), "d.md": guide("d", "![i](here.png)", plate="here.png"), "e.md": guide("e", plate="data:image/png;base64,@@@"),
+            "here.png": png(7, 5),
         },
-    )
+    )
     done = compile_documents(spark, spec, folder, "*.md")
-    assert rows(done.tables["post_images"], "post_id", "src_id") == [("a", "test.png")]
-    letters = [(r.source_entry.rsplit("/", 1)[1], r.id, r.field, r.code, r.got) for r in done.dead_letters.collect()]
-    assert sorted(x[:1] + x[2:] for x in letters) == [
-        ("a.md", "body", "LoadFailed", "none.png"),
-        ("a.md", "comment", "LoadFailed", "gone.png"),
-        ("b.md", "body", "LoadFailed", "https://h.example/r.png"),
-        ("b.md", "body", "LoadFailed", "none.png"),
+    assert {n: rows(t, *spec.tables()[n].pk) for n, t in done.tables.items()} == {
+        "guides": [("d",)], "drawings": [("d", "here.png")], "sightings": [], "snapshots": [], "regions": [],
+    }
+    assert {r.pointer.key for r in done.uploads.collect()} == {"plates/d", "d", "drawings/d/here.png"}
+    letters = sorted((r.source_entry.rsplit("/", 1)[1], r.id, r.field, r.code, r.got) for r in done.dead_letters.collect())
+    assert letters == [
+        ("a.md", "a/d", "remark", "LoadFailed", "gone.png"),
+        ("b.md", "b", "description", "LoadFailed", "https://h.example/r.png"),
+        ("b.md", "b", "description", "LoadFailed", "none.png"),
+        ("c.md", "c", "plate", "LoadFailed", "lost.png"),
+        ("e.md", "e", "plate", "LoadFailed", "data:image/png;base64,@@@"),
     ]
-    assert {x[1] for x in letters if x[2] == "body"} == {"a", "b"}
-    with pytest.raises(ValueError, match="missing image"):
-        compile_documents(spark, spec, folder, "*.md", mode="failfast")
+    # Strict runs fail when a table is computed, whichever it is.
+    strict = compile_documents(spark, spec, folder, "*.md", mode="failfast")
+    for name in strict.tables:
+        with pytest.raises(Exception, match="LoadFailed"):
+            strict.tables[name].collect()
+
+
+def test_a_required_file_that_is_lost_rejects_the_document(spark, tmp_path):
+    spec = collection(DELIVERIES)
+    folder = write(tmp_path, {"x.toml": slip("x", p1="in/none.txt"), "y.toml": slip("y", p1="in/y.txt"), "in/y.txt": "y"})
+    done = compile_documents(spark, spec, folder, "*.toml")
+    assert rows(done.tables["deliveries"], "lorry") == [("y",)] and rows(done.tables["slips"], "lorry") == [("y",)]
+    assert rows(done.dead_letters, "id", "field", "code") == [("x/p1", "scan", "LoadFailed")]
 
 
 def test_image_table_keeps_images_without_a_body(spark):
@@ -320,58 +268,43 @@ def test_image_table_keeps_images_without_a_body(spark):
 
 
 def test_a_stream_of_documents_uploads_before_it_upserts(spark, tmp_path):
-    spec = collection(ATTACHMENTS)
+    spec = collection(DELIVERIES)
     store = SnapshotStore(spark, str(tmp_path / "store"))
-    inbox = tmp_path / "in"
-    write(inbox, {"files/a.txt": "a\n", "files/b.txt": "b\n", "p1.yaml": "id: p1\nattachments:\n  - {id: x, file: files/a.txt}\n"})
-    seen = []
+    inbox, seen = tmp_path / "in", []
 
     def upload(objects):
-        rows_there = store.read("attachments")
-        seen.append((sorted(r.uri for r in objects.collect()), 0 if rows_there is None else rows_there.count()))
-
-    def go():
-        docs = incremental.document_stream(spark, str(inbox), "*.yaml")
-        tables = lambda batch: compile_records(
-            spark, spec, records_of(batch, spec), attachments.scan(spark, str(inbox))
-        ).tables
-        incremental.upsert_stream(
-            docs, store, spec.tables(), tables, lambda _: T1, str(tmp_path / "progress"), upload
-        ).awaitTermination()
-
-    go()
-    write(inbox, {"p2.yaml": "id: p2\nattachments:\n  - {id: x, file: files/a.txt}\n  - {id: y, file: files/b.txt}\n"})
-    go()
-    uri = "r2://assets/posts/attachments/%s"
-    assert seen == [([uri % "p1/x"], 0), ([uri % "p2/x", uri % "p2/y"], 1)]
-    assert rows(store.read("attachments"), "post_id", "id") == [("p1", "x"), ("p2", "x"), ("p2", "y")]
+        there = store.read("slips")
+        seen.append((sorted(r.uri for r in objects.collect()), 0 if there is None else there.count()))
+
+    def arrive(**documents: str):
+        write(inbox, {f"{name}.toml": body for name, body in documents.items()})
+        found = attachments.scan(spark, str(inbox))
+        tables = lambda batch: compile_records(spark, spec, records_of(batch, spec), found).tables
+        docs = incremental.document_stream(spark, str(inbox), "*.toml")
+        incremental.upsert_stream(docs, store, spec.tables(), tables, lambda _: T1, str(tmp_path / "progress"), upload).awaitTermination()
+
+    write(inbox, {"red.txt": "r", "green.txt": "g"})
+    arrive(x=slip("x", p="red.txt"))
+    arrive(y=slip("y", p="red.txt", q="green.txt"))
+    uri = "r2://paper/slips/"
+    assert seen == [([uri + "x/p"], 0), ([uri + "y/p", uri + "y/q"], 1)]
+    assert rows(store.read("slips"), "lorry", "page") == [("x", "p"), ("y", "p"), ("y", "q")]
 
 
 def test_payloads_of_data_urls_and_remote_files(spark, tmp_path):
-    spec = collection(
-        """
-name: cards
-table: cards
-database_id: d1
-glob: "*.yaml"
-syntax: {type: yaml}
-schema:
-  id: {type: id}
-  scan: {type: file, storage: {type: r2, bucket: scans, prefix: c}}
-"""
-    )
+    spec = collection(table_of("cards", {"code": ID, "scan": {"type": "file", "storage": {"type": "r2", "bucket": "scans", "prefix": "c"}}}))
     folder = write(
         tmp_path,
         {
-            "one.yaml": "id: one\nscan: 'data:text/plain;base64,aGVsbG8='\n",
-            "two.yaml": "id: two\nscan: https://h.example/x.txt\n",
-            "three.yaml": "id: three\nscan: ./near.txt\n",
+            "one.toml": "code = 'one'\nscan = 'data:text/plain;base64,aGVsbG8='\n",
+            "two.toml": "code = 'two'\nscan = 'https://h.example/x.txt'\n",
+            "three.toml": "code = 'three'\nscan = './near.txt'\n",
             "near.txt": "near",
         },
     )
     near = attachments.scan(spark, folder)
     far = near.limit(1).withColumn("path", F.lit("https://h.example/x.txt")).withColumn("content", F.lit(b"far"))
     files = near.unionByName(far.withColumn("length", F.lit(3).cast(near.schema["length"].dataType)))
-    done = compile_documents(spark, spec, folder, "*.yaml", files=files)
+    done = compile_documents(spark, spec, folder, "*.toml", files=files)
     got = {r.pointer.key: bytes(r.body) for r in with_payload(done.uploads, files).collect()}
     assert got == {"c/one": b"hello", "c/two": b"far", "c/three": b"near"}
