@@ -9,7 +9,8 @@ from quireflow.catalog.registry import query, table
 from quireflow.functions import typed
 from quireflow.operators import nested, validate
 from quireflow.session import settle
-from quireflow.specs import CollectionSpec, Field
+from quireflow.plans.compile import compile_records
+from quireflow.specs import CollectionSpec, Field, MarkdownImages, Storage
 
 POSTS = CollectionSpec(
     name="posts",
@@ -291,6 +292,76 @@ def val_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+LOADED = CollectionSpec(
+    name="leaflets",
+    table="leaflets",
+    schema=(
+        ("id", Field("id")),
+        ("enclosure", Field("file", storage=Storage("r2", bucket="b", prefix="enclosures"))),
+        ("cover", Field("image", required=True, storage=Storage("r2", bucket="b", prefix="covers"))),
+        (
+            "body",
+            Field(
+                "markdown",
+                storage=Storage("kv", namespace="bodies"),
+                image=MarkdownImages(table="figures", inherit_ids=("leaflet",), embed_svg_threshold=0, storage=Storage("r2", bucket="b", prefix="figures")),
+            ),
+        ),
+    ),
+)
+
+# A JSON value per field, in SQL that Spark and DuckDB read alike; some are no text, and some name a file that is not there.
+_ENCLOSURE = """CASE doc_id % 5 WHEN 0 THEN '17' WHEN 1 THEN '"./files/' || CAST(doc_id % 9 AS STRING) || '.txt"'
+  WHEN 2 THEN '"https://h.example/' || CAST(doc_id % 9 AS STRING) || '"' WHEN 3 THEN '"data:text/plain;base64,aGk="' END"""
+_COVER = "CASE WHEN doc_id % 8 = 0 THEN 'true' ELSE '\"./img/' || CAST(doc_id % 6 AS STRING) || '.png\"' END"
+_BODY_JSON = """CASE WHEN doc_id % 11 = 0 THEN '["no text"]' ELSE '"' || translate(text, chr(10) || chr(9) || chr(13) || '\\"[]!()', '   ')
+  || ' ![f](./img/' || CAST(doc_id % 7 AS STRING) || '.png)"' END"""
+
+
+@query(
+    "val_load_failures",
+    f"""
+  WITH d AS (SELECT doc_id, 'd' || doc_id AS id, {_ENCLOSURE} AS enclosure, {_COVER} AS cover, {_BODY_JSON} AS body FROM documents),
+  wrong AS (
+    SELECT id, 'enclosure' AS field, enclosure AS got FROM d WHERE doc_id % 5 = 0
+    UNION ALL SELECT id, 'cover', cover FROM d WHERE doc_id % 8 = 0
+    UNION ALL SELECT id, 'body', body FROM d WHERE doc_id % 11 = 0),
+  good AS (SELECT * FROM d WHERE id NOT IN (SELECT id FROM wrong)),
+  lost AS (
+    SELECT id, 'enclosure' AS field, json_extract_string(enclosure, '$') AS got FROM good
+    WHERE doc_id % 5 = 1 AND doc_id % 9 = 4 OR doc_id % 5 = 2 AND doc_id % 9 = 5
+    UNION ALL SELECT id, 'cover', json_extract_string(cover, '$') FROM good WHERE doc_id % 6 = 3
+    UNION ALL SELECT id, 'body', './img/' || (doc_id % 7) || '.png' FROM good WHERE doc_id % 7 = 3)
+  SELECT id, field, 'TypeMismatch' AS code, got FROM wrong
+  UNION ALL SELECT id, field, 'LoadFailed', got FROM lost
+  UNION ALL SELECT id, '', 'Stored', CASE doc_id % 5 WHEN 1 THEN 'text/plain' WHEN 2 THEN 'application/octet-stream' WHEN 3 THEN 'text/plain' ELSE '' END
+  FROM good WHERE id NOT IN (SELECT id FROM lost)""",
+)
+def val_load_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose file, image or Markdown image is no text or does not load are dead letters as a whole; the rest is stored."""
+    docs = table(spark, sf_dir, "documents", costly=True)
+    values = [F.concat(F.lit(f'"{n}":'), F.expr(v)) for n, v in (("enclosure", _ENCLOSURE), ("cover", _COVER), ("body", _BODY_JSON))]
+    raw = F.concat(F.lit('{"id":"d'), F.col("doc_id"), F.lit('",'), F.concat_ws(",", *values), F.lit("}"))
+    records = docs.select(
+        F.concat(F.lit("/leaflets/d"), F.col("doc_id"), F.lit(".yaml")).alias(nested.SOURCE),
+        F.lit("").alias(nested.DOC_HASH),
+        typed.parse_record(raw).alias("record"),
+        F.lit(None).cast("string").alias("decode_error"),
+    )
+    n = F.col("item_id")
+    paths = F.array(
+        F.when(n != 4, F.concat(F.lit("/leaflets/files/"), n, F.lit(".txt"))),
+        F.when(n != 5, F.concat(F.lit("https://h.example/"), n)),
+        F.when(n != 3, F.concat(F.lit("/leaflets/img/"), n, F.lit(".png"))),
+    )
+    bodies = table(spark, sf_dir, "benchmark").select(F.explode(F.array_compact(paths)).alias("path"), F.col("text").cast("binary").alias("content"))
+    done = compile_records(spark, LOADED, records, bodies.withColumn("length", F.octet_length("content").cast("bigint")))
+    letters = done.dead_letters.select("id", "field", "code", "got")
+    enclosed = F.coalesce(F.col("enclosure.content_type"), F.lit(""))
+    stored = done.tables["leaflets"].select("id", F.lit("").alias("field"), F.lit("Stored").alias("code"), enclosed.alias("got"))
+    return letters.unionByName(stored)
+
+
 @query(
     "src_json_project",
     """

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quireflow.functions.hashing import digest
 from quireflow.functions.markup import let
+from quireflow.functions.raster import raster_size
 from quireflow.functions.mime import with_content_type
 from quireflow.functions.refs import id_from_path, id_from_url
 from quireflow.operators.joins import key_join
@@ -123,29 +124,35 @@ def _root_size(root: Column) -> Column:
 def image_size(content: Column) -> Column:
     """struct(format, width, height) from an image's header bytes; no pixel is decoded.
 
-    PNG, GIF, BMP and SVG (any bytes that are UTF-8 text with an ``svg`` tag). Other formats come out
-    null here; ``decoded_sizes`` reads them through Spark's image source.
+    PNG, GIF, BMP, JPEG, WebP, AVIF and SVG (any bytes that are UTF-8 text with an ``svg`` tag). Other formats
+    come out null here; ``decoded_sizes`` reads them through Spark's image source.
     """
-    text = F.try_validate_utf8(content.cast("string"))
-    return let(content, lambda c: let(_svg_root(text), lambda root: _image_size(c, root)))
 
+    def sized(c: Column) -> Column:
+        root = _svg_root(F.try_validate_utf8(c.cast("string")))
+        return let(root, lambda r: let(raster_size(c), lambda raster: _image_size(c, r, raster)))
 
-def _image_size(content: Column, root: Column) -> Column:
+    return let(content, sized)
+
+
+def _image_size(content: Column, root: Column, raster: Column) -> Column:
     head = F.hex(F.substring(content, 1, 8))
     svg = _root_size(root)
     png, gif, bmp = head == "89504E470D0A1A0A", head.startswith("474946383"), head.startswith("424D")
-    vector = ~(png | gif | bmp) & (root != "")
+    vector = ~(png | gif | bmp) & raster.isNull() & (root != "")
     return F.struct(
-        F.when(png, "png").when(gif, "gif").when(bmp, "bmp").when(vector, "svg").alias("format"),
+        F.when(png, "png").when(gif, "gif").when(bmp, "bmp").when(vector, "svg").otherwise(raster["format"]).alias("format"),
         F.when(png, _be(content, 17, 4))
         .when(gif, _le16(content, 7))
         .when(bmp, _le16(content, 19))
         .when(vector, svg["width"])
+        .otherwise(raster["width"])
         .alias("width"),
         F.when(png, _be(content, 21, 4))
         .when(gif, _le16(content, 9))
         .when(bmp, _le16(content, 23))
         .when(vector, svg["height"])
+        .otherwise(raster["height"])
         .alias("height"),
     )
 
