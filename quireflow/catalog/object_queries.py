@@ -404,25 +404,31 @@ _NAMESPACES = [f"ns_{name}" for name in SOURCES]
  kv AS (SELECT namespace, key, t <> 'documents' AS base64,
           CASE WHEN t <> 'documents' THEN to_base64(encode(content)) ELSE content END AS value
         FROM new_obj WHERE type = 'kv'),
- sized AS (SELECT *, ceil(count(*) OVER (PARTITION BY namespace) / 50.0)::BIGINT AS n FROM kv),
- placed AS (SELECT *, ('0x' || substr(sha256(key), 1, 8))::BIGINT % n AS batch FROM sized)
+ sized AS (SELECT *, 'm' || length(key) AS metadata, strlen(key) + strlen(value) + strlen('m' || length(key)) AS size FROM kv),
+ started AS (
+  SELECT *, size <= 20000 AS small,
+         coalesce(sum(CASE WHEN size <= 20000 THEN size END) OVER w, 0) AS bytes,
+         count(CASE WHEN size <= 20000 THEN 1 END) OVER w AS n, count(CASE WHEN size > 20000 THEN 1 END) OVER w AS large
+  FROM sized WINDOW w AS (PARTITION BY namespace ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+ placed AS (SELECT *, CASE WHEN small THEN bytes // 20000 + n // 50 ELSE -1 - large END::BIGINT AS batch FROM started)
   SELECT namespace, batch, count(*) AS n_pairs, string_agg(key, ',' ORDER BY key) AS keys,
-         sha256(string_agg(key || '=' || value || '=' || base64, chr(10) ORDER BY key)) AS payload_hash
+         sha256(string_agg(key || '=' || value || '=' || base64 || '=' || length(key) || '=' || metadata, chr(10) ORDER BY key)) AS payload_hash
   FROM placed GROUP BY namespace, batch""",
 )
 def snk_kv_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts go as text, pages and benchmark rows as bytes in base64, 50 or so to a batch."""
+    """Texts go as text, pages and benchmark rows as bytes in base64; at most 50 pairs and 40,000 bytes to a batch."""
     binary = ~F.col("entry").startswith("documents/")
     value = F.when(binary, refs.base64_text(F.col("content").cast("binary"))).otherwise(F.col("content"))
     pairs = (
         located(spark, sf_dir, "new")
         .where(F.col("type") == "kv")
         .select("namespace", "key", value.alias("value"), binary.alias("base64"))
+        .withColumn("expiration_ttl", F.length("key"))
+        .withColumn("metadata", F.concat(F.lit("m"), F.length("key")))
     )
-    text = F.transform(
-        "pairs", lambda p: F.concat_ws("=", p["key"], p["value"], p["base64"].cast("string"))
-    )
-    return objects.kv_batches(pairs, target=50).select(
+    parts = ("key", "value", "base64", "expiration_ttl", "metadata")
+    text = F.transform("pairs", lambda p: F.concat_ws("=", *[p[c].cast("string") for c in parts]))
+    return objects.kv_batches(pairs, target=50, max_bytes=40_000).select(
         "namespace",
         "batch",
         F.size("pairs").cast("bigint").alias("n_pairs"),

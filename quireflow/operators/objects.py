@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quireflow.functions.refs import pointer_uri
 from quireflow.operators.joins import absent_by_key, flag_known
+from quireflow.session import settle
 from quireflow.specs import POINTER_TYPE, TableSpec
 
 STORES = ("r2", "kv", "asset")
@@ -115,24 +116,44 @@ def delete(stored: DataFrame, deletions: DataFrame, key: Sequence[str]) -> DataF
     return absent_by_key(stored, deletions, key)
 
 
-def kv_batches(pairs: DataFrame, target: int = 5000) -> DataFrame:
-    """(namespace, batch, pairs): bulk puts of about ``target`` pairs each.
+#: Optional columns of a pair: when it goes (a time, or seconds from now), and what is kept beside it.
+KV_OPTIONS = ("expiration", "expiration_ttl", "metadata")
 
-    Each namespace is split by a hash of the key into as many batches as its size
-    asks for, so a namespace with most of the pairs is many groups, not one. Every
-    namespace that occurs is batched, declared or not.
-    """
-    sizes = pairs.groupBy("namespace").agg(F.ceil(F.count(F.lit(1)) / F.lit(target)).alias("__n"))
-    bucket = F.conv(F.substring(F.sha2("key", 256), 1, 8), 16, 10).cast("bigint")
-    return (
-        pairs.join(sizes, "namespace")
-        .withColumn("batch", F.pmod(bucket, F.col("__n")))
-        .groupBy("namespace", "batch")
-        .agg(F.array_sort(F.collect_list(F.struct("key", "value", "base64"))).alias("pairs"))
-    )
 
+def kv_batches(pairs: DataFrame, target: int = 10_000, max_bytes: int = 100_000_000) -> DataFrame:
+    """(namespace, batch, pairs): bulk puts of at most ``target`` pairs and ``max_bytes`` of keys, values and metadata.
 
-def delete_batches(keys: DataFrame, target: int = 5000) -> DataFrame:
+    ``pairs`` holds namespace, key (unique within it), value, base64 and any of KV_OPTIONS; a null namespace is one as well. Keys and sizes are
+    sorted into ranges; sums within a range and of the ranges before it tell where in its namespace each pair
+    starts, and so its batch. A namespace with most of the pairs is many ranges and many batches, and every pair is in one.
+    Of what is left half the bytes are filled, so that the last pair of a batch fits; a pair that is larger than that is a batch of its own,
+    with a negative number. Numbers may have gaps.
+    """
+    options = [c for c in KV_OPTIONS if c in pairs.columns]
+    texts = ["key", "value", *[c for c in options if c == "metadata"]]
+    size = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in texts), F.lit(0)).cast("bigint")
+    sorted_ = pairs.select("namespace", "key", size.alias("size")).repartitionByRange("namespace", "key")
+    # Settled, since ranges are drawn from a sample and would not come out the same twice.
+    ranged = settle(sorted_.withColumn("range", F.spark_partition_id()), "kv-ranges")
+    room = max(1, max_bytes // 2)
+    small = F.col("size") <= room
+    ahead = Window.partitionBy("range", "namespace").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
+    sums = {"bytes": F.sum(F.when(small, F.col("size"))), "n": F.count(F.when(small, 1)), "large": F.count(F.when(~small, 1))}
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    started = ranged.select("*", *[zero(v.over(ahead)).alias(f"own_{k}") for k, v in sums.items()])
+    earlier = Window.partitionBy("namespace").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy("range", "namespace").agg(*[zero(v).alias(k) for k, v in sums.items()])
+    totals = totals.select(F.col("range").alias("r"), F.col("namespace").alias("ns"), *[zero(F.sum(k).over(earlier)).alias(k) for k in sums])
+    placed = started.join(totals, (F.col("range") == F.col("r")) & F.col("namespace").eqNullSafe(F.col("ns")))
+    start = {k: F.col(k) + F.col(f"own_{k}") for k in sums}
+    # Both parts only ever rise along the order, so their sum changes whenever one of them does.
+    batch = F.when(small, F.floor(start["bytes"] / room) + F.floor(start["n"] / target)).otherwise(-1 - start["large"])
+    named = placed.select(F.col("namespace").alias("of"), F.col("key").alias("k"), batch.cast("bigint").alias("batch"))
+    joined = pairs.join(named, (F.col("key") == F.col("k")) & F.col("namespace").eqNullSafe(F.col("of")))
+    return joined.groupBy("namespace", "batch").agg(F.array_sort(F.collect_list(F.struct("key", "value", "base64", *options))).alias("pairs"))
+
+
+def delete_batches(keys: DataFrame, target: int = 10_000) -> DataFrame:
     """(namespace, batch, keys): bulk deletes, batched like the puts."""
     blank = keys.select("namespace", "key", F.lit("").alias("value"), F.lit(False).alias("base64"))
     return kv_batches(blank, target).select(

@@ -335,12 +335,12 @@ def _unique(rows: DataFrame, spec: TableSpec) -> DataFrame:
 _UPLOAD = (
     "table_name string, hash string, size bigint, content_type string, "
     "pointer struct<type:string,bucket:string,namespace:string,key:string,path:string,content:string,base64:boolean>, "
-    "payload_path string, payload_text string"
+    "payload_path string, payload_text string, source_entry string"
 )
 
 
 def _uploads(rows: DataFrame, spec: TableSpec) -> list[DataFrame]:
-    """Objects a table refers to, with the path of their payload, or its text if it was made here."""
+    """Objects a table refers to, with the path of their payload, or its text if it was made here, and the document they are from."""
     out = []
     null = F.lit(None).cast("string")
     for name in spec.object_cols:
@@ -354,6 +354,7 @@ def _uploads(rows: DataFrame, spec: TableSpec) -> list[DataFrame]:
                 *[ref[c].alias(c) for c in ("hash", "size", "content_type", "pointer")],
                 (F.col(at) if at in rows.columns else null).alias("payload_path"),
                 (F.col(text) if text in rows.columns else null).alias("payload_text"),
+                (F.col(nested.SOURCE) if nested.SOURCE in rows.columns else null).alias("source_entry"),
             )
         )
     return out

@@ -165,6 +165,7 @@ def test_objects_are_uploaded_skipped_and_deleted(spark, tmp_path):
     found = rows(tables["slips"], "lorry", "page", "scan.size", "scan.content_type", "scan.pointer.key")
     assert found == [("x", "p1", 8, "text/plain", "slips/x/p1"), ("x", "p2", 10, "text/plain", "slips/x/p2"), ("y", "p1", 10, "text/plain", "slips/y/p1")]
     payload = with_payload(done.uploads, attachments.scan(spark, folder))
+    assert {r.source_entry.rsplit("/", 1)[1] for r in done.uploads.collect()} == {"x.toml", "y.toml"}
     assert rows(payload, "body") == [(b"blue slip!",), (b"green slip",), (b"red slip",)]
 
     # One key gets another content, one stays, and a document is gone with its object.

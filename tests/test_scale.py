@@ -102,14 +102,24 @@ def test_nested_arrays_flatten_and_come_back(spark):
 
 def test_kv_batches_are_bounded_and_whole(spark):
     pairs = spark.range(N).select(
-        F.when(F.col("id") % 3 == 0, "small").when(F.col("id") == 1, "undeclared").otherwise("big").alias("namespace"),
+        F.when(F.col("id") % 3 == 0, "small").when(F.col("id") == 1, None).otherwise("big").alias("namespace"),
         F.concat(F.lit("k"), F.col("id")).alias("key"),
-        F.lit("v").alias("value"),
+        F.repeat(F.lit("v"), F.when(F.col("id") % 500 == 7, 3000).otherwise((F.col("id") % 90).cast("int"))).alias("value"),
         F.lit(False).alias("base64"),
+        (F.col("id") * 10).alias("expiration"),
     )
-    out = objects.kv_batches(pairs, target=400).collect()
-    assert sum(len(r.pairs) for r in out) == N
-    assert max(len(r.pairs) for r in out) < 600
-    assert len({p.key for r in out for p in r.pairs}) == N
+    for target, most in ((400, 10**9), (10**6, 4000), (50, 4000)):
+        out = objects.kv_batches(pairs, target=target, max_bytes=most).collect()
+        assert len({(r.namespace, r.batch) for r in out}) == len(out)
+        assert sum(len(r.pairs) for r in out) == N and {r.namespace for r in out} == {"small", "big", None}
+        assert max(len(r.pairs) for r in out) <= target
+        for r in out:
+            size = sum(len(p.key) + len(p.value) for p in r.pairs)
+            assert size <= most and (r.batch >= 0 or (len(r.pairs) == 1 and size > most // 2))
+            assert all(p.expiration == int(p.key[1:]) * 10 for p in r.pairs)
+        assert len({p.key for r in out for p in r.pairs}) == N
+        # Batches are well filled: there are at most some more than their bounds ask for.
+        total = sum(len(p.key) + len(p.value) for r in out for p in r.pairs)
+        assert len(out) <= 4 + N / target + 2 * total / (most // 2) + 12
     gone = objects.delete_batches(pairs.select("namespace", "key"), target=400).collect()
-    assert sum(len(r.keys) for r in gone) == N
+    assert sum(len(r.keys) for r in gone) == N and max(len(r.keys) for r in gone) <= 400
