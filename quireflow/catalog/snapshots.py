@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from quireflow.catalog.registry import table
 from quireflow.operators.dedup import last_wins
 from quireflow.operators.diff import run_timestamp
+from quireflow.session import settle
 from quireflow.specs import CollectionSpec, Field, TableSpec
 
 RUN_TS = "2025-01-02 03:04:05.678"
@@ -148,9 +149,10 @@ def incoming(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def both(spark: SparkSession, sf_dir: str) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
-    old = {name: stored(spark, sf_dir, name) for name in SPECS}
-    new = {name: incoming(spark, sf_dir, name) for name in SPECS}
-    return old, new
+    """Old and new tables; what both lines are cut from is made once."""
+    levels, rows = _levels(), {name: source_rows(spark, sf_dir, name) for name in SPECS}
+    rows["lines"] = settle(rows["lines"].select("l_custkey", *LINE_KEY, "l_partkey", "l_quantity", "l_returnflag"), "lines")
+    return {n: levels[n].stored(r) for n, r in rows.items()}, {n: levels[n].incoming(r) for n, r in rows.items()}
 
 
 # The same snapshots, for the SQL side.

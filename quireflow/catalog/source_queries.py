@@ -19,20 +19,33 @@ CONFIG = "glob: pages/*"
 
 
 def page_files(spark: SparkSession, sf_dir: str) -> str:
-    """A folder with one file per page, written by Spark."""
+    """A folder with one file per page, written by Spark, for one page in twenty."""
     folder = work_dir(spark, "pages")
-    pages = table(spark, sf_dir, "pages", costly=True).select("html")
+    pages = table(spark, sf_dir, "pages", costly=True).where("page_id % 20 = 0").select("html")
     pages.write.option("maxRecordsPerFile", 1).text(folder)
     return folder
 
 
+def page_shards(spark: SparkSession, sf_dir: str, shard_bytes: int) -> str:
+    """The other pages, packed into shards."""
+    folder = work_dir(spark, "page-shards")
+    name = F.concat(F.lit("pages/"), F.col("page_id"), F.lit(".txt"))
+    text = F.concat("html", F.lit("\n"))
+    pages = table(spark, sf_dir, "pages", costly=True).where("page_id % 20 <> 0")
+    corpus.pack(pages.select(name.alias("source_entry"), text.alias("text")), folder, shard_bytes)
+    return folder
+
+
 @query(
     "src_corpus_scan",
     f"SELECT sha256('{CONFIG}' || html || chr(10)) AS doc_hash, strlen(html) + 1 AS size FROM pages",
 )
 def src_corpus_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some pages lie in files of their own, most in shards."""
     files = corpus.scan(spark, page_files(spark, sf_dir), "*.txt", CONFIG)
-    return files.select("doc_hash", F.octet_length("text").cast("bigint").alias("size"))
+    packed = corpus.scan_shards(spark, page_shards(spark, sf_dir, 1 << 20), "*.txt", CONFIG)
+    size = F.octet_length("text").cast("bigint").alias("size")
+    return files.select("doc_hash", size).unionByName(packed.select("doc_hash", size))
 
 
 # A Markdown document per row, in SQL that Spark and DuckDB read alike; the kind goes by doc_id % 6.
@@ -298,7 +311,7 @@ STREAMED = CollectionSpec(
   SELECT DISTINCT sha256(html || chr(10)) AS id, strlen(html) + 1 AS size, '2025-01-02 03:04:05' AS created_at FROM pages""",
 )
 def str_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Page files arrive as a stream and are upserted into a stored table."""
+    """Page files and then shards of pages arrive as streams and are upserted into one stored table."""
     store = SnapshotStore(spark, work_dir(spark, "store"))
 
     def compile_batch(batch: DataFrame) -> dict[str, DataFrame]:
@@ -307,11 +320,15 @@ def str_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
         return {"streamed": last_wins(rows, ["id"], ["size"])}
 
-    stream = incremental.document_stream(spark, page_files(spark, sf_dir), "*.txt")
-    running = incremental.upsert_stream(
-        stream, store, STREAMED, compile_batch, lambda _: "2025-01-02 03:04:05", work_dir(spark, "progress")
+    streams = (
+        incremental.document_stream(spark, page_files(spark, sf_dir), "*.txt"),
+        incremental.shard_stream(spark, page_shards(spark, sf_dir, 1 << 20), per_batch=4),
     )
-    running.awaitTermination()
+    for stream in streams:
+        running = incremental.upsert_stream(
+            stream, store, STREAMED, compile_batch, lambda _: "2025-01-02 03:04:05", work_dir(spark, "progress")
+        )
+        running.awaitTermination()
     rows = store.read("streamed")
     return rows.select("id", "size", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created_at"))
 

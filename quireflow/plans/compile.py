@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -13,10 +13,10 @@ from quireflow.functions import hashing, markup, refs
 from quireflow.functions.mime import with_content_type
 from quireflow.operators import nested, validate
 from quireflow.operators.dedup import last_wins
-from quireflow.operators.joins import key_join
+from quireflow.operators.joins import all_of, key_join
 from quireflow.session import settle
 from quireflow.sources import attachments, corpus, decode
-from quireflow.specs import CollectionSpec, Storage, TableSpec
+from quireflow.specs import CollectionSpec, Storage, TableSpec, children_of
 
 LETTER = "source_entry string, id string, field string, code string, expected string, got string"
 
@@ -83,11 +83,16 @@ def compile_records(
             good = good.join(lost.select(F.col("source_entry").alias(nested.SOURCE)).distinct(), nested.SOURCE, "left_anti")
     letters = [validate.dead_letters(records.withColumnRenamed(nested.SOURCE, "source_entry")), lost]
     frames = nested.frames(good, collection)
+    resolved: dict[str, DataFrame] = {}
+    for name, spec in reversed(list(specs.items())):  # children first: stored Markdown holds its row's children
+        if name in frames:
+            resolved[name] = _resolve(frames[name], spec, known, [c for c in children_of(specs, name) if c.name in frames], resolved)
+        else:
+            resolved[name] = _image_rows(frames[spec.parent or ""], spec, specs, known)
     tables: dict[str, DataFrame] = {}
     uploads: list[DataFrame] = []
     for name, spec in specs.items():
-        rows = _resolve(frames[name], spec, known) if name in frames else _image_rows(frames[spec.parent or ""], spec, specs, known)
-        rows = _unique(rows, spec)
+        rows = _unique(resolved[name], spec)
         tables[name] = rows.select(*[c for c in spec.columns if c in rows.columns])
         uploads += _uploads(rows, spec)
     blank = spark.createDataFrame([], LETTER)
@@ -226,7 +231,9 @@ def _reference(storage: Storage, key: list[str], src: Column, image: bool) -> Co
     return F.when(f.isNotNull(), refs.known_object(f["digest"], f["size"], f["type"], where, meta))
 
 
-def _resolve(frame: DataFrame, spec: TableSpec, files: DataFrame) -> DataFrame:
+def _resolve(
+    frame: DataFrame, spec: TableSpec, files: DataFrame, children: Sequence[TableSpec], resolved: Mapping[str, DataFrame]
+) -> DataFrame:
     """Replace the sources in object columns by references and set the row hash.
 
     Markdown comes last: its stored form embeds the row with all else resolved.
@@ -252,9 +259,11 @@ def _resolve(frame: DataFrame, spec: TableSpec, files: DataFrame) -> DataFrame:
         own = F.concat(F.array_compact(F.array(*digests).cast("array<string>")), *image_digests)
         rows = rows.withColumn(spec.hash_name, hashing.row_hash(spec, F.col(nested.DOC_HASH), own))
     front = [n for n, f in spec.fields if n in rows.columns and f.kind != "markdown"]
-    for name, f in fields:
-        if f.kind != "markdown" or f.storage is None:
-            continue
+    stored_texts = [(name, f) for name, f in fields if f.kind == "markdown" and f.storage is not None]
+    if stored_texts:
+        for child in children:
+            rows = _with_children(rows, spec, child, resolved[child.name])
+    for name, f in stored_texts:
         stored = f"__doc_{name}"
         rows = rows.withColumn(stored, stored_markdown(F.struct(*spec.inherit_ids, *front), F.col(name)))
         where = refs.pointer(f.storage, refs.compound_id(*[F.col(k) for k in spec.pk]), F.col(stored))
@@ -263,6 +272,25 @@ def _resolve(frame: DataFrame, spec: TableSpec, files: DataFrame) -> DataFrame:
     return rows
 
 
+def _with_children(rows: DataFrame, spec: TableSpec, child: TableSpec, kids: DataFrame) -> DataFrame:
+    """Put the resolved rows of a child table, with all their keys and without further children, in place of the raw records.
+
+    A group is what one record of one document holds, which the document itself bounds.
+    """
+    field = child.path[-1]
+    nested_fields = {n for n, f in child.fields if f.kind == "records"}
+    body = [c for c in (*child.inherit_ids, *[n for n, _ in child.fields]) if c in kids.columns and c not in nested_fields]
+    element = F.struct(F.col(nested.POS).alias("at"), F.struct(*body).alias("row"))
+    source = "__child_source"
+    keys = [F.col(i).alias(f"__child_{k}") for i, k in zip(child.inherit_ids, spec.pk, strict=True)]
+    groups = kids.groupBy(*keys, F.col(nested.SOURCE).alias(source)).agg(F.sort_array(F.collect_list(element))["row"].alias("__child"))
+    same = all_of([F.col(k) == F.col(f"__child_{k}") for k in spec.pk] + [F.col(nested.SOURCE) == F.col(source)])
+    joined = rows.join(groups, same, "left")
+    none = F.array().cast(groups.schema["__child"].dataType)
+    found = F.when(F.col(field).isNotNull(), F.coalesce("__child", none))
+    return joined.withColumn(field, found).drop("__child", source, *[f"__child_{k}" for k in spec.pk])
+
+
 def _used_images(frame: DataFrame, keep: list, text: str) -> DataFrame:
     """``keep``, position and URL of the images of a Markdown field, each URL once per row."""
     urls = markup.images(F.col(text))["url"]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import posixpath
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,7 +22,7 @@ def scan(spark: SparkSession, folder: str, pattern: str = "*", config_text: str
     """(source_entry, text, doc_hash), one row per file below ``folder``, each read as a whole.
 
     ``pattern`` tests file names. Files are listed and read by Spark, many small ones to a
-    task; unreadable or vanished files are left out.
+    task; unreadable or vanished files are left out. Pack a corpus of very many files once (``pack``) and scan the shards.
     """
     files = (
         spark.read.option("recursiveFileLookup", "true")
@@ -36,6 +37,38 @@ def scan(spark: SparkSession, folder: str, pattern: str = "*", config_text: str
     )
 
 
+#: Rows of a shard: where the document came from, and its whole text.
+SHARD = "source_entry string, text string"
+
+
+def pack(documents: DataFrame, folder: str, shard_bytes: int = 128 << 20) -> int:
+    """Write documents (source_entry, text) as shards of about ``shard_bytes`` each, and tell how many there are.
+
+    A corpus of many small files costs a listing, an open and a split for each of them; shards are planned by
+    their total size. Documents are dealt by a hash of their place, so that a retried task deals them alike; none is cut.
+    """
+    size = documents.agg(F.sum(F.octet_length("text") + F.octet_length("source_entry"))).first()[0] or 0
+    shards = max(1, -(-size // shard_bytes))
+    documents.select("source_entry", "text").repartition(shards, "source_entry").write.mode("append").parquet(folder)
+    return shards
+
+
+def scan_shards(spark: SparkSession, folder: str, pattern: str = "*", config_text: str = "") -> DataFrame:
+    """What ``scan`` gives, of documents in shards; ``pattern`` tests the names of the packed files."""
+    documents = spark.read.schema(SHARD).parquet(folder).where(F.regexp(_file_name(F.col("source_entry")), F.lit(_glob(pattern))))
+    return documents.withColumn("doc_hash", document_hash(config_text, F.col("text")))
+
+
+def _file_name(path: Column) -> Column:
+    return F.regexp_extract(path, "[^/]*$", 0)
+
+
+def _glob(pattern: str) -> str:
+    """A file name pattern with ``*`` and ``?`` as a regular expression for whole names."""
+    parts = [{"*": ".*", "?": "."}.get(c) or re.escape(c) for c in pattern]
+    return "^" + "".join(parts) + "$"
+
+
 # The separators of YAML and TOML frontmatter.
 YAML_MARK = r"---\s*\n"
 TOML_MARK = r"\+\+\+\s*\n"

@@ -16,6 +16,7 @@ from quireflow.operators.joins import anti_by_key, semi_by_key
 from quireflow.operators.objects import inventory, route, to_upload, with_location
 from quireflow.session import settle
 from quireflow.sinks.objects import Sink
+from quireflow.sources import corpus
 from quireflow.sinks.snapshots import Run, SnapshotStore, bucket_of
 from quireflow.specs import TableSpec
 
@@ -35,6 +36,11 @@ def document_stream(spark: SparkSession, folder: str, pattern: str = "*", per_ba
     return files.selectExpr("_metadata.file_path AS source_entry", "value AS text")
 
 
+def shard_stream(spark: SparkSession, folder: str, per_batch: int = 16) -> DataFrame:
+    """Documents of new shards below a folder as (source_entry, text); a batch takes ``per_batch`` shards."""
+    return spark.readStream.schema(corpus.SHARD).option("maxFilesPerTrigger", str(per_batch)).parquet(folder)
+
+
 def upsert_stream(
     documents: DataFrame,
     store: SnapshotStore,

@@ -210,7 +210,9 @@ def test_markdown_collection(spark, tmp_path):
     letters = {(r.source_entry.rsplit("/", 1)[1], r.field, r.code) for r in done.dead_letters.collect()}
     assert letters == {("kite.md", "printed", "MissingField"), ("open.md", "", "UnclosedFrontmatter")}
     (stored,) = [r.payload_text for r in done.uploads.where("table_name = 'guides' AND payload_text is not null").collect()]
-    assert '"regions":["moor","dale"]' in stored and '"title":"Song"' in stored and '"content":"In spring."' in stored
+    # Children are there as their rows, with all keys and with what they refer to.
+    assert '"regions":[{"species":"wren","region":"moor"},{"species":"wren","region":"dale"}]' in stored
+    assert '"sightings":[{"species":"wren","day":"monday","remark":{"hash":' in stored and '"title":"Song"' in stored and '"content":"In spring."' in stored
     with pytest.raises(Exception, match="bad document"):
         compile_documents(spark, spec, folder, "*.md", mode="failfast")
 

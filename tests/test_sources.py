@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import hashlib
 import json
 
 import pytest
@@ -211,3 +212,16 @@ def test_latest_rows_survive_a_restart_and_late_rows(spark, tmp_path):
     assert go() == want and store.at().version == version
     # Only keys that changed are in a batch's delta.
     assert [len(b) for b in store.at().tables["t"].deltas.values()][-1] == 1
+
+
+def test_shards_hold_every_document_whole(spark, tmp_path):
+    docs = [(f"in/{k}.{'md' if k % 3 else 'txt'}", f"text {k}\n" * (k + 1)) for k in range(200)] + [("in/long.md", "x" * 300_000)]
+    frame = spark.createDataFrame(docs, "source_entry string, text string")
+    shards = corpus.pack(frame, str(tmp_path / "s"), shard_bytes=50_000)
+    size = sum(len(a) + len(b) for a, b in docs)
+    assert shards == -(-size // 50_000) and len(list((tmp_path / "s").glob("part-*"))) <= shards
+    found = {r.source_entry: (r.text, r.doc_hash) for r in corpus.scan_shards(spark, str(tmp_path / "s"), "*.md", "c").collect()}
+    want = {a: (b, hashlib.sha256(("c" + b).encode()).hexdigest()) for a, b in docs if a.endswith(".md")}
+    assert found == want
+    assert corpus.scan_shards(spark, str(tmp_path / "s"), "1?.*").count() == 10
+    assert corpus.pack(frame.limit(0), str(tmp_path / "none")) == 1 and corpus.scan_shards(spark, str(tmp_path / "none")).count() == 0
