@@ -20,6 +20,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,34 +50,20 @@ class TextIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.young, self.old = _Known(), _Known()
+        self.young: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {}
         self.keep = keep
         size = self.tokenizer.get_vocab_size()
         # Tokens that end a run of letters; only they carry the vocabulary's end-of-word mark.
         self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
 
-    def _encode(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of new words. A plain word with marks after it is the word's ids, then the marks'."""
+    def _encode(self, entries: list[str]) -> dict[str, bytes]:
+        """Ids of new entries. Runs of letters are one token group each, so one call does many and the end marks part them."""
         got: dict[str, bytes] = {}
-        cores: dict[str, None] = {}
-        split, rest = [], []
-        young, old = self.young, self.old
-        for w in words:
-            core = w.rstrip(".,!?")
-            if not core.isalpha():
-                rest.append(w)
-                continue
-            low = core.lower() if core.isascii() else core
-            if low == w:
-                cores[w] = None
-            else:
-                # Most new words are a known one in other letters or with other marks.
-                split.append((w, low, w[len(core) :]))
-                if low not in young and low not in old:
-                    cores[low] = None
-        plain = list(cores)
+        plain, rest = [], []
+        for w in entries:
+            (plain if w.isalpha() else rest).append(w)
         for at in range(0, len(plain), 256):
-            # Runs of letters are one token group each, so one call does many and the end marks part them.
             some = plain[at : at + 256]
             ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, dtype="<u4")
             stops = np.flatnonzero(self.ends[ids]) + 1
@@ -86,46 +74,66 @@ class TextIds:
             for w, stop in zip(some, (4 * stops).tolist()):
                 got[w] = raw[start:stop]
                 start = stop
-        rest += {marks for _, _, marks in split if marks}
         for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
             got[w] = np.array(e.ids, dtype="<u4").tobytes()
-        for w, low, marks in split:
-            ids = got.get(low) or young.get(low) or old[low]
-            got[w] = ids + got[marks] if marks else ids
         return got
 
-    def of(self, texts: list[str]) -> list[bytes]:
-        if len(self.young) > self.keep:
-            self.young, self.old = _Known(), self.young
-        young, out, late = self.young, [], {}
-        young.missing = {}
-        for k, t in enumerate(texts):
-            # str.split() also splits at the four control characters that the tokenizer takes for text.
-            words = WORD.findall(t) if CONTROL.search(t) else t.split()
-            ids = list(map(young.__getitem__, words))
-            if young.again:
-                late[k], young.again = words, False
-            out.append(ids)
-        if young.missing:
-            again = {w: self.old[w] for w in young.missing if w in self.old}
+    def _known(self, entries: list[str]) -> list[bytes]:
+        """Ids of distinct entries."""
+        young, old = self.young, self.old
+        missing = [w for w in entries if w not in young]
+        if missing:
+            again = {w: old[w] for w in missing if w in old}
             young |= again
-            young |= self._encode([w for w in young.missing if w not in again])
-            for k, words in late.items():
-                out[k] = map(young.__getitem__, words)
-        return [b"".join(ids) for ids in out]
+            young |= self._encode([w for w in missing if w not in again])
+        return list(map(young.__getitem__, entries))
 
-
-class _Known(dict):
-    """Ids of words; words that are asked for and not known are noted."""
-
-    def __init__(self) -> None:
-        self.missing: dict[str, None] = {}
-        self.again = False
-
-    def __missing__(self, word: str) -> bytes:
-        self.again = True
-        self.missing[word] = None
-        return b""
+    def of(self, texts: list[str]) -> list[bytes]:
+        if len(self.young) > self.keep:
+            self.young, self.old = {"": b""}, self.young
+        column = pa.array(texts, pa.string())
+        # Splitting at blanks also splits at the four control characters that the tokenizer takes for text.
+        odd = np.flatnonzero(pc.match_substring_regex(column, CONTROL.pattern).to_numpy(zero_copy_only=False))
+        by_text = pc.utf8_split_whitespace(column)
+        words = by_text.flatten().dictionary_encode()
+        # A plain word with marks after it is the word's ids, then the marks'; most words are a known one in other letters or with other marks.
+        whole = words.dictionary
+        core = pc.utf8_rtrim(whole, characters=".,!?")
+        low = pc.if_else(pc.string_is_ascii(core), pc.ascii_lower(core), core)
+        plain = pc.utf8_is_alpha(core)
+        cores = pc.if_else(plain, low, whole).dictionary_encode()
+        marked = np.flatnonzero(pc.and_(plain, pc.less(pc.binary_length(core), pc.binary_length(whole))).to_numpy(zero_copy_only=False))
+        marks = [w[len(c) :] for w, c in zip(whole.take(marked).to_pylist(), core.take(marked).to_pylist(), strict=True)]
+        known = {"": 0} | {m: k + 1 for k, m in enumerate(dict.fromkeys(marks))}
+        of_mark = np.zeros(len(whole), dtype=np.int64)
+        of_mark[marked] = [known[m] for m in marks]
+        # One list of ids for each core, then one for each kind of marks; each word is two of them.
+        ids = self._known(cores.dictionary.to_pylist() + list(known))
+        ends = np.cumsum(np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4)
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), dtype="<u4")))
+        pair = np.stack([cores.indices.to_numpy().astype(np.int64), of_mark + len(cores.dictionary)], axis=1)
+        told = lists.take(pa.array(pair[words.indices.to_numpy()].ravel()))
+        raw = told.flatten().to_numpy().tobytes()
+        places = 4 * told.offsets.to_numpy().astype(np.int64)[2 * by_text.offsets.to_numpy().astype(np.int64)]
+        out = [raw[start:stop] for start, stop in zip(places[:-1].tolist(), places[1:].tolist(), strict=True)]
+        for k in odd.tolist():
+            found = WORD.findall(texts[k])
+            distinct = list(dict.fromkeys(found))
+            some = dict(zip(distinct, (e.ids for e in self.tokenizer.encode_batch_fast(distinct, add_special_tokens=False)), strict=True))
+            out[k] = np.array([i for w in found for i in some[w]], dtype="<u4").tobytes()
+        return out
+
+
+def blocks_of(texts: list[str], rows: int, chars: int) -> Iterator[slice]:
+    """Slices of at most ``rows`` texts, closed once they hold ``chars`` characters."""
+    start = size = 0
+    for k, text in enumerate(texts):
+        size += len(text)
+        if size >= chars or k + 1 - start == rows:
+            yield slice(start, k + 1)
+            start, size = k + 1, 0
+    if start < len(texts):
+        yield slice(start, len(texts))
 
 
 _TEXT_IDS: dict[str, TextIds] = {}
@@ -138,7 +146,7 @@ def text_ids(path: str) -> TextIds:
     return _TEXT_IDS[path]
 
 
-def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end: int = 0, with_ids: bool = False, block: int = 256) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end: int = 0, with_ids: bool = False, block: int = 2048, chars: int = 8_000_000) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, and the ids as bytes if asked for."""
     path = tokenizer or default_tokenizer()
 
@@ -149,14 +157,14 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
         ids_of, stop = text_ids(path), end.to_bytes(4, "little")
         names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
         for batch in batches:
-            for at in range(0, len(batch["text"]), block):
-                texts = [t or "" for t in batch["text"][at : at + block]]
+            whole = [t or "" for t in batch["text"]]
+            for part in blocks_of(whole, block, chars):
                 out: dict[str, list] = {n: [] for n in names}
-                for doc, ids in zip(batch["doc_id"][at : at + block], ids_of.of(texts)):
+                for doc, ids in zip(batch["doc_id"][part], ids_of.of(whole[part])):
                     ids += stop
                     for k in range(0, len(ids), 4 * capacity):
-                        part = ids[k : k + 4 * capacity]
-                        row = (doc, k // (4 * capacity), k // 4, len(part) // 4, zlib.crc32(part), part)
+                        piece = ids[k : k + 4 * capacity]
+                        row = (doc, k // (4 * capacity), k // 4, len(piece) // 4, zlib.crc32(piece), piece)
                         for n, v in zip(names, row):
                             out[n].append(v)
                 yield out
