@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from quireflow.catalog.registry import query, table
 from quireflow.functions import typed
-from quireflow.operators import nested, validate
-from quireflow.session import settle
-from quireflow.plans.compile import compile_records
+from quireflow.operators import nested, report, validate
+from quireflow.plans.apply import run_batch
+from quireflow.plans.compile import Compiled, compile_records, upload_log
+from quireflow.session import settle, work_dir
+from quireflow.sinks.snapshots import SnapshotStore
 from quireflow.specs import CollectionSpec, Field, MarkdownImages, Storage
 
 POSTS = CollectionSpec(
@@ -318,9 +320,7 @@ _BODY_JSON = """CASE WHEN doc_id % 11 = 0 THEN '["no text"]' ELSE '"' || transla
   || ' ![f](./img/' || CAST(doc_id % 7 AS STRING) || '.png)"' END"""
 
 
-@query(
-    "val_load_failures",
-    f"""
+_LOADED_SQL = f"""
   WITH d AS (SELECT doc_id, 'd' || doc_id AS id, {_ENCLOSURE} AS enclosure, {_COVER} AS cover, {_BODY_JSON} AS body FROM documents),
   wrong AS (
     SELECT id, 'enclosure' AS field, enclosure AS got FROM d WHERE doc_id % 5 = 0
@@ -331,14 +331,10 @@ _BODY_JSON = """CASE WHEN doc_id % 11 = 0 THEN '["no text"]' ELSE '"' || transla
     SELECT id, 'enclosure' AS field, json_extract_string(enclosure, '$') AS got FROM good
     WHERE doc_id % 5 = 1 AND doc_id % 9 = 4 OR doc_id % 5 = 2 AND doc_id % 9 = 5
     UNION ALL SELECT id, 'cover', json_extract_string(cover, '$') FROM good WHERE doc_id % 6 = 3
-    UNION ALL SELECT id, 'body', './img/' || (doc_id % 7) || '.png' FROM good WHERE doc_id % 7 = 3)
-  SELECT id, field, 'TypeMismatch' AS code, got FROM wrong
-  UNION ALL SELECT id, field, 'LoadFailed', got FROM lost
-  UNION ALL SELECT id, '', 'Stored', CASE doc_id % 5 WHEN 1 THEN 'text/plain' WHEN 2 THEN 'application/octet-stream' WHEN 3 THEN 'text/plain' ELSE '' END
-  FROM good WHERE id NOT IN (SELECT id FROM lost)""",
-)
-def val_load_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents whose file, image or Markdown image is no text or does not load are dead letters as a whole; the rest is stored."""
+    UNION ALL SELECT id, 'body', './img/' || (doc_id % 7) || '.png' FROM good WHERE doc_id % 7 = 3)"""
+
+
+def _leaflets(spark: SparkSession, sf_dir: str) -> Compiled:
     docs = table(spark, sf_dir, "documents", costly=True)
     values = [F.concat(F.lit(f'"{n}":'), F.expr(v)) for n, v in (("enclosure", _ENCLOSURE), ("cover", _COVER), ("body", _BODY_JSON))]
     raw = F.concat(F.lit('{"id":"d'), F.col("doc_id"), F.lit('",'), F.concat_ws(",", *values), F.lit("}"))
@@ -355,13 +351,43 @@ def val_load_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(n != 3, F.concat(F.lit("/leaflets/img/"), n, F.lit(".png"))),
     )
     bodies = table(spark, sf_dir, "benchmark").select(F.explode(F.array_compact(paths)).alias("path"), F.col("text").cast("binary").alias("content"))
-    done = compile_records(spark, LOADED, records, bodies.withColumn("length", F.octet_length("content").cast("bigint")))
+    return compile_records(spark, LOADED, records, bodies.withColumn("length", F.octet_length("content").cast("bigint")))
+
+
+@query(
+    "val_load_failures",
+    _LOADED_SQL
+    + """
+  SELECT id, field, 'TypeMismatch' AS code, got FROM wrong
+  UNION ALL SELECT id, field, 'LoadFailed', got FROM lost
+  UNION ALL SELECT id, '', 'Stored', CASE doc_id % 5 WHEN 1 THEN 'text/plain' WHEN 2 THEN 'application/octet-stream' WHEN 3 THEN 'text/plain' ELSE '' END
+  FROM good WHERE id NOT IN (SELECT id FROM lost)""",
+)
+def val_load_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose file, image or Markdown image is no text or does not load are dead letters as a whole; the rest is stored."""
+    done = _leaflets(spark, sf_dir)
     letters = done.dead_letters.select("id", "field", "code", "got")
     enclosed = F.coalesce(F.col("enclosure.content_type"), F.lit(""))
     stored = done.tables["leaflets"].select("id", F.lit("").alias("field"), F.lit("Stored").alias("code"), enclosed.alias("got"))
     return letters.unionByName(stored)
 
 
+@query(
+    "agg_batch_report",
+    _LOADED_SQL
+    + """,
+  stored AS (SELECT * FROM d WHERE id NOT IN (SELECT id FROM wrong UNION SELECT id FROM lost))
+  SELECT count(*) AS total, count(*) FILTER (id IN (SELECT id FROM stored)) AS successful, count(*) FILTER (id NOT IN (SELECT id FROM stored)) AS failed,
+         (SELECT sum(CASE WHEN doc_id % 5 IN (1, 2, 3) THEN 4 ELSE 3 END)::BIGINT FROM stored) AS uploads FROM d""",
+)
+def agg_batch_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of a run against an empty store: documents done and failed, and their objects."""
+    done = _leaflets(spark, sf_dir)
+    store = SnapshotStore(spark, work_dir(spark, "store"), buckets=4)
+    _, actions = run_batch(store, LOADED.tables(), done.tables, "2025-01-02 03:04:05")
+    return report.run_report(done.entries, upload_log(done, actions))
+
+
 @query(
     "src_json_project",
     """

@@ -174,7 +174,7 @@ def touched_keys(
     Works upwards one level at a time: what a child passes on is its own dirty keys
     plus the keys touched below it, cut to the parent's part of the key. Each level
     is a distinct over key tuples, so a parent with many dirty children costs one
-    row per task, and every level is computed once however many ancestors use it.
+    row per task. Pass settled keys, as every level above reads them again.
     """
     out: dict[str, DataFrame] = {}
     for name, spec in reversed(list(specs.items())):

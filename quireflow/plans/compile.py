@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quireflow.functions import hashing, markup, refs
 from quireflow.functions.mime import with_content_type
-from quireflow.operators import nested, validate
+from quireflow.operators import nested, report, validate
 from quireflow.operators.dedup import last_wins
 from quireflow.operators.joins import all_of, key_join
 from quireflow.session import settle
@@ -23,11 +23,12 @@ LETTER = "source_entry string, id string, field string, code string, expected st
 
 @dataclass(frozen=True)
 class Compiled:
-    """Tables in schema order, rejected documents and references, and what there is to upload."""
+    """Tables in schema order, rejected documents and references, what there is to upload, and each document's status."""
 
     tables: dict[str, DataFrame]
     dead_letters: DataFrame
     uploads: DataFrame
+    entries: DataFrame
 
 
 def records_of(docs: DataFrame, collection: CollectionSpec) -> DataFrame:
@@ -96,13 +97,28 @@ def compile_records(
         tables[name] = rows.select(*[c for c in spec.columns if c in rows.columns])
         uploads += _uploads(rows, spec)
     blank = spark.createDataFrame([], LETTER)
+    # A document without errors of its own is done unless a file of it is lost.
+    own = records.select(F.col(nested.SOURCE).alias("entry"), F.when(F.size("errors") == 0, report.DONE).otherwise(report.FAILED).alias("status"))
+    of_lost = lost.select(F.col("source_entry").alias("entry"), F.lit(report.FAILED).alias("status"))
+    entries = own.unionByName(of_lost).groupBy("entry").agg(F.max("status").alias("status"))
     return Compiled(
         tables,
         reduce(DataFrame.unionByName, [df.select(*blank.columns) for df in letters], blank),
         reduce(DataFrame.unionByName, uploads) if uploads else spark.createDataFrame([], _UPLOAD),
+        entries,
     )
 
 
+def upload_log(done: Compiled, actions: DataFrame) -> DataFrame:
+    """(entry, status, uri): what a run did with the objects of each document, for the reports of ``operators.report``.
+
+    ``actions`` are those that ``run_batch`` returns. An object's hash covers its place, so it joins one action.
+    """
+    status = F.when(F.col("action") == "upload", report.UPLOADED).otherwise(report.SKIPPED).alias("status")
+    written = actions.where("action <> 'delete'").select("hash", status, "uri")
+    return done.uploads.select("hash", F.col("source_entry").alias("entry")).join(written, "hash").select("entry", "status", "uri")
+
+
 def _lost(frames: Mapping[str, DataFrame], specs: Mapping[str, TableSpec], files: DataFrame) -> DataFrame:
     """A letter for each file, image or Markdown image that a document names and no file was found for.
 

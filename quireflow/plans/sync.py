@@ -10,17 +10,19 @@ from pyspark.sql import functions as F
 
 from quireflow.operators import diff
 from quireflow.operators.rows import explode_structs
+from quireflow.session import settle
 from quireflow.specs import TableSpec, ancestors_of, children_of
 
 Tables = Mapping[str, DataFrame]
 
 
 def touched(old: Tables, new: Tables, specs: Mapping[str, TableSpec]) -> dict[str, DataFrame]:
+    """Keys of the rows with a dirty descendant. Each table is compared once: its dirty keys are settled for all levels above."""
     parents = {spec.parent for spec in specs.values() if spec.parent}
     if not any(specs[p].updated_at for p in parents):
         return {}
     dirty = {
-        name: diff.dirty_keys(old[name], new[name], spec)
+        name: settle(diff.dirty_keys(old[name], new[name], spec), f"dirty-{name}")
         for name, spec in specs.items()
         if spec.parent is not None
     }

@@ -7,14 +7,13 @@ import json
 import math
 import re
 import tomllib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from functools import lru_cache
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quireflow.functions.typed import parse_record
 from quireflow.sources.corpus import frontmatter
@@ -75,7 +74,7 @@ def _plain(value: Any) -> Any:
     return value
 
 
-def _decode(text: str | None, syntax: str | None, body: str | None, column: str | None) -> tuple:
+def _decode(text: str | None, syntax: str | None, without: str | None) -> tuple:
     record: Any = {}
     if syntax is not None and text is not None:
         try:
@@ -85,23 +84,15 @@ def _decode(text: str | None, syntax: str | None, body: str | None, column: str
             return None, f"Parse{syntax.capitalize()}: {(str(error).splitlines() or [type(error).__name__])[0]}"
     if not isinstance(record, dict):
         return None, f"Parse{str(syntax).capitalize()}: not a mapping"
-    record = _plain(record)
-    if column is not None:
-        record[column] = body
-    return json.dumps(record, ensure_ascii=False), None
-
-
-def _batches(column: str | None) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            nothing = lambda v: None if v is None or v != v else v
-            done = [
-                _decode(nothing(t), nothing(s), nothing(b), column)
-                for t, s, b in zip(frame["__text"], frame["__syntax"], frame["__body"])
-            ]
-            yield frame.drop(columns=["__text", "__syntax", "__body"]).assign(
-                raw=[d[0] for d in done], decode_error=[d[1] for d in done]
-            )
+    record.pop(without, None)
+    return json.dumps(_plain(record), ensure_ascii=False), None
+
+
+def _decoder(without: str | None) -> Callable[[pd.Series, pd.Series], pd.DataFrame]:
+    def run(texts: pd.Series, syntaxes: pd.Series) -> pd.DataFrame:
+        nothing = lambda v: None if v is None or v != v else v
+        done = [_decode(nothing(t), nothing(s), without) for t, s in zip(texts, syntaxes, strict=True)]
+        return pd.DataFrame({"raw": [d[0] for d in done], "decode_error": [d[1] for d in done]}, dtype=object)
 
     return run
 
@@ -117,23 +108,21 @@ def decode(
     """(keep…, raw, decode_error, record): each text decoded to JSON and parsed to VARIANT.
 
     ``syntax`` is yaml, toml or null (no frontmatter: an empty record). A Markdown body goes into
-    the record under ``body_column``. Only the decoding itself runs in Python.
+    the record under ``body_column``, in place of a field of that name. Only the text to decode goes through Python; bodies
+    and what is kept stay in the JVM.
     """
-    staged = docs.select(
+    decoder = F.pandas_udf(_decoder(body_column), "raw string, decode_error string")
+    rows = docs.select(
         *keep,
-        text.alias("__text"),
-        syntax.alias("__syntax"),
         (F.lit(None).cast("string") if body is None else body).alias("__body"),
-    )
-    schema = T.StructType(
-        [
-            *[staged.schema[k] for k in keep],
-            T.StructField("raw", T.StringType()),
-            T.StructField("decode_error", T.StringType()),
-        ]
-    )
-    rows = staged.mapInPandas(_batches(body_column), schema)
-    return rows.withColumn("record", parse_record(F.col("raw")))
+        decoder(text, syntax).alias("__decoded"),
+    ).select(*keep, "__body", "__decoded.*")
+    if body_column is not None:
+        own = F.to_json(F.struct(F.col("__body").alias(body_column)), {"ignoreNullFields": "false"})
+        # {"a": 1} and {"body": "text"} become {"a": 1, "body": "text"}.
+        with_body = F.concat(F.substring("raw", F.lit(1), F.length("raw") - 1), F.lit(", "), F.substring(own, F.lit(2), F.length(own)))
+        rows = rows.withColumn("raw", F.when(F.col("raw") == "{}", own).otherwise(with_body))
+    return rows.drop("__body").withColumn("record", parse_record(F.col("raw")))
 
 
 def markdown_records(docs: DataFrame, keep: list[str], text: str, body_column: str) -> DataFrame:

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quireflow import CollectionSpec, Field
+from quireflow.catalog import QUERIES
 from quireflow.operators import digests, joins, nested, objects
 
 N = 6000
@@ -37,6 +38,11 @@ def test_chained_joins_plan_each_side_once(spark, hot, tmp_path):
     assert counts == [2, 3, 4, 5]
 
 
+@pytest.mark.parametrize("name, most", [("jn_or_exists", 6), ("tch_ancestors", 8), ("obj_lifecycle", 5)])
+def test_snapshots_are_scanned_few_times(spark, name, most):
+    assert scans(QUERIES[name](spark, "/root/testdata/sf0.001")) <= most
+
+
 def test_short_digest_of_the_sample_strings(spark):
     df = spark.createDataFrame([("g", s) for s in ("sakana_zaurus", "koneko_zaurus", "sakana_wanko")], "g string, s string")
     assert digests.shortest_unique_length(df, "g", "s").collect()[0].short_len == 8
