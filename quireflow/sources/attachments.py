@@ -100,6 +100,15 @@ def _le16(content: Column, start: int) -> Column:
     return _be(content, start, 1) + _be(content, start + 1, 1) * 256
 
 
+def _bmp_side(content: Column, place: int) -> Column:
+    """Width (place 0) or height (1) of a bitmap: 32 bits, 16 in the oldest headers; rows from the top down have a negative height."""
+    start = 19 + 4 * place
+    wide = sum(_be(content, start + k, 1).cast("long") * 256**k for k in range(4))
+    signed = F.abs(F.when(wide >= 2**31, wide - 2**32).otherwise(wide)).cast("int")
+    oldest = F.hex(F.substring(content, 15, 4)) == "0C000000"
+    return F.when(oldest, _le16(content, 19 + 2 * place)).otherwise(signed)
+
+
 _NUMBER = r"""\s*=\s*["']\s*([0-9]*\.?[0-9]+)(?:px)?\s*["']"""
 
 
@@ -144,13 +153,13 @@ def _image_size(content: Column, root: Column, raster: Column) -> Column:
         F.when(png, "png").when(gif, "gif").when(bmp, "bmp").when(vector, "svg").otherwise(raster["format"]).alias("format"),
         F.when(png, _be(content, 17, 4))
         .when(gif, _le16(content, 7))
-        .when(bmp, _le16(content, 19))
+        .when(bmp, _bmp_side(content, 0))
         .when(vector, svg["width"])
         .otherwise(raster["width"])
         .alias("width"),
         F.when(png, _be(content, 21, 4))
         .when(gif, _le16(content, 9))
-        .when(bmp, _le16(content, 23))
+        .when(bmp, _bmp_side(content, 1))
         .when(vector, svg["height"])
         .otherwise(raster["height"])
         .alias("height"),

@@ -3,6 +3,8 @@ from __future__ import annotations
 import hashlib
 import json
 
+import check_oracle
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 from test_compile import png
@@ -225,3 +227,23 @@ def test_shards_hold_every_document_whole(spark, tmp_path):
     assert found == want
     assert corpus.scan_shards(spark, str(tmp_path / "s"), "1?.*").count() == 10
     assert corpus.pack(frame.limit(0), str(tmp_path / "none")) == 1 and corpus.scan_shards(spark, str(tmp_path / "none")).count() == 0
+
+
+@pytest.mark.parametrize("name", ["src_image_dims", "src_raster_dims"])
+def test_images_wider_than_their_format_can_say(spark, tmp_path, name):
+    ids = [*range(12), *range(16_380, 16_395), *range(65_530, 65_545), *range(131_000, 131_040), *range(2**24 - 8, 2**24 + 8), 2**31 - 2]
+    spark.createDataFrame([(k, "", f"<p>{k}</p>") for k in ids], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    ok, note = check_oracle.compare(spark, con, str(tmp_path), name)
+    assert ok, note
+
+
+def test_sides_of_a_bitmap(spark):
+    def bmp(header: int, sides: bytes) -> bytearray:
+        return bytearray(b"BM" + bytes(12) + header.to_bytes(4, "little") + sides + bytes(8))
+
+    wide = (70_000).to_bytes(4, "little")
+    cases = [(bmp(40, wide + wide), 70_000, 70_000), (bmp(40, wide + (-70_000).to_bytes(4, "little", signed=True)), 70_000, 70_000), (bmp(12, b"\x05\x01\x07\x00"), 261, 7)]
+    rows = spark.createDataFrame([(c[0],) for c in cases], "content binary").select(attachments.image_size(F.col("content")).alias("i"))
+    assert [(r.i.format, r.i.width, r.i.height) for r in rows.collect()] == [("bmp", w, h) for _, w, h in cases]
