@@ -4,8 +4,8 @@ The model spells each word bit by bit, to a closing blank; the empty word ends a
 that followed a context: the last 1 to 3 bytes of the word (hashed into tables of fixed size), and the whole
 beginning of the word, whose counts are exact and grow with the vocabulary. Their log-odds are combined by weights that two gates
 choose, place and bit in the word and the depth of context that was seen, and the result is refined by an adaptive map from
-predicted to observed chances. Weights and map are learned online, in one pass over the vocabulary in which each word's
-own occurrence is taken out of the counts. Within a text, words that came before gain weight: before word t, a word seen n times has chance
+predicted to observed chances. Weights and map are learned from every occurrence of every training word, in one pass over
+the edges of the vocabulary's prefix trees in which the occurrence itself is taken out of the counts. Within a text, words that came before gain weight: before word t, a word seen n times has chance
 (n + CACHE * p) / (t + CACHE). Every step is normalised, so a text's score is a log-probability: total bits, also given per byte.
 
 A word of ``DEEP`` bytes or more is spelled in pieces: its first DEEP bytes, then pieces that each bring the bytes before them as context,
@@ -46,7 +46,8 @@ PREDICTORS = len(TABLE_BITS)
 CHUNKS = 64
 CACHE = 1500.0
 INPUTS, PLACES, DEPTHS, STEPS = PREDICTORS + 1, 6, PREDICTORS + 2, 33
-RARE, ONE_IN, TRUST = 20, 16, 100.0
+RARE, TRUST = 20, 100.0
+HELD_EDGES = 1 << 18  # edges that a learner holds before it learns from them
 GATES = PLACES * 8 * DEPTHS
 LEARNERS = 12  # parts that even a small vocabulary is dealt into
 _PRIOR = np.float32(0.3)
@@ -194,12 +195,8 @@ class Mixer:
         step = np.clip(np.rint(odds + STEPS // 2), 0, STEPS - 1).astype(np.int32)
         return (gate % DEPTHS * 8 + gate // DEPTHS % 8) * STEPS + step
 
-    def learn(self, x: np.ndarray, gate: np.ndarray, bit: np.ndarray, weight: np.ndarray, settled: bool) -> None:
-        odds = self.mixed(x, gate)
-        p = 1 / (1 + np.exp(-odds.astype(np.float64)))
-        cell = self.cell(gate, odds)
-        for i, what in enumerate((weight, weight * bit, weight * p) if settled else ()):
-            self.seen[:, :, i] += np.bincount(cell, weights=what, minlength=DEPTHS * 8 * STEPS).reshape(-1, STEPS)
+    def learn(self, x: np.ndarray, gate: np.ndarray, bit: np.ndarray, weight: np.ndarray) -> None:
+        p = 1 / (1 + np.exp(-self.mixed(x, gate).astype(np.float64)))
         x = np.vstack([x, np.ones((1, x.shape[1]))])
         err, power = weight * (bit - p), weight * np.maximum(p * (1 - p), 1e-3)
         slope = np.stack([np.bincount(gate, weights=err * x[i], minlength=GATES) for i in range(INPUTS)], axis=1)
@@ -211,6 +208,14 @@ class Mixer:
                     self.curve[:, j, i] += more
         self.weights += np.linalg.solve(self.curve, slope[:, :, None])[:, :, 0]
 
+    def tally(self, x: np.ndarray, gate: np.ndarray, bit: np.ndarray, weight: np.ndarray) -> None:
+        """Add to the adaptive map what was predicted and what came."""
+        odds = self.mixed(x, gate)
+        p = 1 / (1 + np.exp(-odds.astype(np.float64)))
+        cell = self.cell(gate, odds)
+        for i, what in enumerate((weight, weight * bit, weight * p)):
+            self.seen[:, :, i] += np.bincount(cell, weights=what, minlength=DEPTHS * 8 * STEPS).reshape(-1, STEPS)
+
     def corrections(self) -> np.ndarray:
         """By how much the odds at a gate and step were off, on average."""
         n, ones, p = (self.seen[:, :, i] for i in range(3))
@@ -358,33 +363,49 @@ def _cut(batches: Iterator[dict]) -> Iterator[dict]:
                 yield {"of": [of] * len(part), "word": part, "times": [times[x] for x in part], "c": [c * times[x] for x in part]}
 
 
+def _examples(tree: Tree, tables: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Inputs, gates, bits and weight of every edge that training words take.
+
+    What predicts a byte depends on the edge alone, so an edge weighs as much as all occurrences of all its words, and none is left out.
+    """
+    counts = tree.counts()
+    rows = np.flatnonzero((tree.weight > 0.5) & (tree.place >= tree.lead))
+    place, bit = tree.place[rows], tree.bits(rows)
+    c = tables[tree.slots(rows)]
+    c[-1] = np.where((place >= ANCHOR)[:, None, None], counts[rows], c[-1])
+    # The occurrence itself is taken out of the counts that predict it.
+    c = np.maximum(c - (bit[:, :, None] == np.arange(2)), 0)
+    x = log_odds(c).reshape(PREDICTORS, -1).astype(np.float32)
+    gate = gates(tree.depths(place), Mixer.depth(x, c[-1].sum(-1).ravel() > RARE)).astype(np.int16)
+    return x.reshape(PREDICTORS, -1, 8), gate.reshape(-1, 8), bit, tree.weight[rows]
+
+
 def _learner(tables):
     def run(batches: Iterator[dict]) -> Iterator[dict]:
-        mixer, held = Mixer(), []
+        mixer, held, size = Mixer(), [], 0
         rng = np.random.default_rng(5)
-        for words, n in _families(batches):
-            tree = Tree(words, n)
-            counts = tree.counts()
-            # Rare words stand for ONE_IN of their kind; all words are in the counts.
-            drawn = (n > RARE) | ((n > 0) & (rng.integers(0, ONE_IN, len(n)) == 0))
-            weight = np.where(n > RARE, n, n * ONE_IN)
-            of, place = np.nonzero(tree.inside & drawn[:, None])
-            rows = tree.edge[of, place]
-            bit = tree.bits(rows)
-            c = tables.value[tree.slots(rows)]
-            c[-1] = np.where((place >= ANCHOR)[:, None, None], counts[rows], c[-1])
-            # The word itself is taken out of the counts that predict it.
-            c = np.maximum(c - (bit[:, :, None] == np.arange(2)), 0)
-            x = log_odds(c).reshape(PREDICTORS, -1)
-            gate = gates(tree.depths(place), mixer.depth(x, c[-1].sum(-1).ravel() > RARE))
-            held.append((x.reshape(PREDICTORS, -1, 8), gate.reshape(-1, 8), bit, weight[of]))
-        if held:
-            # Words come sorted; what is learned online must come in any order.
+
+        def learn() -> None:
             x, gate, bit, weight = np.concatenate([h[0] for h in held], axis=1), *(np.concatenate(part) for part in list(zip(*held))[1:])
-            order = rng.permutation(len(weight))
+            # Words come sorted; what is learned online must come in any order, and what weighs much in several turns.
+            turns = 1 + np.log2(np.maximum(weight / RARE, 1)).astype(np.int64)
+            order = rng.permutation(np.repeat(np.arange(len(weight)), turns))
             for at in range(0, len(order), 4096):
                 own = order[at : at + 4096]
-                mixer.learn(x[:, own].reshape(PREDICTORS, -1), gate[own].ravel(), bit[own].ravel(), np.repeat(weight[own], 8), 2 * at >= len(order))
+                mixer.learn(x[:, own].reshape(PREDICTORS, -1), gate[own].ravel(), bit[own].ravel(), np.repeat(weight[own] / turns[own], 8))
+            for at in range(0, len(weight), 8192):
+                own = slice(at, at + 8192)
+                mixer.tally(x[:, own].reshape(PREDICTORS, -1), gate[own].ravel(), bit[own].ravel(), np.repeat(weight[own], 8))
+
+        for words, n in _families(batches):
+            held.append(_examples(Tree(words, n), tables.value))
+            size += len(held[-1][3])
+            if size > HELD_EDGES:
+                learn()
+                held, size = [], 0
+        if size:
+            learn()
+        if mixer.seen.any():
             pull = (mixer.curve @ mixer.weights[:, :, None])[:, :, 0]
             yield {"curve": [mixer.curve.ravel().tolist()], "pull": [pull.ravel().tolist()], "seen": [mixer.seen.ravel().tolist()]}
 

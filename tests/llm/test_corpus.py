@@ -123,6 +123,20 @@ def test_tree_counts_are_exact():
                     assert counts[edge, b, int(value)] == want
 
 
+def test_mixing_is_learned_from_every_occurrence(monkeypatch):
+    rng = np.random.default_rng(9)
+    words = sorted({bytes(rng.integers(97, 101, rng.integers(1, 9), dtype=np.uint8)) for _ in range(3000)} | {b""})
+    n = rng.choice([0, 1, 1, 2, 3, 40, 3000], len(words))
+    cell = type("Cell", (), {"value": np.zeros((context_mixing.STARTS[-1], 2), dtype=np.float32)})()
+    want = 8 * sum(int(k) * (len(w) + 1) for w, k in zip(words, n))
+    for held in (context_mixing.HELD_EDGES, 100):
+        monkeypatch.setattr(context_mixing, "HELD_EDGES", held)
+        batches = [{"word": words[at : at + 500], "c": n[at : at + 500].tolist()} for at in range(0, len(words), 500)]
+        (out,) = context_mixing._learner(cell)(iter(batches))
+        weight = np.array(out["seen"][0]).reshape(-1, 3)
+        assert weight[:, 0].sum() == want and 0 < weight[:, 1].sum() < want and np.isfinite(out["pull"][0]).all()
+
+
 def test_pieces_hold_every_byte_once():
     rng = np.random.default_rng(4)
     for size in (0, 1, 63, 64, 65, 119, 120, 121, 500):
