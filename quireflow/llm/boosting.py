@@ -28,19 +28,30 @@ class Boosted:
         return 1 / (1 + np.exp(-total))
 
 
-def fit(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, rate: float = 0.2, bins: int = 32, ridge: float = 1.0) -> Boosted:
-    """Newton boosting of the logistic loss; splits by exact gain over quantile bins, ties to the first feature and cut."""
-    edges = [np.unique(np.quantile(column, np.linspace(0, 1, bins + 1)[1:-1], method="lower")) for column in x.T]
+def quantiles(column: np.ndarray, weight: np.ndarray, shares: np.ndarray) -> np.ndarray:
+    """Distinct quantiles, the lower one between two, of values that stand for ``weight`` equal ones each."""
+    order = np.argsort(column, kind="stable")
+    upto = np.cumsum(weight[order])
+    return np.unique(column[order][np.searchsorted(upto, np.floor(shares * (upto[-1] - 1)), side="right")])
+
+
+def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, trees: int = 60, depth: int = 4, rate: float = 0.2, bins: int = 32, ridge: float = 1.0) -> Boosted:
+    """Newton boosting of the logistic loss; splits by exact gain over quantile bins, ties to the first feature and cut.
+
+    A row stands for ``weight`` equal ones, a whole number; by default for itself.
+    """
+    weight = np.ones(len(y)) if weight is None else np.asarray(weight, dtype=np.float64)
+    edges = [quantiles(column, weight, np.linspace(0, 1, bins + 1)[1:-1]) for column in x.T]
     binned = np.stack([np.searchsorted(e, column, side="left") for e, column in zip(edges, x.T, strict=True)])
     n_features, inner, leaves = x.shape[1], 2**depth - 1, 2**depth
-    share = np.clip(y.mean(), 1e-6, 1 - 1e-6)
+    share = np.clip(np.average(y, weights=weight), 1e-6, 1 - 1e-6)
     start = float(np.log(share / (1 - share)))
     total = np.full(len(y), start)
     feature, cut, leaf = np.zeros((trees, inner), dtype=np.int64), np.full((trees, inner), np.inf), np.zeros((trees, leaves))
     width = bins + 1
     for t in range(trees):
         p = 1 / (1 + np.exp(-total))
-        slope, curve = y - p, p * (1 - p)
+        slope, curve = weight * (y - p), weight * p * (1 - p)
         node = np.zeros(len(y), dtype=np.int64)
         for level in range(depth):
             first, count = 2**level - 1, 2**level

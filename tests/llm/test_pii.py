@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 
 from quireflow.llm import boosting, pii
+from quireflow.llm.quality_rules import upper_bound
 
 SF = "/root/testdata/sf0.001"
 
@@ -126,3 +127,33 @@ def test_most_made_examples_are_told_apart(corpus):
             chosen = model.trees.probability(x) >= np.array(model.thresholds)[x[:, 0].astype(int)]
             right, wrong, total = right + int((chosen & y).sum()), wrong + int((chosen & ~np.array(y)).sum()), total + sum(y)
     assert right > 0.7 * total and wrong < 0.1 * (right + wrong)
+
+
+def test_counted_rows_weigh_as_many_as_they_are():
+    rng = np.random.default_rng(3)
+    x, n = rng.integers(0, 40, (300, 4)).astype(float), rng.integers(1, 9, 300)
+    y = (x[:, 0] + rng.normal(0, 9, 300) > x[:, 2]).astype(float)
+    one, many = boosting.fit(x, y, n), boosting.fit(np.repeat(x, n, axis=0), np.repeat(y, n))
+    assert (one.feature == many.feature).all() and (one.cut == many.cut).all() and np.allclose(one.leaf, many.leaf)
+    column = np.repeat(x[:, 0], n)
+    shares = np.linspace(0, 1, 33)[1:-1]
+    assert (boosting.quantiles(x[:, 0], n, shares) == np.unique(np.quantile(column, shares, method="lower"))).all()
+
+
+def test_the_bound_is_that_of_clopper_and_pearson():
+    for trials in (0, 1, 5, 29, 30, 400):
+        for hits in range(0, trials + 1, 1 + trials // 60):
+            assert pii.surely_below(hits, trials, 0.1, 0.05) == (upper_bound(hits, trials, 0.05) <= 0.1)
+    assert pii.surely_below(99_000, 1_000_000, 0.1, 0.05) and not pii.surely_below(99_990, 1_000_000, 0.1, 0.05)
+
+
+def test_trees_learn_from_all_surroundings(make):
+    """More surroundings than the 2000 that were drawn before: each makes its examples, and copies make none."""
+    rows = [(k, f"item {k * 7919 % 100_003} mail to user{k}@host{k % 91}.example.org, thanks {k}") for k in range(2600)]
+    scanned = pii._scanned(make(rows + rows[:50]))
+    model = pii.learned(scanned, 0.1)
+    around = {(t[max(0, s - 40) : s], t[s:e], k, t[e : e + 20]) for _, t in rows for s, e, k in pii.base_spans(t) if e - s <= 80}
+    assert len(around) >= 2600
+    want = pii.fit(sorted(around))
+    assert model.thresholds == want.thresholds
+    assert all((getattr(model.trees, c) == getattr(want.trees, c)).all() for c in ("feature", "cut", "leaf"))
