@@ -14,6 +14,7 @@ from quireflow.session import work_dir
 #: White space of the word definition; also what ``bytes.split()`` splits at.
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
+SLICE_BYTES = 4 << 20
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -73,10 +74,17 @@ def ddl(schema: str) -> T.StructType:
     return T.StructType.fromDDL(schema)
 
 
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    step = max(256, batch.num_rows * SLICE_BYTES // max(batch.nbytes, 1))
+    for at in range(0, batch.num_rows, step):
+        yield batch.slice(at, step)
+
+
 def map_rows(rows: DataFrame, schema: str | T.StructType, fn: Callable[[Iterator[dict]], Iterator[dict]]) -> DataFrame:
     """Run ``fn`` over each partition as an iterator of batches, each a dict of Python lists.
 
-    ``fn`` yields dicts with one list or array for each column of ``schema``.
+    ``fn`` yields dicts with one list or array for each column of ``schema``. Batches of large rows are handed on in slices of about
+    ``SLICE_BYTES``, since a worker keeps what its largest batch took.
     """
     kinds = ddl(schema) if isinstance(schema, str) else schema
     fields = arrow_schema(kinds)
@@ -84,7 +92,7 @@ def map_rows(rows: DataFrame, schema: str | T.StructType, fn: Callable[[Iterator
     names = rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for out in fn(dict(zip(names, batch.to_pydict().values())) for batch in batches):
+        for out in fn(dict(zip(names, part.to_pydict().values())) for batch in batches for part in slices(batch)):
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type, from_pandas=False) for f in fields], schema=fields)
 
     # Plain names on the way in: the call looks its columns up by name, and a name may hold any character.

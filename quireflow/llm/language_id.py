@@ -11,7 +11,7 @@ labels there are; in all these are at most ``per_lang * max_langs`` documents (6
 
 ``accept`` asks more than the nearest label: the best value must not be negative (else every language says no), and the best value, its
 lead over the second and the length of the text's landmark vector must each reach half of what all but one percent of the rightly told,
-labelled documents that were held out reach. Without such a document only the sign of the best value counts.
+labelled documents that were held out reach, of which none is left out. Without such a document only the sign of the best value counts.
 
 Defined cases: null texts and texts without letter are ``und`` with score 0; without any learned label
 every text is ``und``; ties go to the label that sorts first; a null doc_id has crc 0, so it is held out; repeated rows are predicted one by one.
@@ -152,23 +152,49 @@ def fit(docs: DataFrame, per_lang: int = 1500, landmarks: int = 256, ridge: floa
     return Model(langs, points, weights.astype(np.float32))
 
 
-def with_floors(model: Model, docs: DataFrame, per_lang: int = 1500, max_langs: int = 400) -> Model:
-    """The model with its floors set on at most ``per_lang`` held-out documents of each label."""
+def low_values(rows: DataFrame, columns: list[str], share: float, bins: int = 1024) -> list[float | None]:
+    """Of each column the largest value, to a millionth of its range, that at least all but ``share`` of the rows reach; null without rows.
+
+    Counts of ``bins`` equal bins, then of the bins of the one that holds it: all rows are counted, and only counts go through the driver.
+    """
+    ends = rows.agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{c}_{name}") for c in columns for name, f in (("low", F.min), ("high", F.max))]).first()
+    if not ends["n"]:
+        return [None] * len(columns)
+    most_below = int(share * ends["n"])
+    low, high = ([ends[f"{c}_{name}"] for c in columns] for name in ("low", "high"))
+    for _ in range(2):
+        step = [0.0 if x == h else (h - x) / bins for x, h in zip(low, high)]
+        # Bin 0 is what lies below the range, so what is below a bin's lower end is the sum of the bins before it.
+        place = [
+            F.when(F.col(c) < x, 0).when(F.lit(s <= 0), 1).otherwise(F.least(F.floor((F.col(c) - x) / (s or 1.0)), F.lit(bins)) + 1).cast("int")
+            for c, x, s in zip(columns, low, step)
+        ]
+        cells = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), p.alias("at")) for k, p in enumerate(place)])).alias("cell")
+        counts = np.zeros((len(columns), bins + 2), dtype=np.int64)
+        for r in rows.select(cells).groupBy("cell.k", "cell.at").count().collect():
+            counts[r["k"], r["at"]] = r["count"]
+        for k in range(len(columns)):
+            below = np.concatenate([[0], np.cumsum(counts[k])[:-1]])
+            at = max(1, int(np.flatnonzero(below <= most_below)[-1]))
+            low[k], high[k] = low[k] + (at - 1) * step[k], low[k] + at * step[k]
+    return low
+
+
+def with_floors(model: Model, docs: DataFrame) -> Model:
+    """The model with its floors set on all held-out documents that have a label it has learned."""
     if not model.langs:
         return model
-    held = docs.select("doc_id", "lang", "text").where(F.col("lang").isin(model.langs) & F.col("text").isNotNull() & (crc_fold("doc_id", FOLDS) == 0))
+    held = docs.select("lang", "text").where(F.col("lang").isin(model.langs) & F.col("text").isNotNull() & (crc_fold("doc_id", FOLDS) == 0))
 
-    def run(batches: Iterator[dict]) -> Iterator[dict]:
+    def run(batches: Iterator[dict], block: int = 256) -> Iterator[dict]:
         for batch in batches:
-            if not batch["bits"]:
-                continue
-            sets = np.unpackbits(np.frombuffer(b"".join(batch["bits"]), dtype=np.uint8).reshape(len(batch["bits"]), -1), axis=1)
-            best, found = model.measures(sets)
-            right = np.array([model.langs[k] == lang for k, lang in zip(best, batch["lang"])], dtype=bool)
-            yield {c: found[right, i].astype(np.float64) for i, c in enumerate(("value", "lead", "length"))}
-
-    told = map_rows(_sample(held.where(F.col("text").rlike(r"\p{L}")), per_lang, max_langs), "value double, lead double, length double", run)
-    low = told.agg(*[F.percentile(c, F.lit(0.01)).alias(c) for c in ("value", "lead", "length")]).first()
+            for at in range(0, len(batch["text"]), block):
+                best, found = model.measures(np.stack([gram_set(t) for t in batch["text"][at : at + block]]))
+                right = np.array([model.langs[k] == lang for k, lang in zip(best, batch["lang"][at : at + block])], dtype=bool)
+                yield {c: found[right, i].astype(np.float64) for i, c in enumerate(("value", "lead", "length"))}
+
+    told = settle(map_rows(held.where(F.col("text").rlike(r"\p{L}")), "value double, lead double, length double", run), "lang-told")
+    low = low_values(told, ["value", "lead", "length"], 0.01)
     return replace(model, floors=tuple(0.0 if x is None else max(0.0, x / 2) for x in low))
 
 
@@ -204,7 +230,7 @@ def language_id(docs: DataFrame, **fitting) -> DataFrame:
 
 def accept(docs: DataFrame, least: float = 0.2, **fitting) -> DataFrame:
     """The documents, all columns kept, whose language is told with a score of at least ``least`` and beyond the model's floors; ``und`` goes."""
-    model = with_floors(fit(docs, **fitting), docs, **{k: v for k, v in fitting.items() if k in ("per_lang", "max_langs")})
+    model = with_floors(fit(docs, **fitting), docs)
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         for batch in batches:

@@ -229,3 +229,28 @@ def test_weak_labels_odd_rows(make, odd):
     out = weak_labels.quality_classifier(make(odd)).collect()
     assert len(out) == len(odd) and all((r.score == 0 and not r.kept) for r in out if r.doc_id in (1, 2))
     assert weak_labels.quality_classifier(make(odd[:0])).count() == 0
+
+
+def test_floors_come_from_all_held_out_documents(make):
+    rng = np.random.default_rng(8)
+    words = {"aa": ["alba", "bala", "laba", "zuma"], "bb": ["tick", "tock", "kit", "zuma"]}
+    rows = [(k, " ".join(rng.choice(words[lang], rng.integers(1, 12))), lang) for k, lang in enumerate(["aa", "bb"] * 8000)]
+    docs = make(rows)
+    model = language_id.fit(docs, per_lang=60, landmarks=16)
+    floors = language_id.with_floors(model, docs).floors
+    held = [(t, lang) for k, t, lang in rows if zlib.crc32(str(k).encode()) % 5 == 0]
+    assert min(sum(x == lang for _, x in held) for lang in words) > 1500
+    best, found = model.measures(np.stack([language_id.gram_set(t) for t, _ in held]))
+    found = found[[model.langs[b] == lang for b, (_, lang) in zip(best, held)]]
+    for k, floor in enumerate(floors):
+        column = np.sort(found[:, k])
+        assert abs(2 * floor - max(0, column[int(0.01 * len(column))])) < 2e-4 * (column[-1] - column[0])
+
+
+def test_low_values(spark):
+    rng = np.random.default_rng(2)
+    values = np.stack([rng.normal(size=5000), rng.integers(0, 3, 5000), np.full(5000, np.inf)], axis=1)
+    rows = spark.createDataFrame(values.tolist(), "a double, b double, c double")
+    a, b, c = language_id.low_values(rows, ["a", "b", "c"], 0.01)
+    assert abs(a - np.sort(values[:, 0])[50]) < 1e-4 and (b, c) == (0.0, np.inf)
+    assert language_id.low_values(rows.limit(0), ["a"], 0.01) == [None]
