@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
-import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Row, SparkSession
-from pyspark.sql import types as T
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from quireflow.operators import diff
 from quireflow.operators.joins import anti_by_key, semi_by_key
@@ -21,6 +18,7 @@ from quireflow.sinks.snapshots import Run, SnapshotStore, bucket_of
 from quireflow.specs import TableSpec
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+ROW, SINCE = "__row", "__since"
 
 Compile = Callable[[DataFrame], dict[str, DataFrame]]
 
@@ -133,18 +131,23 @@ def latest_stream(
 ) -> StreamingQuery:
     """Keep the latest row per key of an update stream, across batches, in a stored table.
 
-    Each key's latest row is state of the query, kept in RocksDB beside the checkpoint. A batch hands on
+    Each key's latest row is state of the query's aggregate, kept in RocksDB beside the checkpoint. A batch hands on
     only the keys whose latest row has changed, which go to the store as a delta: nothing stored is read or
     rewritten for it. Late rows lose against the state, so batches may come in any order; a
     replayed batch starts from the state it started from before and adds equal rows.
 
-    Keys that are many in a batch are cut down to one row for each Arrow batch before the shuffle.
+    Rows of a key compare by ``order``, then by the other columns; null is the least. Keys that are many in a batch are cut down to one row
+    for each task before the shuffle.
     """
     spark = updates.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    schema = updates.schema
-    newest = updates.mapInArrow(_newest(list(key), list(order)), schema)
-    latest = newest.groupBy(*key).transformWithState(LatestRow(schema, list(order)), schema, "Update", "None")
+    names = updates.columns
+    # The batch's own time, which is the same in all its rows and in its replay. Of equal rows the first one to come counts.
+    since = -F.unix_millis(F.current_timestamp())
+    row = F.struct(*order, *[c for c in names if c not in key and c not in order], SINCE)
+    best = updates.withColumn(SINCE, since).groupBy(*key).agg(F.max(row).alias(ROW))
+    changed = best.where(F.col(f"{ROW}.{SINCE}") == since)
+    latest = changed.select(*[F.col(c) if c in key else F.col(f"{ROW}.`{c}`").alias(c) for c in names])
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         run = store.begin()
@@ -162,49 +165,3 @@ def latest_stream(
         .trigger(availableNow=True)
         .start()
     )
-
-
-def _rank(row: Sequence, places: Sequence[int]) -> tuple:
-    """What rows of a key are compared by; null is the least value."""
-    return tuple((row[k] is not None, row[k]) if row[k] is not None else (False,) for k in places)
-
-
-class LatestRow(StatefulProcessor):
-    """Keeps the greatest row of each key by ``order``, then by the other columns, and emits it when it changes."""
-
-    def __init__(self, schema: T.StructType, order: list[str]) -> None:
-        self.schema = schema
-        self.places = [schema.names.index(c) for c in [*order, *[n for n in schema.names if n not in order]]]
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.latest = handle.getValueState("latest", self.schema)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
-        best = before = self.latest.get() if self.latest.exists() else None
-        for row in rows:
-            if best is None or _rank(row, self.places) > _rank(best, self.places):
-                best = row
-        if best is not before:
-            self.latest.update(tuple(best))
-            yield Row(*self.schema.names)(*best)
-
-    def close(self) -> None:
-        pass
-
-
-def _newest(key: list[str], order: list[str]):
-    """The greatest row of each key of an Arrow batch; batches with columns that have no order go through whole."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = pa.Table.from_batches([batch])
-            rest = [n for n in rows.column_names if n not in key and n not in order]
-            if any(pa.types.is_nested(rows.schema.field(n).type) for n in rows.column_names):
-                yield batch
-                continue
-            ranked = rows.take(pc.sort_indices(rows, [(n, "descending") for n in (*order, *rest)], null_placement="at_end"))
-            placed = ranked.append_column("__place", pa.array(range(len(ranked)), pa.int64()))
-            first = placed.group_by(key).aggregate([("__place", "min")])["__place_min"]
-            yield from ranked.take(first).to_batches()
-
-    return run

@@ -247,3 +247,17 @@ def test_sides_of_a_bitmap(spark):
     cases = [(bmp(40, wide + wide), 70_000, 70_000), (bmp(40, wide + (-70_000).to_bytes(4, "little", signed=True)), 70_000, 70_000), (bmp(12, b"\x05\x01\x07\x00"), 261, 7)]
     rows = spark.createDataFrame([(c[0],) for c in cases], "content binary").select(attachments.image_size(F.col("content")).alias("i"))
     assert [(r.i.format, r.i.width, r.i.height) for r in rows.collect()] == [("bmp", w, h) for _, w, h in cases]
+
+
+def test_latest_rows_are_settled_without_python(spark, tmp_path):
+    """Python state costs a call for each key and batch; the aggregate's state needs no worker."""
+    rows = spark.range(3000).selectExpr("id % 700 AS user", "id AS ts", "concat('w', id) AS what")
+    rows.repartition(3).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    store = SnapshotStore(spark, str(tmp_path / "store"), buckets=4)
+    running = incremental.latest_stream(stream, store, "t", ["user"], ["ts"], str(tmp_path / "progress"))
+    running.awaitTermination()
+    plan = running._jsq.explainInternal(True)
+    assert "StateStoreSave" in plan and "Arrow" not in plan and "Python" not in plan
+    got = {r.user: (r.ts, r.what) for r in store.read("t").collect()}
+    assert got == {u: (t, f"w{t}") for u in range(700) for t in [max(range(u, 3000, 700))]}
