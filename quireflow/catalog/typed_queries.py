@@ -12,6 +12,7 @@ from quireflow.plans.apply import run_batch
 from quireflow.plans.compile import Compiled, compile_records, upload_log
 from quireflow.session import settle, work_dir
 from quireflow.sinks.snapshots import SnapshotStore
+from quireflow.sources.tables import TASK_ROWS, spread
 from quireflow.specs import CollectionSpec, Field, MarkdownImages, Storage
 
 POSTS = CollectionSpec(
@@ -71,11 +72,8 @@ REC_SQL = f"WITH rec AS (SELECT o_orderkey AS k, {RAW} AS r FROM (SELECT o_order
 
 def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(k, raw): the faulty records as JSON text."""
-    return (
-        table(spark, sf_dir, "orders", costly=True)
-        .select(F.col("o_orderkey").alias("k"))
-        .select("k", F.expr(RAW).alias("raw"))
-    )
+    keys = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"))
+    return spread(keys, "k", task_rows=TASK_ROWS).select("k", F.expr(RAW).alias("raw"))
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:

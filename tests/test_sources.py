@@ -153,6 +153,11 @@ def test_spread_only_widens_small_scans(spark):
     assert spread(spark.range(0, 100, 1, 1), "id").rdd.getNumPartitions() > 1
 
 
+def test_spread_follows_the_rows(spark):
+    wide = spread(spark.range(0, 1_000_000, 1, 8), "id", task_rows=50_000)
+    assert wide.rdd.getNumPartitions() >= 20 and wide.count() == 1_000_000
+
+
 def test_work_dir_follows_the_session(spark):
     shared = spark.conf.get("spark.checkpoint.dir", None)
     folder = work_dir(spark, "x")
