@@ -13,7 +13,7 @@ from quireflow.operators import diff
 from quireflow.plans.lifecycle import object_actions
 from quireflow.plans.sync import touched
 from quireflow.session import settle, work_dir
-from quireflow.sinks.snapshots import BUCKET, SnapshotStore, TableState, View, bucket_digests, bucket_of
+from quireflow.sinks.snapshots import BUCKET, Run, SnapshotStore, TableState, View, bucket_digests, bucket_of
 from quireflow.specs import TableSpec
 
 
@@ -50,6 +50,8 @@ def sync_store(
     """
     run = store.begin()
     view = run.view
+    if not any(name in view.tables for name in specs):
+        return _first(store, run, specs, incoming, run_ts)
     cuts = {name: _cut(store, incoming[name], spec, None if force else view.tables.get(name)) for name, spec in specs.items()}
 
     def both(chosen: Mapping[str, list[int]]) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
@@ -69,6 +71,18 @@ def sync_store(
     return {name: view.read(name) for name in specs}
 
 
+def _first(
+    store: SnapshotStore, run: Run, specs: Mapping[str, TableSpec], incoming: Mapping[str, DataFrame], run_ts: str
+) -> dict[str, DataFrame]:
+    """Sync with a store that has none of the tables: all rows are inserts, so they are neither staged nor compared."""
+    for name, spec in specs.items():
+        stamps = [c for c in (spec.created_at, spec.updated_at) if c]
+        rows = incoming[name].select(*spec.pk, *spec.data_cols, *[diff.run_timestamp(run_ts).alias(c) for c in stamps])
+        run.replace(name, rows, spec.pk, ignore=stamps)
+    view = store.at(run.commit())
+    return {name: view.read(name) for name in specs}
+
+
 def changed_rows(store: SnapshotStore, spec: TableSpec, incoming: DataFrame) -> DataFrame:
     """(key…, op) of what a sync would insert, update or delete; of the stored table only buckets that differ are read."""
     view = store.at()
@@ -119,7 +133,7 @@ def _cut(store: SnapshotStore, incoming: DataFrame, spec: TableSpec, state: Tabl
             rows = rows.select(*[F.col(c).cast(kinds[c]) for c in rows.columns])
     n = state.buckets if state else store.buckets
     folder = work_dir(store.spark, f"incoming-{spec.name}")
-    rows.withColumn(BUCKET, bucket_of(state.by if state else spec.pk, n)).repartition(BUCKET).write.partitionBy(BUCKET).parquet(folder)
+    rows.withColumn(BUCKET, bucket_of(state.by if state else spec.pk, n)).repartition(BUCKET).write.option("compression", "zstd").partitionBy(BUCKET).parquet(folder)
     whole = T.StructType([*rows.schema.fields, T.StructField(BUCKET, T.IntegerType())])
     staged = store.spark.read.schema(whole).parquet(folder)
     dirty = state.dirty(bucket_digests(staged, state.digested)) if state else list(range(n))

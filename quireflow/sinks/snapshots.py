@@ -224,7 +224,7 @@ class Run:
         cut = rows.withColumn(BUCKET, bucket_of(by, buckets))
         if by:
             cut = cut.repartition(BUCKET)
-        cut.write.partitionBy(BUCKET).parquet(f"{self.store.root}/{folder}")
+        cut.write.option("compression", "zstd").partitionBy(BUCKET).parquet(f"{self.store.root}/{folder}")
         whole = T.StructType([*rows.schema.fields, T.StructField(BUCKET, T.IntegerType())])
         return folder, self.store.spark.read.schema(whole).parquet(f"{self.store.root}/{folder}")
 

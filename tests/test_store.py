@@ -188,3 +188,15 @@ def test_other_keys_or_columns_are_written_as_a_whole(spark, store):
     assert store.read("a").columns == ["id", "x"]
     with pytest.raises(ValueError, match="no stored state"):
         store.begin().append("b", spark.range(1))
+
+
+def test_a_first_sync_stages_and_compares_nothing(spark, tmp_path, monkeypatch):
+    """An empty store holds nothing to compare with: the rows are shuffled and written once."""
+    specs = CollectionSpec(name="p", table="p", schema=(("id", Field("id")), ("n", Field("integer")), ("updated_at", Field("updated_at")))).tables()
+    rows = spark.createDataFrame([("a", 1), ("b", None)], "id string, n long")
+    store = SnapshotStore(spark, str(tmp_path), buckets=4)
+    with monkeypatch.context() as m:
+        m.setattr(apply, "_cut", None)
+        apply.sync_store(store, specs, {"p": rows}, "2025-01-01 00:00:00")
+    after = apply.sync_store(store, specs, {"p": rows.where("id = 'a'").selectExpr("id", "n + 1 AS n")}, "2025-01-02 00:00:00")["p"]
+    assert [(r.id, r.n, r.updated_at.day) for r in after.collect()] == [("a", 2, 2)]
