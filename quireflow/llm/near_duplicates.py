@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quireflow.llm.common import fresh_names, map_rows, settle, words_of
@@ -33,6 +33,8 @@ BANDS, DEPTH, BATCH = 32, 4, 16
 HASHES = BANDS * DEPTH
 MISS = 1e-6
 ROUNDS = 2
+#: Rows that a task takes before more tasks are made: documents (texts, signatures, pairs), and edges of two numbers.
+ROWS, EDGES = 4096, 1 << 17
 
 _draw = np.random.default_rng(20240607)
 _FACTORS = _draw.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -170,61 +172,66 @@ def _confirm(width: int, percent: int):
     return run
 
 
+def tasks_for(spark: SparkSession, rows: int, each: int) -> int:
+    """Tasks for so many rows: the cores there are, and more once a task would get over ``each`` rows."""
+    return max(spark.sparkContext.defaultParallelism, -(-rows // each))
+
+
 def components(edges: DataFrame, purpose: str = "links") -> DataFrame:
     """node, component (smallest node reachable) of every node of ``edges`` (a, b).
 
-    Alternates large-star and small-star steps until nothing changes; each step is settled. Every edge ends at
-    the smallest node of its component.
+    Alternates large-star and small-star steps until every node has one edge at most to a smaller node, and that one none; each step is
+    settled. A step has no more rows than the edges, so their number says how many tasks take a step's rows.
     """
-    now = settle(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), purpose)
-
-    def mark(rows: DataFrame) -> tuple:
-        return tuple(rows.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-
-    before, state = None, mark(now)
-    while before != state:
+    n = tasks_for(edges.sparkSession, edges.count(), EDGES)
+    now = settle(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().coalesce(n), purpose)
+    while True:
+        ends = now.select(F.col("a").alias("node"), "b").unionByName(now.select(F.col("b").alias("node"), "b"))
+        label = settle(ends.groupBy("node").agg(F.min("b").alias("component"), F.max("b").alias("high")).coalesce(n), purpose)
+        if label.where("component < high").isEmpty():
+            return label.select("node", "component")
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b").distinct()
+        large = both.join(low.hint("merge"), "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b")
+        large = large.coalesce(n).distinct().coalesce(n)
         small = large.groupBy("a").agg(F.min("b").alias("low"))
-        joined = large.join(small, "a")
-        step = joined.select(F.col("b").alias("a"), F.col("low").alias("b")).unionByName(small.select("a", F.col("low").alias("b")))
-        now = settle(step.where("a <> b").distinct(), purpose)
-        before, state = state, mark(now)
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
-        now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    )
+        # A node's edge to its smallest neighbour stays; the other neighbours get one to it.
+        step = large.join(small.hint("merge"), "a").select(F.when(F.col("b") == F.col("low"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("low").alias("b"))
+        now = settle(step.coalesce(n), purpose)
 
 
 class Links:
     """Confirms candidate pairs of class representatives.
 
-    Only members of shared bands are ever compared. Their texts are picked out of the corpus once, for all rounds.
+    Only members of shared bands are ever compared. Their texts are picked out of the corpus once, for all rounds. Joins run in
+    ``tasks`` tasks at most.
     """
 
-    def __init__(self, docs: DataFrame, members: DataFrame, classes: DataFrame, width: int, percent: int):
+    def __init__(self, docs: DataFrame, members: DataFrame, classes: DataFrame, width: int, percent: int, tasks: int):
         texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        self.texts = settle(texts.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), "near-texts")
-        self.classes, self.width, self.percent = classes, width, percent
+        kept = texts.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+        self.texts = settle(kept.coalesce(tasks), "near-texts")
+        self.classes, self.width, self.percent, self.tasks = classes, width, percent, tasks
 
     def confirm(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose full sets are similar enough."""
         signs = self.classes.select("rep", "signature")
-        signed = pairs.join(signs.select(F.col("rep").alias("b"), F.col("signature").alias("sign_b")), "b").join(
-            signs.select(F.col("rep").alias("a"), F.col("signature").alias("sign_a")), "a"
-        )
-        left = settle(map_rows(signed, "a long, b long", _prune(self.percent)).distinct(), "near-survivors")
+        signed = self._join(pairs, signs.select(F.col("rep").alias("b"), F.col("signature").alias("sign_b")), "b")
+        signed = self._join(signed, signs.select(F.col("rep").alias("a"), F.col("signature").alias("sign_a")), "a")
+        left = settle(map_rows(signed, "a long, b long", _prune(self.percent)).distinct().coalesce(self.tasks), "near-survivors")
         texts = self.texts
-        full = left.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(
-            texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a"
-        )
-        return settle(map_rows(full, "a long, b long", _confirm(self.width, self.percent)).distinct(), "near-links")
+        full = self._join(left, texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+        full = self._join(full, texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+        return settle(map_rows(full, "a long, b long", _confirm(self.width, self.percent)), "near-links")
+
+    def _join(self, left: DataFrame, right: DataFrame, on: str) -> DataFrame:
+        return left.join(right, on).coalesce(self.tasks)
 
     def between(self, open_: DataFrame, block: int = 1024) -> DataFrame:
         """Links between different components of the bands in ``open_`` (band, rep, component)."""
         sizes = open_.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
         home = sizes.groupBy("band").agg(F.max_by("component", F.struct("n", -F.col("component"))).alias("home"))
-        charged = settle(open_.join(home, "band").select("home", "rep", "component").distinct(), "near-charged")
+        charged = settle(open_.join(home, "band").select("home", "rep", "component").distinct().coalesce(self.tasks), "near-charged")
         probes = F.sum((F.col("component") != F.col("home")).cast("long"))
         parts = charged.groupBy("home").agg(
             F.ceil(F.count(F.lit(1)) / block).cast("int").alias("n_parts"), F.ceil(4 * probes / block).cast("int").alias("n_turns")
@@ -238,7 +245,7 @@ class Links:
         asking = full.where("component <> home").withColumn("turn", deal("n_turns", 2)).withColumn("part", every("n_parts"))
         rows = members.select(*columns).unionByName(asking.withColumn("probe", F.lit(True)).select(*columns))
         links = rows.groupBy("home", "part", "turn").applyInPandas(_blocks(self.width, self.percent), "a long, b long")
-        return settle(links.distinct(), "near-links")
+        return settle(links.distinct().coalesce(self.tasks), "near-links")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rounds: int = ROUNDS) -> DataFrame:
@@ -246,7 +253,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rounds:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = settle(map_rows(rows, "doc_id long, n_shingles long, digest binary, signature binary", _sign(width)), "near-signed")
     usable = signed.where("doc_id is not null and digest is not null")
-    classes = settle(usable.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature")), "near-classes")
+    # What each step makes, in as many tasks as the documents need: a shuffle's parts are many and mostly small.
+    tasks = tasks_for(docs.sparkSession, signed.count(), ROWS)
+    classes = usable.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature"))
+    classes = settle(classes.coalesce(tasks), "near-classes")
     bands = classes.select(
         "rep",
         F.explode(
@@ -255,21 +265,25 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rounds:
     )
     # A band with one class links nothing; the others keep all their members.
     shared = bands.groupBy("band").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
-    members = settle(bands.join(shared.select("band", "low"), "band"), "near-bands")
-    links = Links(docs, members, classes, width, percent)
-    done = settle(members.where("low <> rep").select(F.col("low").alias("a"), F.col("rep").alias("b")).distinct(), "near-pairs")
+    members = settle(bands.join(shared.select("band", "low"), "band").coalesce(tasks), "near-bands")
+    links = Links(docs, members, classes, width, percent, tasks)
+    first = members.where("low <> rep").select(F.col("low").alias("a"), F.col("rep").alias("b")).distinct()
+    done = settle(first.coalesce(tasks), "near-pairs")
     # A document of several classes (a repeated id) ties them together.
-    own = usable.select("doc_id", "digest").join(classes.select("digest", "rep"), "digest")
-    torn = own.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("high")).where("a < high")
-    tied = own.join(torn.select("doc_id", "a"), "doc_id").where("a <> rep").select("a", F.col("rep").alias("b"))
-    found = links.confirm(done).unionByName(settle(tied, "near-ties"))
+    found = links.confirm(done)
+    again = settle(usable.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id").coalesce(tasks), "near-again")
+    if not again.isEmpty():
+        own = usable.select("doc_id", "digest").join(again, "doc_id", "left_semi").join(classes.select("digest", "rep"), "digest")
+        torn = own.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("high")).where("a < high")
+        tied = own.join(torn.select("doc_id", "a"), "doc_id").where("a <> rep").select("a", F.col("rep").alias("b"))
+        found = found.unionByName(settle(tied.coalesce(tasks), "near-ties"))
     label = components(found)
     for turn in range(rounds + 1):
         named = members.select("band", "rep").join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn(
             "component", F.coalesce("component", "rep")
         )
         mixed = named.groupBy("band").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1")
-        open_ = settle(named.join(mixed, "band"), "near-open")
+        open_ = settle(named.join(mixed, "band").coalesce(tasks), "near-open")
         if open_.isEmpty():
             break
         if turn == rounds:
@@ -279,7 +293,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rounds:
             pivot = open_.where(F.col("component") != F.col("c0") if turn % 2 == 0 else F.col("component") == F.col("c1"))
             pivot = pivot.groupBy("band").agg(F.min("rep").alias("a"), F.min_by("component", "rep").alias("own"))
             new = open_.join(pivot, "band").where("component <> own").select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b"))
-            new = settle(new.distinct().join(done, ["a", "b"], "left_anti"), "near-pairs")
+            new = settle(new.distinct().join(done, ["a", "b"], "left_anti").coalesce(tasks), "near-pairs")
             done = done.unionByName(new)
             more = links.confirm(new)
         if not more.isEmpty():

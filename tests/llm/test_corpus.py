@@ -74,6 +74,30 @@ def test_components_of_a_long_path(spark):
     assert got == {i: 0 for i in range(201)} | {400: 400, 500: 400}
 
 
+def test_near_duplicates_deal_steps_by_rows_not_by_shuffle_partitions(spark, make, monkeypatch):
+    """Many shuffle partitions with few rows each: no step makes a task or a file for each of them."""
+    settings = {"spark.sql.shuffle.partitions": "61", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    files, settle = {}, near_duplicates.settle
+
+    def counted(rows, purpose):
+        out = settle(rows, purpose)
+        files.setdefault(purpose, []).append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(near_duplicates, "settle", counted)
+    rows = [(3 * i, " ".join(f"f{i // 4}w{j}" for j in range(60)) + f" end{i % 4}") for i in range(400)]
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        out = near_duplicates.near_duplicates(make(rows), width=4).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {r.doc_id: r.component_id for r in out} == {3 * i: 12 * (i // 4) for i in range(400)}
+    assert len(files["links"]) > 2 and max(max(n) for n in files.values()) <= spark.sparkContext.defaultParallelism, files
+
+
 # ---------------------------------------------------------------- language model
 
 
