@@ -41,13 +41,22 @@ def scan(spark: SparkSession, folder: str, pattern: str = "*", config_text: str
 SHARD = "source_entry string, text string"
 
 
-def pack(documents: DataFrame, folder: str, shard_bytes: int = 128 << 20) -> int:
+#: Size of a shard of a large corpus.
+SHARD_BYTES = 128 << 20
+
+
+def pack(documents: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, shards_wanted: int | None = None) -> int:
     """Write documents (source_entry, text) as shards of about ``shard_bytes`` each, and tell how many there are.
 
+    Instead of more than ``shards_wanted`` shards come larger ones, up to ``SHARD_BYTES``: a stream takes shards by number, so shards
+    of one small size would make its batches, each with its fixed cost, as many as the corpus is large.
+
     A corpus of many small files costs a listing, an open and a split for each of them; shards are planned by
     their total size. Documents are dealt by a hash of their place, so that a retried task deals them alike; none is cut.
     """
     size = documents.agg(F.sum(F.octet_length("text") + F.octet_length("source_entry"))).first()[0] or 0
+    if shards_wanted is not None:
+        shard_bytes = max(shard_bytes, min(SHARD_BYTES, -(-size // shards_wanted)))
     shards = max(1, -(-size // shard_bytes))
     documents.select("source_entry", "text").repartition(shards, "source_entry").write.mode("append").parquet(folder)
     return shards

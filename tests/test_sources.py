@@ -234,6 +234,17 @@ def test_shards_hold_every_document_whole(spark, tmp_path):
     assert corpus.pack(frame.limit(0), str(tmp_path / "none")) == 1 and corpus.scan_shards(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_shards_grow_before_they_get_too_many(spark, tmp_path, monkeypatch):
+    """A stream's batches do not get as many as the corpus is large; small corpora and the largest shards stay as they were."""
+    monkeypatch.setattr(corpus, "SHARD_BYTES", 20_000)
+    for n, want in ((5, 2), (40, 4), (400, 20)):
+        docs = [(f"f{k:04}", "x" * 995) for k in range(n)]
+        folder = str(tmp_path / f"s{n}")
+        frame = spark.createDataFrame(docs, "source_entry string, text string")
+        assert corpus.pack(frame, folder, 4_000, 4) == want
+        assert sorted(map(tuple, spark.read.parquet(folder).collect())) == docs
+
+
 @pytest.mark.parametrize("name", ["src_image_dims", "src_raster_dims"])
 def test_images_wider_than_their_format_can_say(spark, tmp_path, name):
     ids = [*range(12), *range(16_380, 16_395), *range(65_530, 65_545), *range(131_000, 131_040), *range(2**24 - 8, 2**24 + 8), 2**31 - 2]
