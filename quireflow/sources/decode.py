@@ -7,11 +7,11 @@ import json
 import math
 import re
 import tomllib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -88,11 +88,23 @@ def _decode(text: str | None, syntax: str | None, without: str | None) -> tuple:
     return json.dumps(_plain(record), ensure_ascii=False), None
 
 
-def _decoder(without: str | None) -> Callable[[pd.Series, pd.Series], pd.DataFrame]:
-    def run(texts: pd.Series, syntaxes: pd.Series) -> pd.DataFrame:
-        nothing = lambda v: None if v is None or v != v else v
-        done = [_decode(nothing(t), nothing(s), without) for t, s in zip(texts, syntaxes, strict=True)]
-        return pd.DataFrame({"raw": [d[0] for d in done], "decode_error": [d[1] for d in done]}, dtype=object)
+#: Bytes of texts that a worker turns into Python values at a time.
+SLICE_BYTES = 1 << 20
+
+
+def _slices(texts: pa.Array, syntaxes: pa.Array) -> Iterator[tuple[list, list]]:
+    """A batch's texts and syntaxes, a few at a time: about ``SLICE_BYTES`` or one text."""
+    step = max(1, len(texts) * SLICE_BYTES // max(texts.nbytes, 1))
+    for at in range(0, len(texts), step):
+        yield texts.slice(at, step).to_pylist(), syntaxes.slice(at, step).to_pylist()
+
+
+def _decoder(without: str | None) -> Callable[[Iterator[tuple[pa.Array, pa.Array]]], Iterator[pa.Array]]:
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, syntaxes in batches:
+            for some in _slices(texts, syntaxes):
+                done = [_decode(t, s, without) for t, s in zip(*some, strict=True)]
+                yield pa.StructArray.from_arrays([pa.array([d[k] for d in done], pa.string()) for k in (0, 1)], ["raw", "decode_error"])
 
     return run
 
@@ -108,10 +120,10 @@ def decode(
     """(keep…, raw, decode_error, record): each text decoded to JSON and parsed to VARIANT.
 
     ``syntax`` is yaml, toml or null (no frontmatter: an empty record). A Markdown body goes into
-    the record under ``body_column``, in place of a field of that name. Only the text to decode goes through Python; bodies
-    and what is kept stay in the JVM.
+    the record under ``body_column``, in place of a field of that name. Only the text to decode goes through Python, in small
+    slices of a batch, since a worker keeps what it once took; bodies and what is kept stay in the JVM.
     """
-    decoder = F.pandas_udf(_decoder(body_column), "raw string, decode_error string")
+    decoder = F.arrow_udf(_decoder(body_column), "raw string, decode_error string")
     rows = docs.select(
         *keep,
         (F.lit(None).cast("string") if body is None else body).alias("__body"),

@@ -5,6 +5,7 @@ import json
 
 import check_oracle
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from test_compile import png
@@ -234,6 +235,21 @@ def test_shards_hold_every_document_whole(spark, tmp_path):
     assert corpus.pack(frame.limit(0), str(tmp_path / "none")) == 1 and corpus.scan_shards(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_decoding_takes_a_batch_in_small_slices(spark):
+    """However large a batch is, few of its texts are Python values at a time; rows keep their order, nulls too."""
+    kinds = ["yaml", "toml", None]
+    texts = [None if k % 50 == 7 else f"id: {k}\ntext: {'é' * 20_000}\n" if k % 3 == 0 else f"id = {k}\ntext = '{'x' * 30_000}'\n" for k in range(300)]
+    syntaxes = [kinds[k % 3] for k in range(300)]
+    parts = list(decode._decoder("gone")(iter([(pa.array(texts), pa.array(syntaxes)), (pa.array([], pa.string()), pa.array([], pa.string()))])))
+    assert len(parts) > 5 and max(p.nbytes for p in parts) < 2 * decode.SLICE_BYTES
+    raw = [json.loads(r["raw"]) for p in parts for r in p.to_pylist()]
+    want = [{} if t is None or k % 3 == 2 else {"id": k, "text": "é" * 20_000 if k % 3 == 0 else "x" * 30_000} for k, t in enumerate(texts)]
+    assert raw == want
+    frame = spark.createDataFrame([(k, *row) for k, row in enumerate(zip(texts, syntaxes))], "k int, t string, s string")
+    out = decode.decode(frame.repartition(2), ["k"], F.col("t"), F.col("s")).select("k", "raw", "decode_error").collect()
+    assert {r.k: json.loads(r.raw) for r in out} == dict(enumerate(want)) and not any(r.decode_error for r in out)
+
+
 def test_shards_grow_before_they_get_too_many(spark, tmp_path, monkeypatch):
     """A stream's batches do not get as many as the corpus is large; small corpora and the largest shards stay as they were."""
     monkeypatch.setattr(corpus, "SHARD_BYTES", 20_000)
